@@ -173,24 +173,29 @@ def _allot(bids: DataFrame) -> DataFrame:
 
 
 def _one_round(
-    unplaced: DataFrame, costs: DataFrame, room: DataFrame, accept: Callable[[DataFrame], DataFrame], overflow: int
+    unplaced: DataFrame,
+    costs: DataFrame,
+    room: DataFrame,
+    accept: Callable[[DataFrame], DataFrame] | None,
+    overflow: int,
 ) -> DataFrame:
     """Cheapest facility with room for every unplaced row, and how much of the row it takes.
 
     Rows that find no room anywhere go to the overflow facility at once. Room never grows, so they could
-    not find any later.
+    not find any later. Without ``accept`` a cell takes bids up to its room.
     """
-    offers = (
-        unplaced.join(costs.where(F.col("facility_id") != overflow), ["weight", "area_id", "date"])
-        .join(room.where("room > 0"), CELL_KEY)
-        .groupBy(*DEMAND_KEY)
-        .agg(F.min(F.struct("cost", "facility_id")).alias("best"))
-        .select(*DEMAND_KEY, "best.facility_id", "best.cost")
+    offer = F.when(F.col("room") > 0, F.struct("cost", "facility_id", F.col("room").alias("accepted")))
+    bids = (
+        unplaced.join(costs, ["weight", "area_id", "date"], "left")
+        .join(room.select(*CELL_KEY, "room"), CELL_KEY, "left")
+        .groupBy(*DEMAND_KEY, "qty")
+        .agg(F.min(offer).alias("best"))
+        .select(*DEMAND_KEY, "qty", "best.*")
     )
-    bids = unplaced.join(offers, DEMAND_KEY, "left")
     real = bids.where("facility_id is not null")
-    totals = real.groupBy(*CELL_KEY).agg(F.sum("qty").alias("asked"))
-    taken = _allot(real.join(accept(totals), CELL_KEY))
+    if accept is not None:
+        totals = real.groupBy(*CELL_KEY).agg(F.sum("qty").alias("asked"))
+        real = real.drop("accepted").join(accept(totals), CELL_KEY)
     cols = [*DEMAND_KEY, "facility_id", "qty", "got"]
     lost = bids.where("facility_id is null").select(
         *DEMAND_KEY,
@@ -198,32 +203,94 @@ def _one_round(
         "qty",
         F.col("qty").alias("got"),
     )
-    return taken.select(*cols).unionByName(lost)
+    return _allot(real).select(*cols).unionByName(lost)
+
+
+def _spread_round(
+    unplaced: DataFrame,
+    costs: DataFrame,
+    room: DataFrame,
+    accept: Callable[[DataFrame], DataFrame],
+    overflow: int,
+    block: Column,
+) -> DataFrame:
+    """A round in which rows with the same first choice ask along their lists instead of all at its top.
+
+    A row whose competitors (same weight, type, first choice and day ``block``, cheaper or earlier) already
+    claim ``ahead`` places asks the options of its own list that hold the places ``ahead`` to ``ahead + qty``.
+    So a crowded facility does not cost one round per refused row. Facilities still decide in cost order up
+    to their room.
+    """
+    has_room = F.coalesce(F.col("room") > 0, F.lit(False))
+    own = W.partitionBy(*DEMAND_KEY).orderBy((~has_room).cast("int"), "cost", "facility_id")
+    so_far = own.rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = (
+        unplaced.join(costs, ["weight", "area_id", "date"], "left")
+        .join(room.select(*CELL_KEY, "room"), CELL_KEY, "left")
+        .withColumns({"_rank": F.row_number().over(own), "_upto": F.sum("room").over(so_far)})
+        .where(has_room | (F.col("_rank") == 1))
+    )
+    first = ranked.where((F.col("_rank") == 1) & has_room).withColumn("_block", block)
+    queue = (
+        W.partitionBy("weight", "patient_type", "facility_id", "_block")
+        .orderBy("date", "cost", "area_id")
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    ahead = first.select(*DEMAND_KEY, (F.sum("qty").over(queue) - F.col("qty")).alias("_ahead"))
+    asks = (
+        ranked.where(has_room)
+        .join(ahead, DEMAND_KEY)
+        .withColumn(
+            "qty",
+            F.least("_upto", F.col("_ahead") + F.col("qty")) - F.greatest(F.col("_upto") - F.col("room"), F.col("_ahead")),
+        )
+        .where("qty > 0")
+    )
+    totals = asks.groupBy(*CELL_KEY).agg(F.sum("qty").alias("asked"))
+    cols = [*DEMAND_KEY, "facility_id", "qty", "got"]
+    lost = ranked.where(~has_room).select(
+        *DEMAND_KEY,
+        F.lit(overflow).cast(costs.schema["facility_id"].dataType).alias("facility_id"),
+        "qty",
+        F.col("qty").alias("got"),
+    )
+    return _allot(asks.join(accept(totals), CELL_KEY)).select(*cols).unionByName(lost)
 
 
 def place_in_rounds(
     demand: DataFrame,
     costs: DataFrame,
     room_after: Callable[[DataFrame | None], DataFrame],
-    accept_after: Callable[[DataFrame | None], Callable[[DataFrame], DataFrame]],
+    accept_after: Callable[[DataFrame | None], Callable[[DataFrame], DataFrame]] | None = None,
     overflow: int = fv.OVERFLOW_FACILITY,
+    block: Column | None = None,
 ) -> DataFrame:
     """Rounds of proposals until every row is placed.
 
-    In each round a row proposes to its cheapest facility with room; what the facility cannot take tries
-    again. A facility that turns anything away is full for that cell, so the loop ends; usually after a few
-    rounds. Each round is one job whose result is written to the checkpoint folder. The driver sees one
+    In each round a row proposes to its cheapest facility with room, or with ``block`` along its list behind
+    its competitors (``_spread_round``); what a facility cannot take tries again. A facility that turns
+    anything away is full for that cell, and a row without room anywhere is placed in the overflow facility, so
+    the loop ends. Each round is one job whose result is written to the checkpoint folder. The driver sees one
     boolean per round.
     """
-    unplaced = demand.select(*DEMAND_KEY, F.col("qty").cast("long").alias("qty")).where("qty > 0")
-    placed: DataFrame | None = None
+    costs = cut_lineage(costs.where(F.col("facility_id") != overflow))
+    wanted = demand.select(*DEMAND_KEY, F.col("qty").cast("long").alias("qty")).where("qty > 0")
+    unplaced, placed = wanted, None
     while True:
-        result = cut_lineage(
-            _one_round(unplaced, costs, room_after(placed), accept_after(placed), overflow)
-        )
+        accept = accept_after(placed) if accept_after else None
+        room = room_after(placed)
+        if block is None:
+            result = cut_lineage(_one_round(unplaced, costs, room, accept, overflow))
+        else:
+            result = cut_lineage(_spread_round(unplaced, costs, room, accept, overflow, block))
         got = result.where("got > 0").select(*DEMAND_KEY, "facility_id", F.col("got").alias("qty"))
         placed = got if placed is None else placed.unionByName(got)
-        unplaced = result.where("got < qty").select(*DEMAND_KEY, (F.col("qty") - F.col("got")).alias("qty"))
+        unplaced = (
+            wanted.unionByName(placed.select(*DEMAND_KEY, (-F.col("qty")).alias("qty")))
+            .groupBy(*DEMAND_KEY)
+            .agg(F.sum("qty").alias("qty"))
+            .where("qty > 0")
+        )
         if unplaced.isEmpty():
             return placed.groupBy(*DEMAND_KEY, "facility_id").agg(F.sum("qty").alias("qty")).select(
                 "weight", "patient_type", "area_id", "facility_id", "date", "qty"
@@ -239,7 +306,7 @@ def assign_with_capacity(
     facility_id, date, room). A heuristic: never above ``room``, all demand placed (what fits nowhere goes
     to the overflow facility), equal to ``assign_lowest_cost`` with room to spare, not proven optimal.
     """
-    def used(placed: DataFrame | None) -> DataFrame:
+    def room_after(placed: DataFrame | None) -> DataFrame:
         if placed is None:
             return free
         return (
@@ -249,12 +316,7 @@ def assign_with_capacity(
             .agg(F.sum("room").alias("room"))
         )
 
-    def accept_after(placed: DataFrame | None):
-        return lambda totals: totals.join(used(placed), CELL_KEY).select(
-            *CELL_KEY, F.least("asked", "room").alias("accepted")
-        )
-
-    return place_in_rounds(demand, costs, used, accept_after, overflow)
+    return place_in_rounds(demand, costs, room_after, None, overflow)
 
 
 # --- evaluation -----------------------------------------------------------------------------------

@@ -68,7 +68,8 @@ def bed_frame(mov_coarse: DataFrame, beds: DataFrame, types, config: RunConfig,
     ``types`` is the array of types in the planning window; rows of other types drop out, as in the encoding.
     """
     ledger = led.ledger_from_movements(mov_coarse, config.start, config.end, config.calendar)
-    attached = cap.attach_beds(ledger, beds, led.peak_census(mov_coarse))
+    # Read three times below (rows, dates, types); one row per facility, type and planning day.
+    attached = cut_lineage(cap.attach_beds(ledger, beds, led.peak_census(mov_coarse)))
     frame = cap.add_overflow_beds(attached)
     if types is not None:
         frame = frame.where(F.array_contains(types, F.col("patient_type")))
@@ -77,7 +78,8 @@ def bed_frame(mov_coarse: DataFrame, beds: DataFrame, types, config: RunConfig,
 
 def dynamic_beds(frame: DataFrame) -> DataFrame:
     """Cancer beds per (date, facility, type) after other patients took what they lack."""
-    return cap.floor_beds_to_initial(cap.unpivot_types(cap.borrow_beds(cap.pivot_types(frame))))
+    long = cut_lineage(cap.unpivot_types(cap.borrow_beds(cap.pivot_types(frame))))
+    return cap.floor_beds_to_initial(long)
 
 
 def build_params(sources: dict[str, DataFrame], config: RunConfig) -> dict[str, DataFrame]:
