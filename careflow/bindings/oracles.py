@@ -142,11 +142,11 @@ _ledger("proc", "episodes", "procedure_code")
 
 
 def _costs(prefix: str, weights: str) -> None:
-    CTES[f"{prefix}weights"] = f"SELECT round(1-i*{weights},1) AS weight FROM range(CAST(1/{weights} AS BIGINT)+1) t(i)"
+    CTES[f"{prefix}weights"] = f"SELECT CAST(round(1-i*{weights},1) AS DOUBLE) AS weight FROM range(CAST(1/{weights} AS BIGINT)+1) t(i)"
     CTES[f"{prefix}costs"] = f"""
 SELECT weight, u.area_id, facility_id, u.date,
   weight*km/(worst_distance-best_distance)
-  + round(1-weight,1)*0.52*exposure/(worst_infection-best_infection) AS cost
+  + round(1-weight,1)*CAST(0.52 AS DOUBLE)*exposure/(worst_infection-best_infection) AS cost
 FROM units u CROSS JOIN {prefix}weights CROSS JOIN bounds"""
     CTES[f"{prefix}plan"] = f"""
 SELECT weight, patient_type, area_id, facility_id, date, qty FROM mdemand JOIN (
@@ -279,9 +279,9 @@ SELECT * FROM od_all WHERE area_id IN (SELECT area_id FROM mdemand)""",
 SELECT k.area_id, k.date, facility_id, km, COALESCE(exposure,0) AS exposure
 FROM (SELECT DISTINCT area_id, date FROM mdemand) k JOIN od USING (area_id) LEFT JOIN exposure USING (date, facility_id)""",
     "bounds": f"""
-SELECT SUM(qty*d0) AS best_distance, SUM(qty*d1) AS worst_distance, SUM(qty*e0)*0.52 AS best_infection,
-  SUM(qty*e1)*0.52 AS worst_infection, SUM(qty*rd0) AS best_distance_real, SUM(qty*rd1) AS worst_distance_real,
-  SUM(qty*re0)*0.52 AS best_infection_real, SUM(qty*re1)*0.52 AS worst_infection_real
+SELECT SUM(qty*d0) AS best_distance, SUM(qty*d1) AS worst_distance, SUM(qty*e0)*CAST(0.52 AS DOUBLE) AS best_infection,
+  SUM(qty*e1)*CAST(0.52 AS DOUBLE) AS worst_infection, SUM(qty*rd0) AS best_distance_real, SUM(qty*rd1) AS worst_distance_real,
+  SUM(qty*re0)*CAST(0.52 AS DOUBLE) AS best_infection_real, SUM(qty*re1)*CAST(0.52 AS DOUBLE) AS worst_infection_real
 FROM (SELECT * FROM mdemand WHERE date <= {FIRST_LAST}) JOIN (
   SELECT area_id, date, MIN(km) AS d0, MAX(km) AS d1, MIN(exposure) AS e0, MAX(exposure) AS e1,
     MIN(km) FILTER (facility_id<>0) AS rd0, MAX(km) FILTER (facility_id<>0) AS rd1,
@@ -332,7 +332,7 @@ CROSS JOIN (SELECT facility_id FROM episodes UNION SELECT 0) CROSS JOIN model_da
     "detail": """
 SELECT g.weight AS w_distance, round(1-g.weight,1) AS w_infection, g.patient_type AS p, g.area_id AS a, g.facility_id AS h, g.date AS t,
   COALESCE(x.qty,0) AS x, COALESCE(y.census,0) AS y, COALESCE(f.census,0) AS covid, COALESCE(s.hours,0) AS staff_hours,
-  round(COALESCE(km,0)*COALESCE(x.qty,0),4) AS distance_cost, round(COALESCE(exposure,0)*COALESCE(x.qty,0)*0.52,4) AS infection_cost,
+  round(COALESCE(km,0)*COALESCE(x.qty,0),4) AS distance_cost, round(COALESCE(exposure,0)*COALESCE(x.qty,0)*CAST(0.52 AS DOUBLE),4) AS infection_cost,
   COALESCE(l.beds,0) AS beds, COALESCE(d.qty,0) AS demand, COALESCE(y.census,0) AS patients, COALESCE(i.census,0) AS initial,
   COALESCE(r.releases,0) AS releases, -COALESCE(los,0) AS neg_los, COALESCE(o.census,0) AS other, COALESCE(b.census,0) AS cancer
 FROM all_cells g
@@ -495,7 +495,7 @@ UNION ALL SELECT 'sets', (SELECT COUNT(DISTINCT patient_type)+COUNT(DISTINCT are
  round((dc-best_distance)/(worst_distance-best_distance),9) AS distance_norm,
  round((ic-best_infection)/(worst_infection-best_infection),9) AS infection_norm,
  round(weight*(dc-best_distance)/(worst_distance-best_distance)+round(1-weight,1)*(ic-best_infection)/(worst_infection-best_infection),9) AS total
-FROM (SELECT weight, SUM(qty*km) AS dc, SUM(qty*COALESCE(exposure,0))*0.52 AS ic FROM plan JOIN od USING (area_id, facility_id)
+FROM (SELECT weight, SUM(qty*km) AS dc, SUM(qty*COALESCE(exposure,0))*CAST(0.52 AS DOUBLE) AS ic FROM plan JOIN od USING (area_id, facility_id)
  LEFT JOIN exposure USING (date, facility_id) GROUP BY ALL) CROSS JOIN bounds""",
     "plan_census": "SELECT * FROM census",
     "carry_over": f"SELECT weight, patient_type, facility_id, census FROM census c WHERE date={FIRST_LAST} AND c.census > 0",
