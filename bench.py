@@ -25,7 +25,7 @@ HEADLINE = (
     "staff_hours",
     "floor_beds_initial",
     "flow_edges",
-    "assign_lowest_cost",
+    "assign_cheapest",
     "plan_census",
     "plan_detail",
 )

@@ -490,6 +490,7 @@ UNION ALL SELECT 'sets', (SELECT COUNT(DISTINCT patient_type)+COUNT(DISTINCT are
     "weight_grid": """SELECT d.*, CAST(weight AS DOUBLE) AS weight, CAST(round(1-weight,1) AS DOUBLE) AS weight_infection FROM demand d CROSS JOIN weights""",
     "pair_costs": "SELECT weight, area_id, facility_id, date, round(cost,9) AS cost FROM costs",
     "assign_lowest_cost": "SELECT * FROM plan",
+    "assign_cheapest": "SELECT * FROM plan",
     "objective_bounds": "SELECT round(COLUMNS(*),3) FROM bounds",
     "score_plan": """SELECT weight, round(dc,3) AS distance_cost, round(ic,3) AS infection_cost,
  round((dc-best_distance)/(worst_distance-best_distance),9) AS distance_norm,

@@ -123,7 +123,12 @@ class _Plan:
         first = self.demand.where(F.col("date") <= F.lit(FIRST_SEGMENT_LAST))
         self.bounds = cut_lineage(alloc.objective_bounds(first, self.od, self.exposure))
         self.costs = alloc.pair_costs(self.od, self.exposure, weights, self.bounds, self.demand)
-        self.plan = alloc.assign_lowest_cost(self.demand, self.costs)
+        self.plan = alloc.assign_cheapest(self.demand, self.od, self.exposure, weights, self.bounds)
+
+    def written(self) -> _Plan:
+        """The plan on disk, for queries that read it more than once."""
+        self.plan = cut_lineage(self.plan)
+        return self
 
 
 def _rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
@@ -547,6 +552,12 @@ def pair_costs(v: Views) -> DataFrame:
 
 @query
 def assign_lowest_cost(v: Views) -> DataFrame:
+    p = _Plan(v)
+    return alloc.assign_lowest_cost(p.demand, p.costs)
+
+
+@query
+def assign_cheapest(v: Views) -> DataFrame:
     return _Plan(v).plan
 
 
@@ -593,17 +604,17 @@ def _plan_census(v: Views, p: _Plan, long: DataFrame) -> DataFrame:
 
 @query
 def plan_census(v: Views) -> DataFrame:
-    return _plan_census(v, _Plan(v), cut_lineage(_long(v)))
+    return _plan_census(v, _Plan(v).written(), cut_lineage(_long(v)))
 
 
 @query
 def carry_over(v: Views) -> DataFrame:
-    return alloc.carry_over(_plan_census(v, _Plan(v), cut_lineage(_long(v))), FIRST_SEGMENT_LAST)
+    return alloc.carry_over(_plan_census(v, _Plan(v).written(), cut_lineage(_long(v))), FIRST_SEGMENT_LAST)
 
 
 @query
 def plan_history(v: Views) -> DataFrame:
-    plan = cut_lineage(_Plan(v).plan)
+    plan = _Plan(v).written().plan
     first = plan.where(F.col("date") <= F.lit(FIRST_SEGMENT_LAST))
     rest = plan.where(F.col("date") > F.lit(FIRST_SEGMENT_LAST))
     return alloc.plan_history(first, rest)
@@ -637,7 +648,7 @@ def check_running_releases(v: Views) -> DataFrame:
 
 
 def _check_plan(v: Views, staff_mode: str) -> DataFrame:
-    p = _Plan(v)
+    p = _Plan(v).written()
     long = cut_lineage(_long(v))
     census = cut_lineage(_plan_census(v, p, long))
     # Judge the plan against the demand of all observed admissions, which differs from the planned one.
@@ -678,8 +689,9 @@ def _detail(v: Views) -> DataFrame:
     first = params["demand"].where(F.col("date") <= F.lit(FIRST_SEGMENT_LAST))
     bounds = cut_lineage(alloc.objective_bounds(first, params["distance"], params["exposure"]))
     demand = params["demand"].where(cal.in_horizon("date", START, END))
-    costs = alloc.pair_costs(params["distance"], params["exposure"], DETAIL_WEIGHTS, bounds, demand)
-    plan = cut_lineage(alloc.assign_lowest_cost(demand, costs))
+    plan = cut_lineage(
+        alloc.assign_cheapest(demand, params["distance"], params["exposure"], DETAIL_WEIGHTS, bounds)
+    )
     census = cut_lineage(
         alloc.plan_census(plan, params["initial"], params["releases"], params["los"], START, END)
     )

@@ -31,9 +31,17 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:  # the schema is read once per table, not once per use
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
+
+    def _literal(self, names: tuple[str, ...], rows: list[tuple]) -> DataFrame:
+        """A few literal rows as a plan of known size, so that Spark can tell it is small."""
+        structs = [F.struct(*(F.lit(x).alias(n) for n, x in zip(names, row, strict=True))) for row in rows]
+        return self.spark.range(1).select(F.inline(F.array(*structs)))
 
     def episodes(self) -> DataFrame:
         lineitem, orders = self.table("lineitem"), self.table("orders")
@@ -72,8 +80,7 @@ class Views:
         )
 
     def procedures(self) -> DataFrame:
-        rows = [("R", SURGICAL), ("A", "CLINICAL")]
-        return self.spark.createDataFrame(rows, "code string, group_name string").select(
+        return self._literal(("code", "group_name"), [("R", SURGICAL), ("A", "CLINICAL")]).select(
             "code", labels.procedure_group(F.col("group_name"), SURGICAL).alias("treatment")
         )
 
@@ -88,7 +95,7 @@ class Views:
         return self.month_keys().agg(F.collect_list("month_key")).scalar()
 
     def bed_lookup_rows(self) -> DataFrame:
-        return self.spark.createDataFrame([(12, 1), (44, 2), (3, 1), (33, 2)], "bed_code int, bed_kind int")
+        return self._literal(("bed_code", "bed_kind"), [(12, 1), (44, 2), (3, 1), (33, 2)])
 
     def bed_lookup(self) -> DataFrame:
         return self.bed_lookup_rows().select(
@@ -130,7 +137,7 @@ class Views:
         )
 
     def occupations(self) -> DataFrame:
-        return self.spark.createDataFrame([(1, "Physician"), (2, "Nurse")], "code long, name string")
+        return self._literal(("code", "name"), [(1, "Physician"), (2, "Nurse")])
 
     def geo(self) -> DataFrame:
         n = F.col("n_nationkey")

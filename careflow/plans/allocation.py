@@ -144,6 +144,47 @@ def assign_lowest_cost(demand: DataFrame, costs: DataFrame) -> DataFrame:
     )
 
 
+def assign_cheapest(
+    demand: DataFrame,
+    od: DataFrame,
+    exposure: DataFrame,
+    weight_values: list[float],
+    bounds: DataFrame,
+    attack: float = fv.ATTACK_FACTOR,
+) -> DataFrame:
+    """``assign_lowest_cost`` straight from distances and exposure, without the full cost table.
+
+    Seen from one area, facilities of the same town are equally far. Of those only two can win a day: the one
+    with the least exposure, and the smallest id where exposure has no weight. So each (area, day, distance)
+    is reduced to these two, with map-side combining, before the weights multiply the rows.
+    """
+    b = _one_row(bounds)
+    candidates = (
+        located_exposure(od, exposure, demand)
+        .groupBy("area_id", "date", "km")
+        .agg(
+            F.min(F.struct("exposure", "facility_id")).alias("safest"),
+            F.min(F.struct("facility_id", "exposure")).alias("first"),
+        )
+        .select(
+            "area_id",
+            "date",
+            "km",
+            F.explode(
+                F.array(
+                    F.struct(F.col("safest.facility_id").alias("id"), F.col("safest.exposure").alias("exposure")),
+                    F.struct(F.col("first.facility_id").alias("id"), F.col("first.exposure").alias("exposure")),
+                )
+            ).alias("c"),
+        )
+        .select("area_id", "date", F.explode(weight_array(weight_values)).alias("weight"), "km", "c.id", "c.exposure")
+    )
+    cost = unit_cost(F.col("weight"), F.col("km"), F.col("exposure"), b, attack)
+    return assign_lowest_cost(
+        demand, candidates.select("weight", "area_id", F.col("id").alias("facility_id"), "date", cost.alias("cost"))
+    )
+
+
 def effective_beds(
     beds: DataFrame, hours: DataFrame, hours_per_patient: dict[str, int] = fv.HOURS_PER_PATIENT
 ) -> DataFrame:

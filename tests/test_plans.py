@@ -60,6 +60,9 @@ def test_slack_capacity_equals_cheapest(spark, region, costs):
     placed = alloc.assign_with_capacity(weighted(region["demand"]), costs, free)
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(placed) == key(cheap)
+    bounds = alloc.objective_bounds(region["demand"], region["distance"], region["exposure"])
+    direct = alloc.assign_cheapest(region["demand"], region["distance"], region["exposure"], WEIGHTS, bounds)
+    assert key(direct) == key(cheap)
     at_home = cheap.where("weight = 1.0")
     assert at_home.where("area_id <> facility_id").count() == 0
 
