@@ -9,23 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints.
+    """Folder for tables that cut lineage.
 
-    A folder that the cluster already names (``spark.checkpoint.dir``, or one set on the context) is
-    used as it is. Only a local master without one gets a temporary folder; on a cluster a
-    machine-local folder would be lost with its machine, so that case is an error.
+    ``spark.checkpoint.dir`` of the session comes first, then a folder already set on the context. Only a local
+    master without either gets a temporary folder; on a cluster a machine-local folder would be lost with its
+    machine, so that case is an error.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="careflow-checkpoint-")
-    sc.setCheckpointDir(configured)
-    return configured
+        folder = tempfile.mkdtemp(prefix="careflow-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
