@@ -30,7 +30,7 @@ from careflow.operators import params as par
 from careflow.operators import reports as rep
 from careflow.operators import resources as res
 from careflow.plans import allocation as alloc
-from careflow.plans import pipeline as pipe
+from careflow.plans import preparation as prep
 from careflow.plans.horizon import plan_horizon as run_horizon
 from careflow.session import cut_lineage
 
@@ -57,7 +57,7 @@ def _movements(v: Views, type_col: str = "patient_type") -> DataFrame:
 
 
 def _coarse(v: Views) -> DataFrame:
-    return cut_lineage(led.regroup_types(led.movements(v.classified(), "patient_type", START, END), pipe.COARSE_OF))
+    return cut_lineage(led.regroup_types(led.movements(v.classified(), "patient_type", START, END), prep.COARSE_OF))
 
 
 def _beds(v: Views) -> DataFrame:
@@ -69,7 +69,7 @@ def _staff_days(v: Views) -> DataFrame:
 
 
 def _frame(v: Views, floor: bool) -> DataFrame:
-    return pipe.bed_frame(_coarse(v), _beds(v), None, CONFIG, floor)
+    return prep.bed_frame(_coarse(v), _beds(v), None, CONFIG, floor)
 
 
 def _wide(v: Views, floor: bool = True) -> DataFrame:
@@ -77,11 +77,11 @@ def _wide(v: Views, floor: bool = True) -> DataFrame:
 
 
 def _long(v: Views) -> DataFrame:
-    return pipe.dynamic_beds(_frame(v, True))
+    return prep.dynamic_beds(_frame(v, True))
 
 
 def _demand(v: Views) -> DataFrame:
-    return pipe.project_baseline(v.classified(), CONFIG)
+    return prep.project_baseline(v.classified(), CONFIG)
 
 
 def _region_daily(v: Views) -> DataFrame:
@@ -514,7 +514,7 @@ def index_sets(v: Views) -> DataFrame:
 
 @query
 def build_params(v: Views) -> DataFrame:
-    params = pipe.build_params(v.sources(), CONFIG)
+    params = prep.build_params(v.sources(), CONFIG)
     out = None
     for name, df in params.items():
         row = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
@@ -578,8 +578,8 @@ def assign_with_capacity(v: Views) -> DataFrame:
 
 @query
 def plan_horizon(v: Views) -> DataFrame:
-    params = pipe.cut_params(
-        pipe.build_params(v.sources(), CONFIG), "distance", "exposure", "staff_hours", "los", "capacity", "initial"
+    params = prep.cut_params(
+        prep.build_params(v.sources(), CONFIG), "distance", "exposure", "staff_hours", "los", "capacity", "initial"
     )
     return run_horizon(params, WEIGHTS, START, DAYS, SEGMENTS)
 
@@ -685,7 +685,7 @@ def flow_nodes(v: Views) -> DataFrame:
 
 
 def _detail(v: Views) -> DataFrame:
-    params = pipe.cut_params(pipe.build_params(v.sources(), CONFIG), "distance", "exposure", "initial", "los")
+    params = prep.cut_params(prep.build_params(v.sources(), CONFIG), "distance", "exposure", "initial", "los")
     first = params["demand"].where(F.col("date") <= F.lit(FIRST_SEGMENT_LAST))
     bounds = cut_lineage(alloc.objective_bounds(first, params["distance"], params["exposure"]))
     demand = params["demand"].where(cal.in_horizon("date", START, END))

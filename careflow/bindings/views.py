@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from careflow.functions import labels
 from careflow.operators.classify import classify_beds, classify_episodes, classify_staff
 from careflow.operators.geography import area_coordinates
-from careflow.plans.pipeline import RunConfig
+from careflow.plans.preparation import RunConfig
 
 CONFIG = RunConfig(
     start="1998-01-05",
