@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from careflow.llm.decontaminate import overlap
 from careflow.llm.huffman import encoded_digests
+from careflow.llm.langid import held_out as language_held_out
+from careflow.llm.langid import language_of
+from careflow.llm.licenses import license_scan
 from careflow.llm.mixing import systematic_copies
 from careflow.llm.ngram_join import ngram_jaccard_join
 from careflow.llm.toxicity import held_out, toxicity
@@ -36,6 +39,14 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by unigram pieces summed over all segmentations."""
+    docs = table(spark, sf_dir, "documents")
+    language = language_of(docs)
+    found = docs.select("doc_id", language_held_out(F.col("doc_id")).alias("held_out"), language("text").alias("l"))
+    return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), F.col("l.score").alias("score"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of ten words of a benchmark item."""
     measure = overlap(table(spark, sf_dir, "benchmark"))
@@ -49,9 +60,22 @@ def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that every document mentions, by ordered signature rules."""
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_toxicity, op5_systematic_mix, op6_ngram_jaccard_join, op8_decontaminate, op9_huffman_ids)
+    for f in (
+        op2_toxicity,
+        op5_systematic_mix,
+        op6_ngram_jaccard_join,
+        op7_language,
+        op8_decontaminate,
+        op9_huffman_ids,
+        op10_licenses,
+    )
 }
 
 _DOC_WORDS = r"""
