@@ -10,6 +10,7 @@ from careflow.llm.huffman import encoded_digests
 from careflow.llm.langid import held_out as language_held_out
 from careflow.llm.langid import language_of
 from careflow.llm.licenses import license_scan
+from careflow.llm.maincontent import extract_main_text
 from careflow.llm.mixing import systematic_copies
 from careflow.llm.ngram_join import ngram_jaccard_join
 from careflow.llm.toxicity import held_out, toxicity
@@ -27,6 +28,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by minimum-cut labelling of its blocks."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, by systematic sampling to source targets."""
     mixed = systematic_copies(table(spark, sf_dir, "documents"))
@@ -69,6 +75,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_toxicity,
+        op4_main_text,
         op5_systematic_mix,
         op6_ngram_jaccard_join,
         op7_language,
