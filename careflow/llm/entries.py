@@ -13,6 +13,7 @@ from careflow.llm.licenses import license_scan
 from careflow.llm.maincontent import extract_main_text
 from careflow.llm.mixing import systematic_copies
 from careflow.llm.ngram_join import ngram_jaccard_join
+from careflow.llm.pstable import nearest
 from careflow.llm.toxicity import held_out, toxicity
 
 
@@ -28,6 +29,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th vector, by multiprobe p-stable hashing."""
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by minimum-cut labelling of its blocks."""
     return extract_main_text(table(spark, sf_dir, "pages"))
@@ -75,6 +81,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_toxicity,
+        op3_nearest,
         op4_main_text,
         op5_systematic_mix,
         op6_ngram_jaccard_join,
