@@ -14,6 +14,7 @@ from careflow.llm.maincontent import extract_main_text
 from careflow.llm.mixing import systematic_copies
 from careflow.llm.ngram_join import ngram_jaccard_join
 from careflow.llm.pstable import nearest
+from careflow.llm.quotes import link_quotes
 from careflow.llm.toxicity import held_out, toxicity
 
 
@@ -21,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation in reply order and without quotes, with the links that its quotes give."""
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, by a factorization machine over hashed terms."""
     docs = table(spark, sf_dir, "documents")
@@ -80,6 +86,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_quotation_links,
         op2_toxicity,
         op3_nearest,
         op4_main_text,

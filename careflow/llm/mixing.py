@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from careflow.llm.ranks import placed
 from careflow.llm.rows import rows_of, text_hash
 from careflow.session import cut_lineage
 
@@ -74,43 +75,20 @@ def systematic_copies(
 ) -> DataFrame:
     """How often each document is taken: doc_id, source, size, source_size, target, copies, and the columns of ``carry``.
 
-    The texts are read once; what is sorted and written is one narrow row per document. Range partitions in the order
-    (source, size, doc_id) split a source of any size, and a document's rank in its source is its place in its
-    partition plus the source's rows in the partitions before.
+    The texts are read once; what is sorted and written is one narrow row per document. A source of any size is ranked
+    over many tasks.
 
     Null texts and null ids count as documents of size 0 and id null; a null source is a source of its own; rows that
     are equal share their copies in any order; an empty table gives an empty result. Other columns are ignored.
     """
     narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
     sizes = cut_lineage(narrow)
-    keys = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"), *(F.col(c) for c in carry)]
-    # 33 low bits: the place in the partition; above them: the partition
-    placed = cut_lineage(
-        sizes.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("at", F.monotonically_increasing_id())
-        .withColumn("part", F.shiftright("at", 33))
-    )
-    runs = placed.groupBy("source", "part").agg(F.min("at").alias("first"), F.count("*").alias("rows"))
-    earlier = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-    targets = source_targets(sizes, weights, share, most, seed)
-    facts = runs.join(
-        targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))
-    ).select(
-        F.col("source").alias("f_source"),
-        F.col("part").alias("f_part"),
-        (F.col("before") - F.col("first")).alias("shift"),
-        "source_size",
-        "target",
-        "per_document",
-        "offset",
-    )
-    joined = placed.join(
-        facts, (F.col("part") == F.col("f_part")) & F.col("source").eqNullSafe(F.col("f_source"))
-    ).withColumn("rank", F.col("at") + F.col("shift"))
+    order = [F.col("size"), F.col("doc_id"), *(F.col(c) for c in carry)]
+    ranked = placed(sizes, ["source"], order)
+    targets = source_targets(sizes, weights, share, most, seed).withColumnRenamed("source", "t_source")
+    joined = ranked.join(targets, F.col("source").eqNullSafe(F.col("t_source")))
     passed = lambda rank: F.floor(rank * F.col("per_document") + F.col("offset"))
-    copies = (passed(F.col("rank") + 1) - passed(F.col("rank"))).cast("long")
+    copies = (passed(F.col("place")) - passed(F.col("place") - 1)).cast("long")
     return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *carry)
 
 

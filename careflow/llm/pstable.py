@@ -110,11 +110,13 @@ def fitted_probes(sample: np.ndarray, index: Index, k: int, recall: float) -> in
 
 def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The k best of each query: larger score, then smaller id; a pair that was met twice counts once."""
-    order = np.lexsort((vec, -score, query))
+    order = np.lexsort((-score, vec, query))
     query, vec, score = query[order], vec[order], score[order]
     once = np.ones(len(query), dtype=bool)
-    once[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1]) | (score[1:] != score[:-1])
+    once[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])
     query, vec, score = query[once], vec[once], score[once]
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
     starts = np.flatnonzero(np.diff(query, prepend=query[0] - 1)) if len(query) else np.empty(0, int)
     place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
     keep = place < k
@@ -134,7 +136,7 @@ class Ranker:
     def add(self, q_ids: np.ndarray, q: np.ndarray, b_ids: np.ndarray, b: np.ndarray) -> None:
         rough = q @ b.T
         floor = np.array([self.floor.get(i, -np.inf) for i in q_ids.tolist()])
-        if rough.shape[1] > self.k:
+        if rough.shape[1] > self.k and len(np.unique(b_ids)) == len(b_ids):
             floor = np.maximum(floor, np.partition(rough, -self.k - 1, axis=1)[:, -self.k - 1])
         slack = 1e-9 * np.sqrt((q * q).sum(axis=1) * (b * b).sum(axis=1).max())
         i, j = np.nonzero((rough >= (floor - slack)[:, None]) & (q_ids[:, None] != b_ids[None, :]))
