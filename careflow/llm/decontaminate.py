@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from careflow.llm.words import normal_bytes
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word in a text before A-Z are lower-cased.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 RESULT = (
     "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
     "spans array<struct<first:int,last:int,item_ids:array<string>>>"
