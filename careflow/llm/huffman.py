@@ -251,15 +251,14 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
     blocks.select(*columns).sortWithinPartitions("shard", "start").write.partitionBy("shard").parquet(f"{folder}/blocks")
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian 32 bits) of every document of a file set."""
-    blocks = spark.read.parquet(f"{folder}/blocks")
+def read_ids(spark: SparkSession, folder: str, kind: str = "bigint") -> DataFrame:
+    """doc_id (of the SQL type ``kind``), start, n_tokens, ids (little-endian 32 bits) of every document of a file set."""
+    schema = f"start long, doc_ids array<{kind}>, doc_sizes array<long>, n_ids long, bits binary, marks binary, shard int"
+    blocks = spark.read.schema(schema).parquet(f"{folder}/blocks")
     rows = spark.read.parquet(f"{folder}/codebook").collect()  # at most one row per entry of the vocabulary
     ids = np.array([r["id"] for r in rows], dtype=np.int64)
     lengths = np.array([r["length"] for r in rows], dtype=np.uint8)
     sent = spark.sparkContext.broadcast((ids, lengths))
-    name = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook(*sent.value)
 
@@ -289,7 +288,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 yield documents(rows)
 
     columns = ["start", "doc_ids", "doc_sizes", "n_ids", "bits", "marks"]
-    return blocks.select(*columns).mapInArrow(run, f"doc_id {name}, start long, n_tokens long, ids binary")
+    return blocks.select(*columns).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
 def id_digests(documents: DataFrame) -> DataFrame:
@@ -302,4 +301,4 @@ def encoded_digests(docs: DataFrame, path: str | None = None, end_id: int = 1) -
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(docs, folder, path, end_id)
-    return id_digests(read_ids(spark, folder))
+    return id_digests(read_ids(spark, folder, docs.schema["doc_id"].dataType.simpleString()))
