@@ -129,7 +129,7 @@ def overlap(benchmark: DataFrame, length: int = 10, max_chars: int = 4_000_000):
                 found.sort(key=lambda h: h[:2])
                 rows.append((*summary(n, found), char_spans(text, found)))
             names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=names).astype({"items_sha256": "object"})
 
     measured = F.pandas_udf(measure, RESULT)
 

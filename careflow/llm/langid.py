@@ -142,7 +142,8 @@ def learn(docs: DataFrame, path: str, max_docs: int, rounds: int, smooth: float)
                 total: Counter = Counter()
                 for text in texts:
                     total.update(words(text))
-                yield pd.DataFrame({"language": language, "word": list(total), "n": list(total.values())})
+                found = pd.Series(list(total), dtype="object")
+                yield pd.DataFrame({"language": language, "word": found, "n": pd.Series(total.values(), dtype="int64")})
 
     found = known.where(drawn).select(code.alias("language"), "text").mapInPandas(count, "language int, word string, n long")
     table = cut_lineage(found.groupBy("language", "word").agg(F.sum("n").alias("n")))
@@ -212,6 +213,6 @@ def language_of(docs: DataFrame, max_docs: int = 1500, rounds: int = 4, smooth:
                     z = np.fromiter(c.values(), dtype=np.float64, count=len(c)) @ table[at]
                     best = int(np.argmax(z))
                     rows.append((languages[best], float(1 / np.exp(z - z[best]).sum())))
-            yield pd.DataFrame(rows, columns=["lang", "score"])
+            yield pd.DataFrame(rows, columns=["lang", "score"]).astype({"lang": "object"})
 
     return F.pandas_udf(predict, RESULT)
