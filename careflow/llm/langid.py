@@ -26,7 +26,7 @@ FOLDS, FOLD = 4, 2
 START = "▁"  # the vocabulary's mark of a word's beginning
 LONGEST_PIECE = 8
 LONGEST_WORD = 40  # longer runs of letters are cut into words of this length, so that no product underflows
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 150_000
 
 
 def held_out(doc_id: Column) -> Column:
