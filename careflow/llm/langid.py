@@ -24,6 +24,7 @@ VOCABULARY = "piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
 FOLDS, FOLD = 4, 2
 START = "▁"  # the vocabulary's mark of a word's beginning
+GOES_ON = "\0"
 LONGEST_PIECE = 8
 LONGEST_WORD = 40  # longer runs of letters are cut into words of this length, so that no product underflows
 _WORDS_KEPT = 150_000
@@ -34,16 +35,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == FOLD
 
 
-def words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters of a whole text, each with the mark of its beginning."""
-    found = LETTERS.findall(text.lower()) if text else []
+def words(text: str | None) -> Counter:
+    """Lower-cased runs of letters of a whole text and how often each occurs; what follows in a long run begins with ``GOES_ON``."""
+    found = Counter(LETTERS.findall(text.lower())) if text else Counter()
     if not any(c.isalpha() for w in found for c in w):  # numerals that are no digits
-        return []
-    out = []
-    for w in found:
-        out.append(START + w[:LONGEST_WORD])
-        out += [w[k : k + LONGEST_WORD] for k in range(LONGEST_WORD, len(w), LONGEST_WORD)]
-    return out
+        return Counter()
+    for w in [w for w in found if len(w) > LONGEST_WORD]:
+        n = found.pop(w)
+        found[w[:LONGEST_WORD]] += n
+        for k in range(LONGEST_WORD, len(w), LONGEST_WORD):
+            found[GOES_ON + w[k : k + LONGEST_WORD]] += n
+    return found
+
+
+def marked(found: list[str]) -> list[str]:
+    """Words as the vocabulary spells them."""
+    return [w[1:] if w[0] == GOES_ON else START + w for w in found]
 
 
 class Pieces:
@@ -55,19 +62,26 @@ class Pieces:
         usable = (p for p in names if 0 < len(p) <= LONGEST_PIECE and p == p.lower() and re.fullmatch(rf"{START}?[^\W\d_]*", p))
         self.number = {p: k for k, p in enumerate(dict.fromkeys(usable), 1)}
         self.size = len(self.number) + 1
+        # every beginning of a piece, -1 where it is none itself: a search ends where no piece goes on
+        self.begins = {p[:k]: -1 for p in self.number for k in range(1, len(p))} | self.number
 
     def lattice(self, found: list[str]) -> tuple[np.ndarray, ...]:
         """(word, first, end, piece) of every arc, in order of end, then word."""
-        get, arcs = self.number.get, []
+        get, arcs = self.begins.get, []
         add = arcs.append  # each arc is one number: end, word, first and piece from the highest bits down
         for k, w in enumerate(found):
             n, k = len(w), k << 28
             for a in range(n):
                 base = k | a << 20
-                add((a + 1) << 48 | base | get(w[a], 0))
-                for b in range(a + 2, min(a + LONGEST_PIECE, n) + 1):
+                p = get(w[a])
+                add((a + 1) << 48 | base | (p if p is not None and p > 0 else 0))
+                if p is None:
+                    continue
+                for b in range(a + 2, n + 1):
                     p = get(w[a:b])
-                    if p is not None:
+                    if p is None:
+                        break
+                    if p > 0:
                         add(b << 48 | base | p)
         packed = np.sort(np.array(arcs, dtype=np.int64))
         return packed >> 28 & 0xFFFFF, packed >> 20 & 0xFF, packed >> 48, packed & 0xFFFFF
@@ -159,7 +173,7 @@ def learn(docs: DataFrame, path: str, max_docs: int, rounds: int, smooth: float)
                 for low in range(0, len(part), 5000):
                     some = part.iloc[low : low + 5000]
                     total += expected_counts(
-                        pieces, some["word"].tolist(), some["n"].to_numpy(), some["language"].to_numpy(), sent.value
+                        pieces, marked(some["word"].tolist()), some["n"].to_numpy(), some["language"].to_numpy(), sent.value
                     )
             piece, language = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "language": language, "n": total[piece, language]})
@@ -194,7 +208,7 @@ def language_of(docs: DataFrame, max_docs: int = 1500, rounds: int = 4, smooth:
         for texts in batches:
             rows: list[tuple[str, float]] = []
             for low in range(0, len(texts), 256):
-                counts = [Counter(words(t)) if languages else Counter() for t in texts.iloc[low : low + 256]]
+                counts = [words(t) if languages else Counter() for t in texts.iloc[low : low + 256]]
                 new = list(dict.fromkeys(w for c in counts for w in c if w not in known))
                 if len(known) + len(new) > _WORDS_KEPT:
                     known.clear()
@@ -203,7 +217,7 @@ def language_of(docs: DataFrame, max_docs: int = 1500, rounds: int = 4, smooth:
                     table = np.concatenate((table, np.empty_like(table)))
                 for a in range(0, len(new), 5000):
                     some = new[a : a + 5000]
-                    table[len(known) : len(known) + len(some)] = log_probabilities(pieces, some, p)
+                    table[len(known) : len(known) + len(some)] = log_probabilities(pieces, marked(some), p)
                     known.update(zip(some, range(len(known), len(known) + len(some)), strict=True))
                 for c in counts:
                     if not c:

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from careflow.llm.langid import START, VOCABULARY, Pieces, expected_counts, held_out, language_of, log_probabilities, words
+from careflow.llm.langid import START, VOCABULARY, Pieces, expected_counts, held_out, language_of, log_probabilities, marked, words
 
 PATH = public_tokenizers.path(VOCABULARY)
 PIECES = Pieces(PATH)
@@ -38,9 +38,9 @@ def test_forward_and_expected_counts_are_sums_over_all_segmentations():
 
 
 def test_words():
-    assert words("The 1st, ÉTÉ!_x") == [START + "the", START + "st", START + "été", START + "x"]
-    assert words(None) == words("") == words("12 ½ ² !") == []
-    assert "".join(words("a" * 100)) == START + "a" * 100
+    assert words("The 1st, ÉTÉ!_x the") == {"the": 2, "st": 1, "été": 1, "x": 1}
+    assert not words(None) and not words("") and not words("12 ½ ² !")
+    assert "".join(marked(list(words("a" * 39 + "b" * 30 + "c" * 30)))) == START + "a" * 39 + "b" * 30 + "c" * 30
 
 
 def test_held_out_accuracy(table):
