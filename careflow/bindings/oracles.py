@@ -20,7 +20,7 @@ FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_
 SELECT p_partkey AS code,
   CASE WHEN p_type='PROMO' THEN 'CANCER' WHEN p_brand='Brand#2' THEN 'COVID' ELSE 'OTHER' END AS disease,
   CASE WHEN p_type='PROMO' THEN 'CANCER' ELSE 'OTHER' END AS disease_coarse
-FROM part WHERE p_size > 3""",
+FROM part""",
     "procedures": "SELECT * FROM (VALUES ('R','SURGERY'),('A','CLINICAL')) t(code, treatment)",
     "cls": """
 SELECT e.*, COALESCE(disease,'OTHER')||'_'||COALESCE(treatment,'CLINICAL') AS patient_type,
@@ -30,8 +30,7 @@ FROM episodes e LEFT JOIN diagnoses d ON e.diagnosis_code=d.code LEFT JOIN proce
     "bed_rows": """
 SELECT s_suppkey+1 AS facility_id, bed_code, bed_kind, month_key,
   CAST((s_suppkey*13+month_key*7+bed_code*5) % 40 AS BIGINT) AS qty
-FROM supplier CROSS JOIN months CROSS JOIN (VALUES (12,1),(44,2),(3,1),(33,2),(99,2)) t(bed_code, bed_kind)
-WHERE NOT (bed_code IN (12,33) AND s_acctbal < 1500)""",
+FROM supplier CROSS JOIN months CROSS JOIN (VALUES (12,1),(44,2),(3,1),(33,2),(99,2)) t(bed_code, bed_kind)""",
     "bed_lookup": """
 SELECT * FROM (VALUES (12,'CANCER_SURGERY'),(44,'CANCER_CLINICAL'),(3,'OTHER_SURGERY'),(33,'OTHER_CLINICAL'))
   t(code, bed_group)""",
@@ -91,6 +90,12 @@ UNION ALL SELECT date, area_id, patient_type, 1 FROM (
   FROM projected_region WHERE qty < 1)
 WHERE rn <= (SELECT CAST(round_even(SUM(qty),0) AS BIGINT) FROM projected_region WHERE qty < 1)""",
     "demand": """
+SELECT date, area_id, patient_type, CAST(round_even(qty,0) AS BIGINT) AS qty FROM projected_cancer WHERE qty >= 1
+UNION ALL SELECT date, area_id, patient_type, 1 FROM (
+  SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|','7',date,area_id,patient_type)), date, area_id, patient_type) AS rn
+  FROM projected_cancer WHERE qty < 1)
+WHERE rn <= (SELECT CAST(round_even(SUM(qty),0) AS BIGINT) FROM projected_cancer WHERE qty < 1)""",
+    "demand_of_11": """
 SELECT date, area_id, patient_type, CAST(round_even(qty,0) AS BIGINT) AS qty FROM projected_cancer
 WHERE qty >= 1 AND CAST(area_id AS VARCHAR) LIKE '11%'
 UNION ALL SELECT date, area_id, patient_type, 1 FROM (
@@ -151,7 +156,7 @@ FROM units u CROSS JOIN {prefix}weights CROSS JOIN bounds"""
     CTES[f"{prefix}plan"] = f"""
 SELECT weight, patient_type, area_id, facility_id, date, qty FROM mdemand JOIN (
   SELECT * FROM {prefix}costs
-  QUALIFY row_number() OVER (PARTITION BY weight, area_id, date ORDER BY cost, facility_id) = 1) USING (area_id, date)"""
+  QUALIFY row_number() OVER (PARTITION BY weight, area_id, date ORDER BY cost, facility_id=0, facility_id) = 1) USING (area_id, date)"""
     CTES[f"{prefix}census"] = f"""
 SELECT g.weight, g.patient_type, g.facility_id, g.date,
   CAST(COALESCE(any_value(i.census),0)
@@ -266,7 +271,7 @@ FROM balance WHERE greatest(beds, remaining) > 0""",
     "initial": """
 SELECT patient_type, facility_id, census FROM long WHERE date=(SELECT MIN(date) FROM long) AND census > 0""",
     "releases": "SELECT patient_type, facility_id, date, releases FROM long WHERE releases > 0",
-    "loose": "SELECT * REPLACE (CAST(floor(census/2) AS BIGINT) AS census) FROM rough_long",
+    "loose": "SELECT * FROM rough_long",
     "loose_initial": """
 SELECT patient_type, facility_id, census FROM loose WHERE date=(SELECT MIN(date) FROM loose) AND census > 0""",
     "loose_releases": """
@@ -289,21 +294,19 @@ FROM (SELECT * FROM mdemand WHERE date <= {FIRST_LAST}) JOIN (
   FROM units GROUP BY ALL) USING (area_id, date)""",
 }
 _costs("", "0.1")
-_costs("half_", "0.5")
 
 CTES |= {
     "hist": f"""
 SELECT patient_type, facility_id, admit_date AS date, COUNT(episode_id) AS qty FROM cls
 WHERE patient_type LIKE 'CANCER%' AND admit_date < {S} GROUP BY ALL""",
-    "half_beds": "SELECT patient_type, facility_id, date, CAST(floor(census/2) AS BIGINT) AS beds FROM long",
-    "third_hours": f"SELECT facility_id, date, CAST(floor(hours/40) AS BIGINT) AS hours FROM hours WHERE date < {E}",
+    "day_hours": f"SELECT facility_id, date, hours FROM hours WHERE date < {E}",
     "load_grid": """
 SELECT * FROM (SELECT DISTINCT patient_type FROM long) CROSS JOIN (
-  SELECT facility_id FROM half_beds UNION SELECT facility_id FROM initial) CROSS JOIN model_days""",
+  SELECT facility_id FROM long UNION SELECT facility_id FROM initial) CROSS JOIN model_days""",
     "loads": """
 SELECT g.patient_type, g.facility_id, g.date, beds AS old,
   COALESCE(i.census,0) - COALESCE(h.qty,0) - COALESCE(r.releases,0) AS load
-FROM load_grid g LEFT JOIN half_beds USING (patient_type, facility_id, date)
+FROM load_grid g LEFT JOIN (SELECT patient_type, facility_id, date, beds FROM long) USING (patient_type, facility_id, date)
 LEFT JOIN initial i USING (patient_type, facility_id) LEFT JOIN los USING (patient_type)
 LEFT JOIN hist h ON h.patient_type=g.patient_type AND h.facility_id=g.facility_id AND h.date=g.date-CAST(los AS INT)
 LEFT JOIN releases r ON r.patient_type=g.patient_type AND r.facility_id=g.facility_id AND r.date=g.date""",
@@ -318,33 +321,56 @@ SELECT 'demand' AS rule, weight, patient_type, area_id AS place, date, CAST(SUM(
   UNION ALL SELECT weight, patient_type, area_id, date, -qty FROM seen_demand CROSS JOIN weights) GROUP BY ALL HAVING SUM(n)<>0""",
     "over_beds": """
 SELECT 'beds' AS rule, weight, patient_type, facility_id AS place, date, c.census-COALESCE(beds,0) AS amount
-FROM census c LEFT JOIN long l USING (patient_type, facility_id, date) WHERE c.census > COALESCE(beds,0)""",
+FROM census c LEFT JOIN long l USING (patient_type, facility_id, date) WHERE c.census > COALESCE(beds,0) AND facility_id<>0""",
     "patient_hours": """
-SELECT weight, patient_type, facility_id, date, c.census*CASE patient_type WHEN 'CANCER_CLINICAL' THEN 1 ELSE 2 END AS load FROM census c""",
+SELECT weight, patient_type, facility_id, date, c.census*CASE patient_type WHEN 'CANCER_CLINICAL' THEN 1 ELSE 2 END AS load FROM census c
+WHERE facility_id<>0""",
     "edges": """
 SELECT admit_date AS date, area_id AS source, facility_area_id AS target, patient_type, CAST(admit_date AS TIMESTAMP) AS ts,
   CAST(trunc(CASE WHEN raw_km=0 THEN 1.0 ELSE raw_km END) AS BIGINT) AS km, COUNT(episode_id) AS weight
 FROM cls JOIN hav USING (area_id, facility_area_id)
 WHERE CAST(area_id AS VARCHAR) LIKE '11%' AND area_id NOT IN (113,117) GROUP BY ALL""",
-    "all_cells": f"""
-SELECT * FROM half_weights CROSS JOIN (SELECT DISTINCT patient_type FROM mdemand) CROSS JOIN (SELECT DISTINCT area_id FROM mdemand)
-CROSS JOIN (SELECT facility_id FROM episodes UNION SELECT 0) CROSS JOIN model_days""",
-    "detail": """
-SELECT g.weight AS w_distance, round(1-g.weight,1) AS w_infection, g.patient_type AS p, g.area_id AS a, g.facility_id AS h, g.date AS t,
-  COALESCE(x.qty,0) AS x, COALESCE(y.census,0) AS y, COALESCE(f.census,0) AS covid, COALESCE(s.hours,0) AS staff_hours,
-  round(COALESCE(km,0)*COALESCE(x.qty,0),4) AS distance_cost, round(COALESCE(exposure,0)*COALESCE(x.qty,0)*CAST(0.52 AS DOUBLE),4) AS infection_cost,
-  COALESCE(l.beds,0) AS beds, COALESCE(d.qty,0) AS demand, COALESCE(y.census,0) AS patients, COALESCE(i.census,0) AS initial,
+    "segs": """
+SELECT date, segment, MIN(date) OVER (PARTITION BY segment) AS first
+FROM (SELECT date, CAST(ntile(7) OVER (ORDER BY date)-1 AS INT) AS segment FROM model_days)""",
+    "seg_initial": """
+SELECT weight, 0 AS segment, patient_type, facility_id, census FROM initial CROSS JOIN weights
+UNION ALL SELECT weight, segment, patient_type, facility_id, c.census FROM census c
+  JOIN (SELECT DISTINCT segment, first FROM segs WHERE segment > 0) s ON c.date=s.first-1 WHERE c.census > 0""",
+    "seg_left": """
+SELECT weight, patient_type, facility_id, s.date, SUM(qty) AS qty FROM plan p JOIN los USING (patient_type)
+JOIN segs s ON s.date=p.date+CAST(los AS INT) WHERE p.date < s.first GROUP BY ALL""",
+    "seg_beds": f"""
+SELECT weight, patient_type, facility_id, date, CAST(greatest(COALESCE(MAX(old),0), SUM(load)) AS BIGINT) AS beds FROM (
+  SELECT weight, patient_type, facility_id, date, 0 AS load, beds AS old FROM long CROSS JOIN weights
+  UNION ALL SELECT weight, patient_type, facility_id, s.date, census, NULL FROM seg_initial JOIN segs s USING (segment)
+  UNION ALL SELECT weight, patient_type, facility_id, date, -qty, NULL FROM seg_left
+  UNION ALL SELECT weight, patient_type, facility_id, date, -releases, NULL FROM releases CROSS JOIN weights WHERE date < {E})
+GROUP BY ALL HAVING MAX(old) IS NOT NULL OR SUM(load) > 0""",
+    "cell_values": """
+SELECT g.weight, s.segment, g.patient_type, g.facility_id, g.date, COALESCE(y.census,0) AS y, COALESCE(f.census,0) AS covid,
+  COALESCE(h.hours,0) AS staff_hours, COALESCE(exposure,0) AS exposure, COALESCE(l.beds,0) AS beds, COALESCE(i.census,0) AS initial,
   COALESCE(r.releases,0) AS releases, -COALESCE(los,0) AS neg_los, COALESCE(o.census,0) AS other, COALESCE(b.census,0) AS cancer
-FROM all_cells g
-LEFT JOIN half_plan x USING (weight, patient_type, area_id, facility_id, date)
-LEFT JOIN half_census y USING (weight, patient_type, facility_id, date)
-LEFT JOIN infected f USING (facility_id, date) LEFT JOIN hours s USING (facility_id, date) LEFT JOIN od USING (area_id, facility_id)
-LEFT JOIN exposure USING (facility_id, date) LEFT JOIN long l USING (patient_type, facility_id, date)
-LEFT JOIN mdemand d USING (patient_type, area_id, date) LEFT JOIN initial i USING (patient_type, facility_id)
+FROM (SELECT * FROM weights CROSS JOIN (SELECT DISTINCT patient_type FROM mdemand)
+  CROSS JOIN (SELECT facility_id FROM episodes UNION SELECT 0) CROSS JOIN model_days) g
+JOIN segs s USING (date)
+LEFT JOIN census y USING (weight, patient_type, facility_id, date)
+LEFT JOIN infected f USING (facility_id, date) LEFT JOIN hours h USING (facility_id, date)
+LEFT JOIN exposure USING (facility_id, date) LEFT JOIN seg_beds l USING (weight, patient_type, facility_id, date)
+LEFT JOIN seg_initial i ON i.weight=g.weight AND i.segment=s.segment AND i.patient_type=g.patient_type AND i.facility_id=g.facility_id
 LEFT JOIN releases r USING (patient_type, facility_id, date) LEFT JOIN los USING (patient_type)
 LEFT JOIN other o USING (facility_id, date)
-LEFT JOIN (SELECT weight, facility_id, date, CAST(SUM(census) AS BIGINT) AS census FROM half_census GROUP BY ALL) b USING (weight, facility_id, date)
-WHERE COALESCE(x.qty,0) > 0 OR COALESCE(f.census,0) > 0 OR COALESCE(l.beds,0) > 0""",
+LEFT JOIN (SELECT weight, facility_id, date, CAST(SUM(c.census) AS BIGINT) AS census FROM census c GROUP BY ALL) b USING (weight, facility_id, date)""",
+    "detail": """
+SELECT g.weight AS w_distance, round(1-g.weight,4) AS w_infection, g.segment, g.patient_type AS p, a.area_id AS a, g.facility_id AS h,
+  g.date AS t, COALESCE(x.qty,0) AS x, y, covid, staff_hours, round(COALESCE(km,0)*COALESCE(x.qty,0),4) AS distance_cost,
+  round(exposure*COALESCE(x.qty,0)*CAST(0.52 AS DOUBLE),4) AS infection_cost, beds, COALESCE(d.qty,0) AS demand, y AS patients, initial,
+  releases, neg_los, other, cancer
+FROM cell_values g CROSS JOIN (SELECT DISTINCT area_id FROM mdemand) a
+LEFT JOIN plan x ON x.weight=g.weight AND x.patient_type=g.patient_type AND x.area_id=a.area_id AND x.facility_id=g.facility_id AND x.date=g.date
+LEFT JOIN od ON od.area_id=a.area_id AND od.facility_id=g.facility_id
+LEFT JOIN mdemand d ON d.patient_type=g.patient_type AND d.area_id=a.area_id AND d.date=g.date
+WHERE COALESCE(x.qty,0) > 0 OR covid > 0 OR beds > 0""",
     "typed": """
 SELECT patient_type, CAST(row_number() OVER (ORDER BY patient_type)-1 AS INT) AS type_id FROM (SELECT DISTINCT patient_type FROM cls)""",
 }
@@ -358,39 +384,40 @@ def _segment(d: str) -> str:
     return f"(SELECT date, CAST(ntile(7) OVER (ORDER BY date)-1 AS INT) AS segment FROM model_days) s ON s.date={d}"
 
 
-def _rounds(n: int) -> str:
-    """Greedy assignment, one set of CTEs per round; a round without open rows changes nothing."""
-    ctes = [
-        """room0 AS (
-SELECT weight, b.patient_type, b.facility_id, b.date,
-  least(least(beds,2), CAST(floor(COALESCE(hours,0)/CASE b.patient_type WHEN 'CANCER_CLINICAL' THEN 1 ELSE 2 END) AS BIGINT)) AS room
-FROM beds b LEFT JOIN hours USING (facility_id, date) CROSS JOIN weights WHERE b.patient_type LIKE 'CANCER%')""",
-        "open0 AS (SELECT weight, patient_type, area_id, date, qty FROM mdemand CROSS JOIN weights)",
-    ]
-    for i in range(n):
-        ctes += [
-            f"""best{i} AS (
-SELECT o.weight, o.patient_type, o.area_id, o.date, any_value(o.qty) AS qty,
-  arg_min(c.facility_id, (c.cost, c.facility_id)) FILTER (r.room > 0) AS facility_id,
-  min(c.cost) FILTER (r.room > 0) AS cost
-FROM open{i} o JOIN costs c USING (weight, area_id, date)
-LEFT JOIN room{i} r ON r.weight=o.weight AND r.patient_type=o.patient_type AND r.facility_id=c.facility_id AND r.date=o.date
-WHERE c.facility_id<>0 GROUP BY o.weight, o.patient_type, o.area_id, o.date)""",
-            f"""got{i} AS (
-SELECT b.weight, b.patient_type, b.area_id, COALESCE(b.facility_id,0) AS facility_id, b.date, b.qty,
-  CASE WHEN b.facility_id IS NULL THEN b.qty ELSE greatest(0, least(b.qty, room -
-    (SUM(b.qty) OVER (PARTITION BY b.weight, b.patient_type, b.facility_id, b.date ORDER BY b.cost, b.area_id) - b.qty))) END AS got
-FROM best{i} b LEFT JOIN room{i} USING (weight, patient_type, facility_id, date))""",
-            f"""room{i+1} AS (
-SELECT r.weight, r.patient_type, r.facility_id, r.date, CAST(room-COALESCE(n,0) AS BIGINT) AS room FROM room{i} r LEFT JOIN (
-  SELECT weight, patient_type, facility_id, date, SUM(got) AS n FROM got{i} GROUP BY ALL) USING (weight, patient_type, facility_id, date))""",
-            f"""open{i+1} AS (
-SELECT weight, patient_type, area_id, date, CAST(qty-got AS BIGINT) AS qty FROM got{i} WHERE got < qty)""",
-        ]
-    parts = " UNION ALL ".join(f"SELECT weight, patient_type, area_id, facility_id, date, got FROM got{i} WHERE got > 0" for i in range(n))
+#: Greedy assignment; one step is one round, and the steps end when nothing is open.
+CAPACITY = """step AS (
+SELECT 0 AS round, 'room' AS kind, weight, b.patient_type, CAST(NULL AS BIGINT) AS area_id, b.facility_id, b.date,
+  least(beds, CAST(floor(COALESCE(hours,0)/CASE b.patient_type WHEN 'CANCER_CLINICAL' THEN 1 ELSE 2 END) AS BIGINT)) AS n
+FROM beds b LEFT JOIN hours USING (facility_id, date) CROSS JOIN weights WHERE b.patient_type LIKE 'CANCER%'
+UNION ALL SELECT 0, 'open', weight, patient_type, area_id, NULL, date, qty FROM mdemand CROSS JOIN weights
+UNION ALL
+SELECT * FROM (
+  WITH open AS (SELECT * FROM step WHERE kind='open'), room AS (SELECT * FROM step WHERE kind='room'),
+  best AS (
+    SELECT o.round, o.weight, o.patient_type, o.area_id, o.date, any_value(o.n) AS qty,
+      arg_min(r.facility_id, (c.cost, r.facility_id)) AS facility_id, MIN(c.cost) AS cost, arg_min(r.n, (c.cost, r.facility_id)) AS room
+    FROM open o LEFT JOIN (costs c JOIN room r ON r.n > 0 AND r.weight=c.weight AND r.facility_id=c.facility_id AND r.date=c.date)
+      ON c.facility_id<>0 AND o.weight=c.weight AND o.area_id=c.area_id AND o.date=c.date AND o.patient_type=r.patient_type
+    GROUP BY ALL),
+  got AS (
+    SELECT *, CASE WHEN facility_id IS NULL THEN qty ELSE greatest(0, least(qty, room -
+      (SUM(qty) OVER (PARTITION BY weight, patient_type, facility_id, date ORDER BY cost, area_id) - qty))) END AS n
+    FROM best)
+  SELECT round+1, 'got', weight, patient_type, area_id, COALESCE(facility_id,0), date, CAST(n AS BIGINT) FROM got WHERE n > 0
+  UNION ALL SELECT round+1, 'open', weight, patient_type, area_id, NULL, date, CAST(qty-n AS BIGINT) FROM got WHERE n < qty
+  UNION ALL SELECT r.round+1, 'room', r.weight, r.patient_type, NULL, r.facility_id, r.date, CAST(r.n-COALESCE(g.n,0) AS BIGINT)
+    FROM room r LEFT JOIN (SELECT weight, patient_type, facility_id, date, SUM(n) AS n FROM got GROUP BY ALL) g
+      USING (weight, patient_type, facility_id, date)
+    WHERE EXISTS (SELECT 1 FROM got WHERE n < qty)))
+SELECT weight, patient_type, area_id, facility_id, date, CAST(SUM(n) AS BIGINT) AS qty FROM step WHERE kind='got' GROUP BY ALL"""
+
+
+def _table(name: str, source: str, value: str, *keys: str) -> str:
+    """Rows, sum of the values and number of different keys of a parameter table."""
+    distinct = "+".join(f"COUNT(DISTINCT {k})" for k in keys)
     return (
-        ",\n".join(ctes)
-        + f"\nSELECT weight, patient_type, area_id, facility_id, date, CAST(SUM(got) AS BIGINT) AS qty FROM ({parts}) GROUP BY ALL"
+        f"SELECT '{name}' AS table_name, COUNT(*) AS n_rows, "
+        f"round(CAST(COALESCE(SUM(round(CAST({value} AS DOUBLE),6)),0) AS DOUBLE),3) AS total, {distinct} AS n_keys FROM {source}"
     )
 
 
@@ -423,13 +450,13 @@ FINAL: dict[str, str] = {
     "area_distances": "SELECT area_id, facility_area_id, round(km,6) AS km FROM area_km",
     "facility_distances": "SELECT area_id, facility_id, round(km,6) AS km FROM facility_km",
     "overflow_distance": "SELECT area_id, facility_id, round(km,6) AS km FROM od_all",
-    "restrict_od": f"""SELECT area_id, facility_id, round(km,6) AS km FROM od_all WHERE area_id IN (SELECT area_id FROM demand)
- AND (facility_id=0 OR facility_id IN (SELECT facility_id FROM episodes WHERE admit_date >= {S} AND admit_date < DATE '1998-04-01'))""",
+    "restrict_od": """SELECT area_id, facility_id, round(km,6) AS km FROM od_all WHERE area_id IN (SELECT area_id FROM demand)
+ AND (facility_id=0 OR facility_id IN (SELECT facility_id FROM episodes))""",
     "daily_demand": "SELECT * FROM daily_cancer",
     "weekday_profile": "SELECT area_id, patient_type, CAST(weekday AS INT) AS weekday, round(qty,6) AS qty FROM profile_region",
     "project_demand": "SELECT date, area_id, patient_type, round(qty,6) AS qty FROM projected_region",
     "integerize_demand": "SELECT * FROM whole_region",
-    "integerize_demand_prefix": "SELECT * FROM demand",
+    "integerize_demand_prefix": "SELECT * FROM demand_of_11",
     "flow_counts": "SELECT * FROM flows",
     "length_of_stay": "SELECT * FROM los_all",
     "movements": "SELECT * FROM fine_mov",
@@ -466,7 +493,7 @@ FINAL: dict[str, str] = {
     "raise_capacity": """SELECT 'beds' AS kind, patient_type, facility_id, date, COALESCE(old,0) AS before,
  greatest(COALESCE(old,0), load) AS after, greatest(COALESCE(old,0), load)-COALESCE(old,0) AS raised FROM loads WHERE old IS NOT NULL OR load > 0
 UNION ALL SELECT 'hours', NULL, facility_id, date, COALESCE(hours,0), greatest(COALESCE(hours,0), COALESCE(need,0)),
- greatest(COALESCE(hours,0), COALESCE(need,0))-COALESCE(hours,0) FROM third_hours FULL JOIN hour_loads USING (facility_id, date)
+ greatest(COALESCE(hours,0), COALESCE(need,0))-COALESCE(hours,0) FROM day_hours FULL JOIN hour_loads USING (facility_id, date)
  WHERE hours IS NOT NULL OR need > 0""",
     "initial_census": "SELECT * FROM initial",
     "release_table": "SELECT * FROM releases",
@@ -475,15 +502,6 @@ UNION ALL SELECT 'hours', NULL, facility_id, date, COALESCE(hours,0), greatest(C
 UNION ALL SELECT DISTINCT 'areas', CAST(area_id AS VARCHAR) FROM demand
 UNION ALL SELECT 'facilities', CAST(f AS VARCHAR) FROM (SELECT facility_id AS f FROM episodes UNION SELECT 0)
 UNION ALL SELECT 'days', CAST({_key('date')} AS VARCHAR) FROM model_days""",
-    "build_params": """SELECT 'demand' AS table_name, COUNT(*) AS n_rows FROM demand UNION ALL SELECT 'capacity', COUNT(*) FROM long
-UNION ALL SELECT 'releases', COUNT(*) FROM releases UNION ALL SELECT 'initial', COUNT(*) FROM initial
-UNION ALL SELECT 'los', COUNT(*) FROM los
-UNION ALL SELECT 'distance', COUNT(*) FROM od_all WHERE area_id IN (SELECT area_id FROM demand)
-UNION ALL SELECT 'exposure', COUNT(*) FROM exposure UNION ALL SELECT 'infected', COUNT(*) FROM infected
-UNION ALL SELECT 'other', COUNT(*) FROM other UNION ALL SELECT 'staff_hours', COUNT(*) FROM hours
-UNION ALL SELECT 'types', COUNT(*) FROM los_all
-UNION ALL SELECT 'sets', (SELECT COUNT(DISTINCT patient_type)+COUNT(DISTINCT area_id) FROM demand)
- + (SELECT COUNT(DISTINCT facility_id)+1 FROM episodes) + (SELECT COUNT(*) FROM model_days)""",
     "scenario_zero": "SELECT facility_id, patient_type, date, CAST(0 AS BIGINT) AS beds FROM beds",
     "scenario_relax": "SELECT facility_id, patient_type, date, CAST(9999999 AS BIGINT) AS beds FROM beds",
     "scenario_total": "SELECT CAST(SUM(beds) AS BIGINT) AS total FROM beds",
@@ -500,7 +518,11 @@ FROM (SELECT weight, SUM(qty*km) AS dc, SUM(qty*COALESCE(exposure,0))*CAST(0.52
  LEFT JOIN exposure USING (date, facility_id) GROUP BY ALL) CROSS JOIN bounds""",
     "plan_census": "SELECT * FROM census",
     "carry_over": f"SELECT weight, patient_type, facility_id, census FROM census c WHERE date={FIRST_LAST} AND c.census > 0",
-    "plan_history": "SELECT * FROM plan WHERE qty > 0",
+    "plan_history": """SELECT weight, segment, patient_type, area_id, facility_id, date, qty FROM plan JOIN segs USING (date)
+ WHERE qty > 0 AND segment < 2""",
+    "plan_horizon_demand": "SELECT weight, patient_type, area_id, date, qty FROM mdemand CROSS JOIN weights",
+    "plan_horizon_violations": """SELECT 'demand' AS rule, weight, patient_type, area_id AS place, date, qty AS amount FROM plan WHERE false""",
+    "plan_horizon_slack": "SELECT * FROM plan",
     "check_initial_beds": f"""SELECT patient_type, facility_id, beds, COALESCE(i.census,0) AS initial, COALESCE(released,0) AS released
  FROM loose l LEFT JOIN loose_initial i USING (patient_type, facility_id) LEFT JOIN loose_releases USING (patient_type, facility_id)
  WHERE date={S} AND beds > 0 AND COALESCE(i.census,0)+COALESCE(released,0) > beds""",
@@ -517,11 +539,27 @@ UNION ALL SELECT 'staff', weight, NULL, facility_id, date, load-COALESCE(hours,0
     "flow_edges": "SELECT * FROM edges",
     "flow_nodes": "SELECT area_id AS id, lat, lon FROM coords WHERE area_id IN (SELECT source FROM edges UNION SELECT target FROM edges)",
     "plan_detail": "SELECT * FROM detail",
-    "plan_edges": "SELECT w_distance, t AS ts, a AS source, h AS target, x AS weight FROM detail",
+    "plan_edges": "SELECT w_distance, segment, t AS ts, a AS source, h AS target, x AS weight FROM detail",
 }
 
-ROUNDS = 8
-FINAL["assign_with_capacity"] = _rounds(ROUNDS)
+FINAL["assign_with_capacity"] = CAPACITY
+FINAL["build_params"] = "\nUNION ALL ".join(
+    [
+        _table("demand", "demand", "qty", "patient_type", "area_id", "date"),
+        _table("capacity", "long", "beds", "patient_type", "facility_id", "date"),
+        _table("releases", "releases", "releases", "patient_type", "facility_id", "date"),
+        _table("initial", "initial i", "i.census", "patient_type", "facility_id"),
+        _table("los", "los", "los", "patient_type"),
+        _table("distance", "(SELECT * FROM od_all WHERE area_id IN (SELECT area_id FROM demand))", "km", "area_id", "facility_id"),
+        _table("exposure", "exposure e", "e.exposure", "date", "facility_id"),
+        _table("infected", "infected i", "i.census", "date", "facility_id"),
+        _table("other", "other o", "o.census", "date", "facility_id"),
+        _table("staff_hours", "hours h", "h.hours", "facility_id", "date"),
+        _table("types", "(SELECT patient_type, row_number() OVER (ORDER BY patient_type)-1 AS type_id FROM los_all)", "type_id", "patient_type"),
+        f"""SELECT 'sets', COUNT(*), CAST(COUNT(DISTINCT member) AS DOUBLE), COUNT(DISTINCT set_name)+COUNT(DISTINCT member)
+FROM ({FINAL["index_sets"]})""",
+    ]
+)
 
 
 def _needed(text: str) -> list[str]:
@@ -557,6 +595,6 @@ def build() -> dict[str, str]:
     out = {}
     for name, final in FINAL.items():
         ctes = ",\n".join(f"{n} AS ({CTES[n]})" for n in _needed(final))
-        joiner = ",\n" if final.startswith("room0 AS") else "\n"
-        out[name] = f"WITH {ctes}{joiner}{final}" if ctes else final
+        joiner = ",\n" if final is CAPACITY else "\n"
+        out[name] = f"WITH RECURSIVE {ctes}{joiner}{final}" if ctes else final
     return out

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,15 +34,13 @@ from careflow.operators import reports as rep
 from careflow.operators import resources as res
 from careflow.plans import allocation as alloc
 from careflow.plans import preparation as prep
-from careflow.plans.horizon import plan_horizon as run_horizon
+from careflow.plans.horizon import plan_segments as run_segments
 from careflow.session import cut_lineage
 
 START, END, DAYS = CONFIG.start, CONFIG.end, CONFIG.days
 SEGMENTS = 7
 FIRST_SEGMENT_LAST = segment_starts(START, DAYS, SEGMENTS)[0][1]
 WEIGHTS = par.weights(0.1)
-DETAIL_WEIGHTS = par.weights(0.5)
-FAR_END = "1998-04-01"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -52,12 +53,12 @@ def query(fn: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
 # --- shared intermediate tables -------------------------------------------------------------------
 
 
-def _movements(v: Views, type_col: str = "patient_type") -> DataFrame:
-    return cut_lineage(led.movements(v.classified(), type_col, START, END))
+def _movements(v: Views) -> DataFrame:
+    return v.once("movements", lambda: led.movements(v.classified(), "patient_type", START, END))
 
 
 def _coarse(v: Views) -> DataFrame:
-    return cut_lineage(led.regroup_types(led.movements(v.classified(), "patient_type", START, END), prep.COARSE_OF))
+    return v.once("coarse", lambda: led.regroup_types(_movements(v), prep.COARSE_OF))
 
 
 def _beds(v: Views) -> DataFrame:
@@ -81,7 +82,7 @@ def _long(v: Views) -> DataFrame:
 
 
 def _demand(v: Views) -> DataFrame:
-    return prep.project_baseline(v.classified(), CONFIG)
+    return v.once("demand", lambda: prep.project_baseline(v.kept(), CONFIG))
 
 
 def _region_daily(v: Views) -> DataFrame:
@@ -89,14 +90,10 @@ def _region_daily(v: Views) -> DataFrame:
     return dem.daily_demand(rows, CONFIG.baseline_start, CONFIG.baseline_end)
 
 
-def _places(v: Views) -> DataFrame:
-    return v.episodes().select("facility_id", "facility_area_id")
-
-
-def _od(v: Views, demand: DataFrame) -> DataFrame:
-    places = cut_lineage(_places(v).distinct())
-    km = geo.area_distances(demand, places, v.coordinates())
-    return geo.add_overflow_distance(geo.facility_distances(km, places))
+def _od(v: Views, homes: DataFrame) -> DataFrame:
+    places = v.once("places", lambda: v.kept().select("facility_id", "facility_area_id").distinct())
+    km = geo.area_distances(homes, places, v.coordinates())
+    return geo.add_overflow_distance(geo.facility_distances(km, places), areas=homes)
 
 
 def _covid(v: Views) -> DataFrame:
@@ -109,13 +106,17 @@ def _exposure(v: Views) -> DataFrame:
 
 
 def _los(v: Views) -> DataFrame:
-    return dem.avg_length_of_stay(v.classified(), START, END, fv.CANCER_TYPES)
+    return v.once("los", lambda: dem.avg_length_of_stay(v.kept(), START, END, fv.CANCER_TYPES))
 
 
 class _Plan:
-    """Tables the plan queries share: demand, distance, exposure, bounds, costs and the cheapest plan."""
+    """Tables the plan queries share: demand, distance, exposure, bounds, costs and the cheapest plan.
+
+    Movements, demand, places and lengths of stay all come from one written table of the episodes.
+    """
 
     def __init__(self, v: Views, weights: list[float] = WEIGHTS):
+        v.keep()
         self.v = v
         self.demand = cut_lineage(_demand(v).where(cal.in_horizon("date", START, END)))
         self.od = cut_lineage(_od(v, self.demand))
@@ -272,13 +273,12 @@ def facility_distances(v: Views) -> DataFrame:
 
 @query
 def overflow_distance(v: Views) -> DataFrame:
-    return _rounded(_od(v, v.episodes()), "km")
+    return _rounded(_od(v, v.kept()), "km")
 
 
 @query
 def restrict_od(v: Views) -> DataFrame:
-    busy = v.episodes().where(cal.in_horizon("admit_date", START, FAR_END))
-    return _rounded(geo.restrict_od(_od(v, v.episodes()), _demand(v), busy), "km")
+    return _rounded(geo.restrict_od(_od(v, v.kept()), _demand(v), v.kept()), "km")
 
 
 # --- E: demand -------------------------------------------------------------------------------------
@@ -307,7 +307,7 @@ def integerize_demand(v: Views) -> DataFrame:
 
 @query
 def integerize_demand_prefix(v: Views) -> DataFrame:
-    return _demand(v)
+    return prep.project_baseline(v.classified(), replace(CONFIG, area_prefix="11"))
 
 
 @query
@@ -471,15 +471,14 @@ def bed_adjust_audit(v: Views) -> DataFrame:
 
 @query
 def raise_capacity(v: Views) -> DataFrame:
-    """Day-by-day load against halved beds and hours, so that raises occur."""
+    """Day-by-day load against beds and hours."""
     long = cut_lineage(_long(v))
-    half = long.withColumn("beds", F.floor(F.col("census") / 2).cast("long"))
-    hours = res.staff_hours(_staff_days(v)).withColumn("hours", F.floor(F.col("hours") / 40).cast("long"))
+    hours = res.staff_hours(_staff_days(v))
     history = v.classified().where(
         F.col("patient_type").isin(*fv.CANCER_TYPES) & (F.col("admit_date") < F.lit(START).cast("date"))
     ).groupBy("patient_type", "facility_id", F.col("admit_date").alias("date")).agg(F.count("episode_id").alias("qty"))
     beds, staff = cap.raise_capacity(
-        half, hours, par.initial_census(long), history, par.release_table(long), _los(v), START, END
+        long, hours, par.initial_census(long), history, par.release_table(long), _los(v), START, END
     )
     cols = ["kind", "patient_type", "facility_id", "date", "before", "after", "raised"]
     return beds.select(F.lit("beds").alias("kind"), "*", F.col("beds").alias("after")).select(*cols).unionByName(
@@ -509,17 +508,24 @@ def capacity_table(v: Views) -> DataFrame:
 
 @query
 def index_sets(v: Views) -> DataFrame:
-    return par.index_sets(cut_lineage(_demand(v)), v.episodes(), START, DAYS)
+    return par.index_sets(_demand(v), v.kept(), START, DAYS)
+
+
+def _sums(name: str, df: DataFrame) -> DataFrame:
+    """Rows and, per number column, the sum of a table; text columns count their distinct values."""
+    columns = [c for c in ("qty", "beds", "releases", "census", "los", "km", "exposure", "hours", "type_id") if c in df.columns]
+    value = F.sum(F.round(F.col(columns[0]).cast("double"), 6)) if columns else F.count_distinct("member").cast("double")
+    keys = [F.count_distinct(c) for c in df.columns if c not in columns]
+    return df.agg(
+        F.count("*").alias("n_rows"),
+        F.round(F.coalesce(value, F.lit(0.0)), 3).alias("total"),
+        sum(keys, F.lit(0)).cast("long").alias("n_keys"),
+    ).select(F.lit(name).alias("table_name"), "n_rows", "total", "n_keys")
 
 
 @query
 def build_params(v: Views) -> DataFrame:
-    params = prep.build_params(v.sources(), CONFIG)
-    out = None
-    for name, df in params.items():
-        row = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return reduce(DataFrame.unionByName, (_sums(n, df) for n, df in prep.build_params(v.sources(), CONFIG).items()))
 
 
 @query
@@ -565,23 +571,64 @@ def assign_cheapest(v: Views) -> DataFrame:
 def assign_with_capacity(v: Views) -> DataFrame:
     p = _Plan(v)
     rooms = alloc.effective_beds(
-        _beds(v).where(F.col("patient_type").isin(*fv.CANCER_TYPES)).withColumn("beds", F.least(F.col("beds"), F.lit(2))),
-        res.staff_hours(_staff_days(v)),
+        _beds(v).where(F.col("patient_type").isin(*fv.CANCER_TYPES)), res.staff_hours(_staff_days(v))
     )
     weighted = par.weight_array(WEIGHTS)
     return alloc.assign_with_capacity(
         p.demand.select(F.explode(weighted).alias("weight"), "*"),
-        p.costs,
+        alloc.offers_by_distance(p.od, p.exposure, p.bounds),
         cut_lineage(rooms.select(F.explode(weighted).alias("weight"), "*")),
     )
 
 
+PLANNING = ("demand", "distance", "exposure", "staff_hours", "los", "capacity", "initial", "releases")
+
+
+def _params(v: Views, *names: str) -> dict[str, DataFrame]:
+    return prep.cut_params(prep.build_params(v.sources(), CONFIG), *names)
+
+
 @query
 def plan_horizon(v: Views) -> DataFrame:
-    params = prep.cut_params(
-        prep.build_params(v.sources(), CONFIG), "distance", "exposure", "staff_hours", "los", "capacity", "initial"
+    return run_segments(_params(v, *PLANNING), WEIGHTS, START, DAYS, SEGMENTS).plan
+
+
+@query
+def plan_horizon_demand(v: Views) -> DataFrame:
+    """What the rolling plan places, by row of the demand."""
+    plan = plan_horizon(v)
+    return plan.groupBy("weight", "patient_type", "area_id", "date").agg(F.sum("qty").alias("qty"))
+
+
+@query
+def plan_horizon_violations(v: Views) -> DataFrame:
+    """The rolling plan against demand, raised beds and raised staff hours; no row means that all hold."""
+    params = _params(v, *PLANNING)
+    h = run_segments(params, WEIGHTS, START, DAYS, SEGMENTS)
+    plan = h.plan.drop("segment")
+    census = cut_lineage(
+        alloc.plan_census(plan, params["initial"], params["releases"], params["los"], START, END, WEIGHTS)
     )
-    return run_horizon(params, WEIGHTS, START, DAYS, SEGMENTS)
+    demand = params["demand"].where(cal.in_horizon("date", START, END))
+    return checks.check_plan(plan, census, demand, h.beds, h.hours, WEIGHTS)
+
+
+def _slack(v: Views) -> DataFrame:
+    """The rolling plan when neither beds nor staff bind."""
+    params = _params(v, *PLANNING)
+    params["capacity"] = par.relax_param(params["capacity"], "beds")
+    params["staff_hours"] = par.relax_param(params["staff_hours"], "hours")
+    cells = params["staff_hours"].where(cal.in_horizon("date", START, END)).select("facility_id", "date").distinct()
+    types = F.array(*(F.lit(t) for t in fv.CANCER_TYPES))
+    every = cells.select(F.explode(types).alias("patient_type"), "*", F.lit(fv.RELAXED_VALUE).cast("long").alias("beds"))
+    params["capacity"] = cut_lineage(every)
+    return run_segments(params, WEIGHTS, START, DAYS, SEGMENTS).plan
+
+
+@query
+def plan_horizon_slack(v: Views) -> DataFrame:
+    """With room to spare the rolling plan is the cheapest one."""
+    return _slack(v).drop("segment")
 
 
 @query
@@ -599,7 +646,7 @@ def score_plan(v: Views) -> DataFrame:
 
 
 def _plan_census(v: Views, p: _Plan, long: DataFrame) -> DataFrame:
-    return alloc.plan_census(p.plan, par.initial_census(long), par.release_table(long), _los(v), START, END)
+    return alloc.plan_census(p.plan, par.initial_census(long), par.release_table(long), _los(v), START, END, WEIGHTS)
 
 
 @query
@@ -614,19 +661,17 @@ def carry_over(v: Views) -> DataFrame:
 
 @query
 def plan_history(v: Views) -> DataFrame:
-    plan = _Plan(v).written().plan
-    first = plan.where(F.col("date") <= F.lit(FIRST_SEGMENT_LAST))
-    rest = plan.where(F.col("date") > F.lit(FIRST_SEGMENT_LAST))
-    return alloc.plan_history(first, rest)
+    """The first two segments of a rolling plan with room to spare, put together again."""
+    plan = cut_lineage(_slack(v))
+    return alloc.plan_history(plan.where("segment = 0"), plan.where("segment = 1"))
 
 
 # --- L: checks -------------------------------------------------------------------------------------
 
 
 def _loose(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Long table before any repair and with half the census lost, so that the checks find something."""
-    long = cap.unpivot_types(cap.borrow_beds(_wide(v, floor=False)))
-    long = cut_lineage(long.withColumn("census", F.floor(F.col("census") / 2).cast("long")))
+    """Long table before any repair, which may break the rules."""
+    long = cut_lineage(cap.unpivot_types(cap.borrow_beds(_wide(v, floor=False))))
     return long, par.initial_census(long), par.release_table(long)
 
 
@@ -652,9 +697,11 @@ def _check_plan(v: Views, staff_mode: str) -> DataFrame:
     long = cut_lineage(_long(v))
     census = cut_lineage(_plan_census(v, p, long))
     # Judge the plan against the demand of all observed admissions, which differs from the planned one.
-    seen = dem.flow_counts(v.classified().where(cal.in_horizon("admit_date", START, END)), "patient_type")
+    seen = dem.flow_counts(v.kept().where(cal.in_horizon("admit_date", START, END)), "patient_type")
     wanted = seen.where(F.col("patient_type").isin(*fv.CANCER_TYPES))
-    return checks.check_plan(p.plan, census, wanted, long, res.staff_hours(_staff_days(v)), staff_mode=staff_mode)
+    return checks.check_plan(
+        p.plan, census, wanted, long, res.staff_hours(_staff_days(v)), WEIGHTS, staff_mode=staff_mode
+    )
 
 
 @query
@@ -684,28 +731,58 @@ def flow_nodes(v: Views) -> DataFrame:
     return rep.flow_nodes(_edges(v), v.coordinates())
 
 
-def _detail(v: Views) -> DataFrame:
-    params = prep.cut_params(prep.build_params(v.sources(), CONFIG), "distance", "exposure", "initial", "los")
-    first = params["demand"].where(F.col("date") <= F.lit(FIRST_SEGMENT_LAST))
-    bounds = cut_lineage(alloc.objective_bounds(first, params["distance"], params["exposure"]))
-    demand = params["demand"].where(cal.in_horizon("date", START, END))
-    plan = cut_lineage(
-        alloc.assign_cheapest(demand, params["distance"], params["exposure"], DETAIL_WEIGHTS, bounds)
-    )
-    census = cut_lineage(
-        alloc.plan_census(plan, params["initial"], params["releases"], params["los"], START, END)
-    )
-    return rep.plan_detail(plan, census, params, DETAIL_WEIGHTS, START, END)
+def _segmented(v: Views) -> tuple[_Plan, dict[str, DataFrame], DataFrame, DataFrame, DataFrame]:
+    """The cheapest plan with, for each segment, the census on its eve and the beds raised to the load there."""
+    p = _Plan(v).written()
+    long = cut_lineage(_long(v))
+    releases, los = par.release_table(long), _los(v)
+    census = cut_lineage(_plan_census(v, p, long))
+    first = par.initial_census(long).select(F.explode(par.weight_array(WEIGHTS)).alias("weight"), F.lit(0).alias("segment"), "*")
+    segments = segment_starts(START, DAYS, SEGMENTS)
+    eves = [alloc.carry_over(census, last).withColumn("segment", F.lit(n + 1)) for n, (_, last) in enumerate(segments[:-1])]
+    initial = cut_lineage(reduce(DataFrame.unionByName, eves, first))
+    every = F.explode(par.weight_array(WEIGHTS)).alias("weight")
+    beds = []
+    for n, (day, last) in enumerate(segments):
+        after = last + dt.timedelta(days=1)
+        raised, _ = cap.raise_capacity(
+            par.capacity_table(long).where(cal.in_horizon("date", day, after)).select(every, "*"),
+            res.staff_hours(_staff_days(v)).where(F.lit(False)).select(every, "*"),
+            initial.where(F.col("segment") == n).drop("segment"),
+            p.plan.where(F.col("date") < F.lit(day)),
+            releases.where(cal.in_horizon("date", day, after)).select(every, "*"),
+            los,
+            day,
+            after,
+            scope=("weight",),
+        )
+        beds.append(raised.select("weight", "patient_type", "facility_id", "date", "beds"))
+    ledger = led.ledger_from_movements(_movements(v), START, END)
+    covid = cut_lineage(res.overflow_census(led.census_by_group(ledger, fv.COVID_TYPES)))
+    params = {
+        "demand": p.demand,
+        "distance": p.od,
+        "exposure": p.exposure,
+        "releases": releases,
+        "los": los,
+        "infected": res.infected_census(covid),
+        "other": led.census_by_group(ledger, fv.OTHER_TYPES, positive_only=True),
+        "staff_hours": res.staff_hours(_staff_days(v)),
+    }
+    return p, params, initial, cut_lineage(reduce(DataFrame.unionByName, beds)), census
 
 
 @query
 def plan_detail(v: Views) -> DataFrame:
-    return _rounded(_detail(v), "distance_cost", "infection_cost", places=4)
+    p, params, initial, beds, census = _segmented(v)
+    detail = rep.plan_detail(p.plan, census, params, initial, beds, WEIGHTS, START, DAYS, SEGMENTS)
+    return _rounded(detail, "distance_cost", "infection_cost", places=4)
 
 
 @query
 def plan_edges(v: Views) -> DataFrame:
-    return rep.plan_edges(_detail(v))
+    p, params, _, beds, _ = _segmented(v)
+    return rep.plan_edges(p.plan, params, beds, WEIGHTS, START, DAYS, SEGMENTS)
 
 
 for _name in ("shift_date_key", "date_key"):

@@ -1,11 +1,13 @@
 """The model's source tables derived from the driver's tables.
 
-Facility = supplier key + 1 (0 stays free), area = 100 + nation key, stay = quantity. Gaps in lookups and
-bed rows depend on attributes of the data, so that the defaults and fallbacks are exercised.
+Facility = supplier key + 1 (0 stays free), area = 100 + nation key, stay = quantity. All rows of the driver's tables are
+used. Bed rows of quantity 0 are the gaps that the fallbacks fill.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +15,14 @@ from careflow.functions import labels
 from careflow.operators.classify import classify_beds, classify_episodes, classify_staff
 from careflow.operators.geography import area_coordinates
 from careflow.plans.preparation import RunConfig
+from careflow.session import cut_lineage
 
 CONFIG = RunConfig(
     start="1998-01-05",
     days=120,
     baseline_start="1996-01-01",
     baseline_end="1997-03-01",
-    area_prefix="11",
+    area_prefix=None,
     seed=7,
 )
 EXCLUDED_AREAS = (113, 117)
@@ -32,6 +35,7 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._tables: dict[str, DataFrame] = {}
+        self._once: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:  # the schema is read once per table, not once per use
@@ -67,7 +71,7 @@ class Views:
         )
 
     def diagnosis_rows(self) -> DataFrame:
-        return self.table("part").where("p_size > 3").select(
+        return self.table("part").select(
             F.col("p_partkey").alias("code"), F.col("p_type").alias("chapter"), F.col("p_brand").alias("brand")
         )
 
@@ -87,6 +91,22 @@ class Views:
     def classified(self) -> DataFrame:
         return classify_episodes(self.episodes(), self.diagnoses(), self.procedures())
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several parts of a query use, written when it is first asked for."""
+        if name not in self._once:
+            self._once[name] = cut_lineage(make())
+        return self._once[name]
+
+    def kept(self) -> DataFrame:
+        """Classified episodes with the columns that plans use, written once: one join and one scan of the raw tables."""
+        columns = ["episode_id", "area_id", "facility_id", "facility_area_id", "patient_type", "admit_date",
+                   "discharge_date", "stay_days"]
+        return self.once("episodes", lambda: classify_episodes(self.episodes(), self.diagnoses(), self.procedures()).select(*columns))
+
+    def keep(self) -> None:
+        """From now on ``classified`` is the written table, for queries that read the episodes more than once."""
+        self.classified = self.kept  # type: ignore[method-assign]
+
     def month_keys(self) -> DataFrame:
         d = F.col("o_orderdate")
         return self.table("orders").select((F.year(d) * 100 + F.month(d)).alias("month_key")).distinct()
@@ -111,8 +131,7 @@ class Views:
         qty = (F.col("s_suppkey") * 13 + F.col("month_key") * 7 + F.col("bed_code") * 5) % 40
         return (
             self.table("supplier")
-            .select("s_suppkey", "s_acctbal", F.inline(codes))
-            .where("not (bed_code in (12, 33) and s_acctbal < 1500)")
+            .select("s_suppkey", F.inline(codes))
             .select("*", F.explode(self._months()).alias("month_key"))
             .select(
                 (F.col("s_suppkey") + 1).alias("facility_id"), "bed_code", "bed_kind", "month_key",
@@ -159,8 +178,8 @@ class Views:
     def sources(self) -> dict[str, DataFrame]:
         """Input of ``build_params``."""
         return {
-            "episodes": self.classified(),
-            "places": self.episodes().select("facility_id", "facility_area_id"),
+            "episodes": self.kept(),
+            "places": self.kept().select("facility_id", "facility_area_id"),
             "beds": self.beds(),
             "staff": self.staff(),
             "coordinates": self.coordinates(),

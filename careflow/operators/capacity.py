@@ -176,7 +176,7 @@ def raise_capacity(
     los: DataFrame,
     start: DateLike,
     end: DateLike,
-    hourshours_needed: dict[str, int] = fv.HOURS_PER_PATIENT,
+    hours_per_patient: dict[str, int] = fv.HOURS_PER_PATIENT,
     scope: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Raise beds and staff hours to the load that is there before any new assignment.
@@ -222,7 +222,7 @@ def raise_capacity(
         .withColumn("raised", F.col("beds") - F.col("before"))
     )
 
-    need = F.col("load") * hours_needed(hourshours_needed)
+    need = F.col("load") * hours_needed(hours_per_patient)
     hour_keys = [*scope, "facility_id", "date"]
     raised_hours = (
         load.select(*hour_keys, need.cast("long").alias("need"), none.alias("old"))

@@ -64,15 +64,27 @@ def facility_distances(distances: DataFrame, facility_areas: DataFrame) -> DataF
 
 
 def add_overflow_distance(
-    od: DataFrame, facility: int = fv.OVERFLOW_FACILITY, km: float = fv.OVERFLOW_KM
+    od: DataFrame,
+    facility: int = fv.OVERFLOW_FACILITY,
+    km: float = fv.OVERFLOW_KM,
+    areas: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the overflow facility, at a prohibitive distance from every area."""
-    overflow = od.select("area_id").distinct().select(
+    """Add the overflow facility, at a prohibitive distance from every area.
+
+    ``areas`` is any table with area_id, such as the demand: its areas without coordinates, which have no distance to
+    any real facility, can then reach the overflow facility at least. A distance that is already there stays.
+    """
+    there = od.select("area_id", "facility_id", "km")
+    known = there.select("area_id")
+    if areas is not None:
+        known = known.unionByName(areas.select("area_id").where("area_id is not null"))
+    overflow = known.distinct().select(
         "area_id",
         F.lit(facility).cast(od.schema["facility_id"].dataType).alias("facility_id"),
         F.lit(float(km)).alias("km"),
     )
-    return od.select("area_id", "facility_id", "km").unionByName(overflow)
+    done = there.where(F.col("facility_id") == facility).select("area_id")
+    return there.unionByName(overflow.join(done, "area_id", "left_anti"))
 
 
 def restrict_od(

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from careflow import fixed_values as fv
 from careflow.functions.calendar import DateLike, as_date, date_key
-from careflow.operators.calendar import in_horizon
-from careflow.operators.classify import type_array
 
 SHORT_NAMES = {"patient_type": "p", "area_id": "a", "facility_id": "h", "date": "t"}
 
@@ -69,12 +67,6 @@ def index_sets(
     )
 
 
-def types_in_window(episodes: DataFrame, start: DateLike, end: DateLike, type_col: str = "patient_type") -> Column:
-    """Sorted types among the admissions inside the planning window, as a small array."""
-    rows = episodes.where(in_horizon("admit_date", start, end)).where(F.col("area_id").isNotNull())
-    return type_array(rows, type_col)
-
-
 def param_to_table(
     table: DataFrame, value_col: str, types: Column | None = None, value_name: str = "value"
 ) -> DataFrame:
@@ -116,6 +108,11 @@ def weights(step: float = fv.WEIGHT_STEP) -> list[float]:
     return [round(1 - i / n, 4) for i in range(n + 1)]
 
 
+def other_weight(weight: Column) -> Column:
+    """The weight of the other objective: what is missing to 1, to the four digits that weights have."""
+    return F.round(1 - weight, 4)
+
+
 def weight_array(values: list[float]) -> Column:
     """The weights as an array literal, to be exploded onto any table."""
     return F.array(*(F.lit(float(v)) for v in values))
@@ -124,5 +121,5 @@ def weight_array(values: list[float]) -> Column:
 def weight_grid(table: DataFrame, step: float = fv.WEIGHT_STEP) -> DataFrame:
     """Repeat a table for every weight pair: ``weight`` on distance, ``weight_infection`` on infection."""
     return table.select("*", F.explode(weight_array(weights(step))).alias("weight")).withColumn(
-        "weight_infection", F.round(1 - F.col("weight"), 1)
+        "weight_infection", other_weight(F.col("weight"))
     )

@@ -7,6 +7,7 @@ table; nothing loops over them.
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -16,10 +17,13 @@ from pyspark.sql import Window as W
 from careflow import fixed_values as fv
 from careflow.functions.calendar import DateLike, as_date
 from careflow.operators.capacity import hours_needed
+from careflow.operators.geography import add_overflow_distance
 from careflow.operators.ledger import fill_series
-from careflow.operators.params import weight_array
+from careflow.operators.params import other_weight, weight_array
 from careflow.session import cut_lineage
 
+log = logging.getLogger(__name__)
+
 DEMAND_KEY = ["weight", "patient_type", "area_id", "date"]
 CELL_KEY = ["weight", "patient_type", "facility_id", "date"]
 BOUNDS = ("best_distance", "worst_distance", "best_infection", "worst_infection")
@@ -28,17 +32,20 @@ BOUNDS = ("best_distance", "worst_distance", "best_infection", "worst_infection"
 # --- unit costs -----------------------------------------------------------------------------------
 
 
-def located_exposure(
-    od: DataFrame, exposure: DataFrame, area_days: DataFrame
-) -> DataFrame:
+def reach_all(od: DataFrame, areas: DataFrame, overflow: int = fv.OVERFLOW_FACILITY) -> DataFrame:
+    """``od`` with a way to the overflow facility for every area that occurs in ``areas``."""
+    return add_overflow_distance(od, overflow, areas=areas)
+
+
+def located_exposure(od: DataFrame, exposure: DataFrame, area_days: DataFrame) -> DataFrame:
     """(area_id, date, facility_id, km, exposure) for the area-days that occur in ``area_days``.
 
-    Exposure of a (facility, day) without a row is 0.
+    Exposure of a (facility, day) without a row is 0. An area without any distance has the overflow facility alone.
     """
     return (
         area_days.select("area_id", "date")
         .distinct()
-        .join(od, "area_id")
+        .join(reach_all(od, area_days), "area_id")
         .join(exposure, ["date", "facility_id"], "left")
         .withColumn("exposure", F.coalesce("exposure", F.lit(0).cast("long")))
     )
@@ -54,28 +61,60 @@ def objective_bounds(
     """Smallest and largest total distance and infection, with and without the overflow facility.
 
     Sum of demand x cheapest / dearest unit cost: exact while capacity does not bind. One row.
+
+    Distance does not depend on the day, and exposure on the area only through the facilities that it can reach.
+    So distances are reduced per area, exposures per day and set of facilities (areas mostly share one), and both are
+    joined to the demand totals; nothing is spread over areas x days x facilities. Unlocated areas reach the overflow
+    facility only and have no share in the totals without it.
     """
     real = F.col("facility_id") != overflow
-    unit = (
-        located_exposure(od, exposure, demand)
-        .groupBy("area_id", "date")
+    ways = reach_all(od, demand, overflow)
+    areas = ways.groupBy("area_id").agg(
+        F.min("km").alias("d0"),
+        F.max("km").alias("d1"),
+        F.min(F.when(real, F.col("km"))).alias("rd0"),
+        F.max(F.when(real, F.col("km"))).alias("rd1"),
+        F.count_distinct("facility_id").alias("n"),
+        F.count_distinct(F.when(real, F.col("facility_id"))).alias("rn"),
+        F.bit_xor(F.xxhash64("facility_id")).alias("reach"),
+    )
+    sample = areas.groupBy("n", "reach").agg(F.min("area_id").alias("area_id"))
+    members = ways.join(sample, "area_id").select("n", "reach", "facility_id").distinct()
+    by_day = (
+        exposure.join(members, "facility_id")
+        .groupBy("n", "reach", "date")
         .agg(
-            F.min("km").alias("d0"),
-            F.max("km").alias("d1"),
             F.min("exposure").alias("e0"),
             F.max("exposure").alias("e1"),
-            F.min(F.when(real, F.col("km"))).alias("rd0"),
-            F.max(F.when(real, F.col("km"))).alias("rd1"),
+            F.count("*").alias("seen"),
             F.min(F.when(real, F.col("exposure"))).alias("re0"),
             F.max(F.when(real, F.col("exposure"))).alias("re1"),
+            F.count(F.when(real, F.lit(1))).alias("rseen"),
         )
     )
+    zero = F.lit(0).cast("long")
+
+    def least(low: str, seen: str, n: str) -> Column:
+        """A facility without a row has exposure 0."""
+        return F.when(F.col(n) == 0, None).when(F.col(seen) >= F.col(n), F.col(low)).otherwise(zero)
+
+    def most(high: str, seen: str, n: str) -> Column:
+        return F.when(F.col(n) == 0, None).otherwise(F.coalesce(high, zero))
+
+    unit = {
+        "e0": least("e0", "seen", "n"),
+        "e1": most("e1", "seen", "n"),
+        "re0": least("re0", "rseen", "rn"),
+        "re1": most("re1", "rseen", "rn"),
+    }
     wanted = demand.groupBy("area_id", "date").agg(F.sum("qty").alias("qty"))
+    rows = wanted.join(areas, "area_id").join(by_day, ["n", "reach", "date"], "left")
+    rows = rows.withColumns({"seen": F.coalesce("seen", zero), "rseen": F.coalesce("rseen", zero)}).withColumns(unit)
 
     def total(col: str, factor: float = 1.0) -> Column:
         return F.coalesce(F.sum(F.col("qty") * F.col(col)) * F.lit(factor), F.lit(0.0))
 
-    return wanted.join(unit, ["area_id", "date"]).agg(
+    return rows.agg(
         total("d0").alias("best_distance"),
         total("d1").alias("worst_distance"),
         total("e0", attack).alias("best_infection"),
@@ -99,7 +138,7 @@ def unit_cost(weight: Column, km: Column, exposure: Column, bounds: Column, atta
     """Weighted, normalised cost of one patient. A term whose bounds coincide cannot decide and is 0."""
     distance = F.coalesce(weight * km / _spread(bounds, "distance"), F.lit(0.0))
     infection = F.coalesce(
-        F.round(1 - weight, 1) * F.lit(attack) * exposure / _spread(bounds, "infection"), F.lit(0.0)
+        other_weight(weight) * F.lit(attack) * exposure / _spread(bounds, "infection"), F.lit(0.0)
     )
     return distance + infection
 
@@ -130,18 +169,19 @@ def pair_costs(
 # --- assignment -----------------------------------------------------------------------------------
 
 
-def assign_lowest_cost(demand: DataFrame, costs: DataFrame) -> DataFrame:
-    """Every demand row to its cheapest facility, ties to the smallest facility id.
+def assign_lowest_cost(demand: DataFrame, costs: DataFrame, overflow: int = fv.OVERFLOW_FACILITY) -> DataFrame:
+    """Every demand row to its cheapest facility, ties to the smallest facility id, the overflow facility last.
 
     Optimal when neither beds nor staff bind, a lower bound otherwise. The choice per (weight, area, day)
-    is one ``min_by`` aggregate, which combines before the shuffle; it is shared by all patient types.
+    is one ``min_by`` aggregate, which combines before the shuffle; it is shared by all patient types. Cost tables of
+    ``pair_costs`` hold the overflow facility for areas without coordinates, so their demand is assigned there.
     """
     best = costs.groupBy("weight", "area_id", "date").agg(
-        F.min_by("facility_id", F.struct("cost", "facility_id")).alias("facility_id")
-    )
-    return demand.join(best, ["area_id", "date"]).select(
-        "weight", "patient_type", "area_id", "facility_id", "date", F.col("qty").cast("long").alias("qty")
+        F.min_by("facility_id", F.struct("cost", F.col("facility_id") == overflow, "facility_id")).alias("facility_id")
     )
+    located = demand.join(best, ["area_id", "date"])
+    columns = ["weight", "patient_type", "area_id", "facility_id", "date", F.col("qty").cast("long").alias("qty")]
+    return located.select(*columns)
 
 
 def assign_cheapest(
@@ -213,65 +253,74 @@ def _allot(bids: DataFrame) -> DataFrame:
     )
 
 
-def _one_round(
-    unplaced: DataFrame,
-    costs: DataFrame,
-    room: DataFrame,
-    accept: Callable[[DataFrame], DataFrame] | None,
-    overflow: int,
-) -> DataFrame:
+Offers = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def offers_by_cost(costs: DataFrame, overflow: int = fv.OVERFLOW_FACILITY) -> Offers:
+    """Real facilities with room for open rows, priced by a cost table."""
+    priced = costs.where(F.col("facility_id") != overflow)
+
+    def offers(rows: DataFrame, room: DataFrame) -> DataFrame:
+        free = room.where((F.col("room") > 0) & (F.col("facility_id") != overflow)).select(*CELL_KEY, "room")
+        return rows.join(priced, ["weight", "area_id", "date"]).join(free, CELL_KEY)
+
+    return offers
+
+
+def offers_by_distance(
+    od: DataFrame,
+    exposure: DataFrame,
+    bounds: DataFrame,
+    attack: float = fv.ATTACK_FACTOR,
+    overflow: int = fv.OVERFLOW_FACILITY,
+) -> Offers:
+    """The same from distance per (area, facility) and exposure per (day, facility), which stay apart.
+
+    Only rows that are still open meet facilities that still have room; no table of all costs is built.
+    """
+    b = _one_row(bounds)
+    real = od.where(F.col("facility_id") != overflow).select("area_id", "facility_id", "km")
+
+    def offers(rows: DataFrame, room: DataFrame) -> DataFrame:
+        free = room.where((F.col("room") > 0) & (F.col("facility_id") != overflow)).select(*CELL_KEY, "room")
+        free = free.join(exposure, ["date", "facility_id"], "left")
+        cost = unit_cost(F.col("weight"), F.col("km"), F.coalesce("exposure", F.lit(0)), b, attack)
+        met = rows.join(real, "area_id").join(free, CELL_KEY).withColumn("cost", cost)
+        return met.select(*DEMAND_KEY, "qty", "facility_id", "cost", "room")
+
+    return offers
+
+
+def _one_round(unplaced: DataFrame, offers: DataFrame, accept: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """Cheapest facility with room for every unplaced row, and how much of the row it takes.
 
-    Rows that find no room anywhere go to the overflow facility at once. Room never grows, so they could
-    not find any later. Without ``accept`` a cell takes bids up to its room.
+    Without ``accept`` a cell takes bids up to its room. Rows without any offer are not in the result.
     """
-    offer = F.when(F.col("room") > 0, F.struct("cost", "facility_id", F.col("room").alias("accepted")))
-    bids = (
-        unplaced.join(costs, ["weight", "area_id", "date"], "left")
-        .join(room.select(*CELL_KEY, "room"), CELL_KEY, "left")
-        .groupBy(*DEMAND_KEY, "qty")
-        .agg(F.min(offer).alias("best"))
-        .select(*DEMAND_KEY, "qty", "best.*")
+    best = offers.groupBy(*DEMAND_KEY, "qty").agg(
+        F.min(F.struct("cost", "facility_id", F.col("room").alias("accepted"))).alias("best")
     )
-    real = bids.where("facility_id is not null")
+    bids = best.select(*DEMAND_KEY, "qty", "best.*")
     if accept is not None:
-        totals = real.groupBy(*CELL_KEY).agg(F.sum("qty").alias("asked"))
-        real = real.drop("accepted").join(accept(totals), CELL_KEY)
-    cols = [*DEMAND_KEY, "facility_id", "qty", "got"]
-    lost = bids.where("facility_id is null").select(
-        *DEMAND_KEY,
-        F.lit(overflow).cast(costs.schema["facility_id"].dataType).alias("facility_id"),
-        "qty",
-        F.col("qty").alias("got"),
-    )
-    return _allot(real).select(*cols).unionByName(lost)
+        totals = bids.groupBy(*CELL_KEY).agg(F.sum("qty").alias("asked"))
+        bids = bids.drop("accepted").join(accept(totals), CELL_KEY)
+    return _allot(bids)
 
 
 def _spread_round(
-    unplaced: DataFrame,
-    costs: DataFrame,
-    room: DataFrame,
-    accept: Callable[[DataFrame], DataFrame],
-    overflow: int,
-    block: Column,
+    unplaced: DataFrame, offers: DataFrame, accept: Callable[[DataFrame], DataFrame], block: Column
 ) -> DataFrame:
     """A round in which rows with the same first choice ask along their lists instead of all at its top.
 
     A row whose competitors (same weight, type, first choice and day ``block``, cheaper or earlier) already
     claim ``ahead`` places asks the options of its own list that hold the places ``ahead`` to ``ahead + qty``.
     So a crowded facility does not cost one round per refused row. Facilities still decide in cost order up
-    to their room.
+    to their room. The queue of a first choice is one window partition; it holds the open rows of one weight, type and
+    block, so it is bounded by areas x days of a stay, not by episodes.
     """
-    has_room = F.coalesce(F.col("room") > 0, F.lit(False))
-    own = W.partitionBy(*DEMAND_KEY).orderBy((~has_room).cast("int"), "cost", "facility_id")
+    own = W.partitionBy(*DEMAND_KEY).orderBy("cost", "facility_id")
     so_far = own.rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = (
-        unplaced.join(costs, ["weight", "area_id", "date"], "left")
-        .join(room.select(*CELL_KEY, "room"), CELL_KEY, "left")
-        .withColumns({"_rank": F.row_number().over(own), "_upto": F.sum("room").over(so_far)})
-        .where(has_room | (F.col("_rank") == 1))
-    )
-    first = ranked.where((F.col("_rank") == 1) & has_room).withColumn("_block", block)
+    ranked = offers.withColumns({"_rank": F.row_number().over(own), "_upto": F.sum("room").over(so_far)})
+    first = ranked.where("_rank = 1").withColumn("_block", block)
     queue = (
         W.partitionBy("weight", "patient_type", "facility_id", "_block")
         .orderBy("date", "cost", "area_id")
@@ -279,8 +328,7 @@ def _spread_round(
     )
     ahead = first.select(*DEMAND_KEY, (F.sum("qty").over(queue) - F.col("qty")).alias("_ahead"))
     asks = (
-        ranked.where(has_room)
-        .join(ahead, DEMAND_KEY)
+        ranked.join(ahead, DEMAND_KEY)
         .withColumn(
             "qty",
             F.least("_upto", F.col("_ahead") + F.col("qty")) - F.greatest(F.col("_upto") - F.col("room"), F.col("_ahead")),
@@ -288,21 +336,19 @@ def _spread_round(
         .where("qty > 0")
     )
     totals = asks.groupBy(*CELL_KEY).agg(F.sum("qty").alias("asked"))
-    cols = [*DEMAND_KEY, "facility_id", "qty", "got"]
-    lost = ranked.where(~has_room).select(
-        *DEMAND_KEY,
-        F.lit(overflow).cast(costs.schema["facility_id"].dataType).alias("facility_id"),
-        "qty",
-        F.col("qty").alias("got"),
-    )
-    return _allot(asks.join(accept(totals), CELL_KEY)).select(*cols).unionByName(lost)
+    columns = [*DEMAND_KEY, "facility_id", "got"]
+    # a row behind so many competitors that its list has no place for it asks nobody this time, and stays open
+    present = first.withColumn("got", F.lit(0).cast("long"))
+    return _allot(asks.join(accept(totals), CELL_KEY)).select(*columns).unionByName(present.select(*columns))
 
 
 def place_in_rounds(
     demand: DataFrame,
-    costs: DataFrame,
-    room_after: Callable[[DataFrame | None], DataFrame],
-    accept_after: Callable[[DataFrame | None], Callable[[DataFrame], DataFrame]] | None = None,
+    offers: Offers,
+    state: DataFrame,
+    room_of: Callable[[DataFrame], DataFrame],
+    taken_from: Callable[[DataFrame, DataFrame], DataFrame],
+    accept_by: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     overflow: int = fv.OVERFLOW_FACILITY,
     block: Column | None = None,
 ) -> DataFrame:
@@ -311,53 +357,58 @@ def place_in_rounds(
     In each round a row proposes to its cheapest facility with room, or with ``block`` along its list behind
     its competitors (``_spread_round``); what a facility cannot take tries again. A facility that turns
     anything away is full for that cell, and a row without room anywhere is placed in the overflow facility, so
-    the loop ends. Each round is one job whose result is written to the checkpoint folder. The driver sees one
-    boolean per round.
+    the loop ends. Room never grows, so such a row could not find any later.
+
+    ``state`` is what is left of the facilities. It is carried from round to round: ``taken_from(state, got)`` takes
+    off what the round placed, ``room_of(state)`` gives the room of each cell and ``accept_by(state, asked)`` what each
+    cell accepts. Placed rows, open rows and the state are written in each round; the driver sees one boolean per round.
     """
-    costs = cut_lineage(costs.where(F.col("facility_id") != overflow))
-    wanted = demand.select(*DEMAND_KEY, F.col("qty").cast("long").alias("qty")).where("qty > 0")
-    unplaced, placed = wanted, None
+    unplaced = demand.select(*DEMAND_KEY, F.col("qty").cast("long").alias("qty")).where("qty > 0")
+    placed, rounds = None, 0
     while True:
-        accept = accept_after(placed) if accept_after else None
-        room = room_after(placed)
-        if block is None:
-            result = cut_lineage(_one_round(unplaced, costs, room, accept, overflow))
-        else:
-            result = cut_lineage(_spread_round(unplaced, costs, room, accept, overflow, block))
-        got = result.where("got > 0").select(*DEMAND_KEY, "facility_id", F.col("got").alias("qty"))
-        placed = got if placed is None else placed.unionByName(got)
-        unplaced = (
-            wanted.unionByName(placed.select(*DEMAND_KEY, (-F.col("qty")).alias("qty")))
-            .groupBy(*DEMAND_KEY)
-            .agg(F.sum("qty").alias("qty"))
-            .where("qty > 0")
+        met = offers(unplaced, room_of(state))
+        accept = (lambda asked, now=state: accept_by(now, asked)) if accept_by else None
+        round_ = _one_round(unplaced, met, accept) if block is None else _spread_round(unplaced, met, accept, block)
+        result = cut_lineage(round_.select(*DEMAND_KEY, "facility_id", "got"))
+        asked = result.groupBy(*DEMAND_KEY).agg(F.sum("got").alias("got"))
+        # a row that is not in the result had no offer
+        left = cut_lineage(unplaced.join(asked, DEMAND_KEY, "left"))
+        lost = left.where("got is null").select(
+            *DEMAND_KEY, F.lit(overflow).cast(result.schema["facility_id"].dataType).alias("facility_id"), "qty"
         )
+        got = result.where("got > 0").select(*DEMAND_KEY, "facility_id", F.col("got").alias("qty"))
+        both = got.unionByName(lost)
+        placed = both if placed is None else placed.unionByName(both)
+        rounds += 1
+        unplaced = left.where("got < qty").select(*DEMAND_KEY, (F.col("qty") - F.col("got")).alias("qty"))
         if unplaced.isEmpty():
+            log.info("placed in %d rounds", rounds)
             return placed.groupBy(*DEMAND_KEY, "facility_id").agg(F.sum("qty").alias("qty")).select(
                 "weight", "patient_type", "area_id", "facility_id", "date", "qty"
             )
+        state = cut_lineage(taken_from(state, got))
 
 
 def assign_with_capacity(
-    demand: DataFrame, costs: DataFrame, free: DataFrame, overflow: int = fv.OVERFLOW_FACILITY
+    demand: DataFrame, costs: DataFrame | Offers, free: DataFrame, overflow: int = fv.OVERFLOW_FACILITY
 ) -> DataFrame:
     """Greedy assignment under capacity, each (weight, type, day) on its own.
 
     ``demand`` is (weight, patient_type, area_id, date, qty), ``free`` is (weight, patient_type,
-    facility_id, date, room). A heuristic: never above ``room``, all demand placed (what fits nowhere goes
-    to the overflow facility), equal to ``assign_lowest_cost`` with room to spare, not proven optimal.
+    facility_id, date, room), ``costs`` a cost table or ``offers_by_distance``. A heuristic: never above ``room``, all
+    demand placed (what fits nowhere goes to the overflow facility), equal to ``assign_lowest_cost`` with room to spare,
+    not proven optimal.
     """
-    def room_after(placed: DataFrame | None) -> DataFrame:
-        if placed is None:
-            return free
+
+    def taken_from(room: DataFrame, got: DataFrame) -> DataFrame:
         return (
-            free.select(*CELL_KEY, "room")
-            .unionByName(placed.select(*CELL_KEY, (-F.col("qty")).alias("room")))
+            room.unionByName(got.select(*CELL_KEY, (-F.col("qty")).alias("room")))
             .groupBy(*CELL_KEY)
             .agg(F.sum("room").alias("room"))
         )
 
-    return place_in_rounds(demand, costs, room_after, None, overflow)
+    offers = offers_by_cost(costs, overflow) if isinstance(costs, DataFrame) else costs
+    return place_in_rounds(demand, offers, free.select(*CELL_KEY, "room"), lambda room: room, taken_from, None, overflow)
 
 
 # --- evaluation -----------------------------------------------------------------------------------
@@ -370,20 +421,16 @@ def plan_census(
     los: DataFrame,
     start: DateLike,
     end: DateLike,
-    weight_values: list[float] | None = None,
+    weight_values: list[float],
 ) -> DataFrame:
     """(weight, patient_type, facility_id, date, census) on every day start <= date < end.
 
     Patients come in on their day, leave after their length of stay, and the initial ones as released.
     ``initial`` and ``releases`` carry a weight column if they differ by weight, otherwise they count for
-    every weight (``weight_values``, or those of the plan). Series without any patient have no rows
-    (census 0).
+    every one of ``weight_values``. Series without any patient have no rows (census 0).
     """
     first, last = as_date(start), as_date(end) - dt.timedelta(days=1)
-    if weight_values is None:
-        all_weights = plan.agg(F.array_sort(F.collect_set("weight"))).scalar()
-    else:
-        all_weights = weight_array(weight_values)
+    all_weights = weight_array(weight_values)
 
     def weighted(df: DataFrame) -> DataFrame:
         return df if "weight" in df.columns else df.withColumn("weight", F.explode(all_weights))
@@ -442,12 +489,16 @@ def score_plan(
     attack: float = fv.ATTACK_FACTOR,
     by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Distance cost, infection cost, their normalised forms and the weighted total, per weight."""
+    """Distance cost, infection cost, their normalised forms and the weighted total, per weight.
+
+    Every assigned patient counts; a way without a known distance is as long as that to the overflow facility.
+    """
     b = _one_row(bounds)
     keys = ["weight", *by]
     flows = plan.groupBy(*keys, "area_id", "facility_id", "date").agg(F.sum("qty").alias("qty"))
     sums = (
-        flows.join(od, ["area_id", "facility_id"])
+        flows.join(od.select("area_id", "facility_id", "km"), ["area_id", "facility_id"], "left")
+        .withColumn("km", F.coalesce("km", F.lit(float(fv.OVERFLOW_KM))))
         .join(exposure, ["date", "facility_id"], "left")
         .groupBy(*keys)
         .agg(
@@ -465,7 +516,7 @@ def score_plan(
         infection.alias("infection_norm"),
         (
             F.col("weight") * F.coalesce(distance, F.lit(0.0))
-            + F.round(1 - F.col("weight"), 1) * F.coalesce(infection, F.lit(0.0))
+            + other_weight(F.col("weight")) * F.coalesce(infection, F.lit(0.0))
         ).alias("total"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +33,6 @@ class RunConfig:
     area_prefix: str | None = fv.AREA_PREFIX
     seed: int = 0
     calendar: bool = False
-    extra: dict = field(default_factory=dict)
 
     @property
     def end(self):
@@ -112,7 +111,8 @@ def build_params(sources: dict[str, DataFrame], config: RunConfig) -> dict[str,
     # Restricting the home areas to those with demand before building the matrix gives the same rows as
     # restricting the finished matrix.
     area_km = geo.area_distances(demand, places, sources["coordinates"])
-    od = geo.restrict_od(geo.add_overflow_distance(geo.facility_distances(area_km, places)), demand, places)
+    reached = geo.add_overflow_distance(geo.facility_distances(area_km, places), areas=demand)
+    od = geo.restrict_od(reached, demand, places)
 
     return {
         "demand": par.demand_table(demand),

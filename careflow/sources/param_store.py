@@ -1,7 +1,7 @@
 """Parameter tables on disk, one folder per run and table.
 
-A run is identified by what it was built from: start day, number of days and configuration. A different
-window is a different run, so a stale one is never picked up.
+A run is identified by what it was built from: start day, number of days, configuration and source files. Another
+window or other data is a different run, so a stale one is never picked up.
 """
 
 from __future__ import annotations
@@ -9,14 +9,26 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from careflow.functions.calendar import DateLike, as_date
 
+MARKER = "name string"
 
-def run_id(start: DateLike, days: int, config: dict | None = None) -> str:
-    """Name of a run."""
-    text = json.dumps(config or {}, sort_keys=True, default=str)
+
+def source_identity(sources: dict[str, DataFrame]) -> dict[str, list[str]]:
+    """The files that each source reads. Tables without files (made in memory) are told apart by their schema only."""
+    return {
+        name: [df.schema.simpleString(), *sorted(df.inputFiles())] for name, df in sorted(sources.items())
+    }
+
+
+def run_id(
+    start: DateLike, days: int, config: dict | None = None, sources: dict[str, DataFrame] | None = None
+) -> str:
+    """Name of a run. Files that are replaced under the same name need another ``config``, such as a version."""
+    text = json.dumps([config or {}, source_identity(sources or {})], sort_keys=True, default=str)
     return f"{as_date(start):%Y%m%d}-{days}-{hashlib.sha1(text.encode()).hexdigest()[:12]}"
 
 
@@ -24,23 +36,31 @@ def _folder(base: str, run: str) -> str:
     return f"{base.rstrip('/')}/run_id={run}"
 
 
+def _mark(spark: SparkSession, base: str, run: str, names: list[str]) -> None:
+    rows = spark.createDataFrame([(n,) for n in names], MARKER).coalesce(1)
+    rows.write.mode("overwrite").parquet(f"{_folder(base, run)}/tables_of_run")
+
+
 def save_params(params: dict[str, DataFrame], base: str, run: str) -> None:
-    """Write every table as Parquet, then a marker table that lists them."""
+    """Write every table as Parquet, then a marker table that lists them.
+
+    The marker is emptied first, so a run that fails on the way is not taken for a complete one.
+    """
     names = sorted(params)
+    spark = params[names[0]].sparkSession
+    _mark(spark, base, run, [])
     for name in names:
         params[name].write.mode("overwrite").parquet(f"{_folder(base, run)}/{name}")
-    spark = params[names[0]].sparkSession
-    spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("overwrite").parquet(
-        f"{_folder(base, run)}/tables_of_run"
-    )
+    _mark(spark, base, run, names)
 
 
 def load_params(spark: SparkSession, base: str, run: str) -> dict[str, DataFrame] | None:
     """Tables of a complete run, or None if there is none."""
-    marker = f"{_folder(base, run)}/tables_of_run"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(marker)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    names = [r["name"] for r in spark.read.parquet(marker).collect()]
-    return {n: spark.read.parquet(f"{_folder(base, run)}/{n}") for n in names}
+    try:
+        marker = spark.read.schema(MARKER).parquet(f"{_folder(base, run)}/tables_of_run")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    names = [r["name"] for r in marker.collect()]
+    return {n: spark.read.parquet(f"{_folder(base, run)}/{n}") for n in names} or None

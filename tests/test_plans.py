@@ -104,7 +104,7 @@ def test_zero_stay_never_occupies_and_flat_bounds(spark, region):
     plan = spark.createDataFrame([(1.0, "A", 1, 1, DAY, 3)], "weight double, patient_type string, area_id long, facility_id long, date date, qty long")
     los = spark.createDataFrame([("A", 0)], "patient_type string, los long")
     none_i, none_r = region["initial"].limit(0), region["releases"].limit(0)
-    census = alloc.plan_census(plan, none_i, none_r, los, DAY, DAYS[2])
+    census = alloc.plan_census(plan, none_i, none_r, los, DAY, DAYS[2], [1.0])
     assert {r.census for r in census.collect()} == {0}
     flat = spark.createDataFrame([(1, 1, 5.0)], "area_id long, facility_id long, km double")
     demand = spark.createDataFrame([("A", 1, DAY, 3)], "patient_type string, area_id long, date date, qty long")
@@ -118,7 +118,7 @@ def test_census_recurrence(spark, region):
         [(1.0, "CANCER_CLINICAL", 1, 1, DAYS[0], 4), (1.0, "CANCER_CLINICAL", 1, 1, DAYS[1], 1)],
         "weight double, patient_type string, area_id long, facility_id long, date date, qty long",
     )
-    census = alloc.plan_census(plan, region["initial"], region["releases"], region["los"], DAY, DAY + dt.timedelta(days=4))
+    census = alloc.plan_census(plan, region["initial"], region["releases"], region["los"], DAY, DAY + dt.timedelta(days=4), [1.0])
     assert [r.census for r in census.orderBy("date").collect()] == [7, 6, 2, 1]
     assert alloc.carry_over(census, DAYS[2]).first().census == 2
 
@@ -142,8 +142,8 @@ def test_horizon_places_all_and_respects_beds(spark, region, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     plan = spark.createDataFrame(kept, plan.schema)
     assert total(plan) == total(weighted(region["demand"]))
-    census = alloc.plan_census(plan, region["initial"], region["releases"], region["los"], DAY, DAY + dt.timedelta(days=4))
-    broken = checks.check_plan(plan, census, region["demand"], region["capacity"], region["staff_hours"])
+    census = alloc.plan_census(plan, region["initial"], region["releases"], region["los"], DAY, DAY + dt.timedelta(days=4), WEIGHTS)
+    broken = checks.check_plan(plan, census, region["demand"], region["capacity"], region["staff_hours"], WEIGHTS)
     assert broken.collect() == []
     assert {r.segment for r in plan.select("segment").distinct().collect()} == {0, 1}
     assert plan.where("facility_id = 0").count() > 0 and plan.where("facility_id <> 0").count() > 0
