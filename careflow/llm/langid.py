@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ START = "▁"  # the vocabulary's mark of a word's beginning
 GOES_ON = "\0"
 LONGEST_PIECE = 8
 LONGEST_WORD = 40  # longer runs of letters are cut into words of this length, so that no product underflows
-_WORDS_KEPT = 150_000
+_WORDS_KEPT, _WORDS_STAY = 300_000, 100_000  # most words in memory; those met first stay when it is full
 
 
 def held_out(doc_id: Column) -> Column:
@@ -211,8 +212,8 @@ def language_of(docs: DataFrame, max_docs: int = 1500, rounds: int = 4, smooth:
                 counts = [words(t) if languages else Counter() for t in texts.iloc[low : low + 256]]
                 new = list(dict.fromkeys(w for c in counts for w in c if w not in known))
                 if len(known) + len(new) > _WORDS_KEPT:
-                    known.clear()
-                    new = list(dict.fromkeys(w for c in counts for w in c))
+                    known = dict(islice(known.items(), _WORDS_STAY))  # their rows come first in the table
+                    new = list(dict.fromkeys(w for c in counts for w in c if w not in known))
                 while len(known) + len(new) > len(table):
                     table = np.concatenate((table, np.empty_like(table)))
                 for a in range(0, len(new), 5000):
