@@ -26,7 +26,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 FOLDS, FOLD = 4, 2
 START = "▁"  # the vocabulary's mark of a word's beginning
 GOES_ON = "\0"
-LONGEST_PIECE = 8
+LONGEST_PIECE = 6
 LONGEST_WORD = 40  # longer runs of letters are cut into words of this length, so that no product underflows
 _WORDS_KEPT, _WORDS_STAY = 300_000, 100_000  # most words in memory; those met first stay when it is full
 
