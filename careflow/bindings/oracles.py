@@ -422,6 +422,15 @@ def _table(name: str, source: str, value: str, *keys: str) -> str:
 
 
 FINAL: dict[str, str] = {
+    "read_table": f"SELECT o_custkey, {_key('o_orderdate')} AS o_orderdate FROM orders",
+    "read_lookups": """SELECT 'diagnoses' AS lookup, 'P'||p_partkey AS code, CASE WHEN p_type='PROMO' THEN 'CANCER' ELSE 'OTHER' END AS value FROM part
+UNION ALL SELECT 'procedures', CAST(p_partkey AS VARCHAR), CASE WHEN p_size > 25 THEN 'SURGERY' ELSE 'CLINICAL' END FROM part
+UNION ALL SELECT 'beds', CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey=12 THEN 'CANCER_SURGERY' WHEN s_suppkey=44 THEN 'CANCER_CLINICAL'
+  WHEN s_suppkey % 3=1 THEN 'OTHER_SURGERY' ELSE 'OTHER_CLINICAL' END FROM supplier
+UNION ALL SELECT 'occupations', CAST(s_suppkey AS VARCHAR), s_name FROM supplier""",
+    "write_table": "SELECT patient_type, area_id, date, qty FROM flows",
+    "save_params": """SELECT facility_id, patient_type, date, beds AS amount FROM beds
+UNION ALL SELECT facility_id, NULL, date, h.hours FROM hours h""",
     "param_table": f"SELECT type_id AS p, area_id AS a, {_key('date')} AS t, qty AS value FROM demand JOIN typed USING (patient_type)",
     "disease_group": "SELECT code, disease FROM diagnoses",
     "disease_group_coarse": "SELECT code, disease_coarse FROM diagnoses",

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from careflow import fixed_values as fv
 from careflow.bindings.views import CONFIG, EXCLUDED_AREAS, SURGICAL, Views
@@ -35,7 +37,8 @@ from careflow.operators import resources as res
 from careflow.plans import allocation as alloc
 from careflow.plans import preparation as prep
 from careflow.plans.horizon import plan_segments as run_segments
-from careflow.session import cut_lineage
+from careflow.session import cut_lineage, scratch_folder
+from careflow.sources import param_store, tables
 
 START, END, DAYS = CONFIG.start, CONFIG.end, CONFIG.days
 SEGMENTS = 7
@@ -145,6 +148,63 @@ def param_table(v: Views) -> DataFrame:
     return par.param_to_table(_demand(v), "qty", types)
 
 
+def _folder(v: Views, name: str) -> str:
+    return f"{scratch_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def read_table(v: Views) -> DataFrame:
+    """Orders written as CSV with a column more than is read, and read again by schema."""
+    path = _folder(v, "orders")
+    cols = ["o_orderkey", date_key(F.col("o_orderdate")).alias("o_orderdate"), "o_custkey"]
+    tables.write_table(v.table("orders").select(*cols, F.lit("é,").alias("o_note")), path, "csv")
+    schema = T.StructType([T.StructField("o_custkey", T.LongType()), T.StructField("o_orderdate", T.IntegerType())])
+    return tables.read_table(v.spark, path, schema, encoding="UTF-8")
+
+
+@query
+def read_lookups(v: Views) -> DataFrame:
+    """The four lookups, made from parts and suppliers, written as CSV and read again."""
+    folder = _folder(v, "lookups")
+    part, supplier = v.table("part"), v.table("supplier")
+    chapter = F.when(F.col("p_type") == "PROMO", fv.CANCER_CHAPTER).otherwise(F.col("p_type"))
+    group = F.when(F.col("p_size") > 25, fv.SURGICAL_GROUP).otherwise("x")
+    sources = {
+        "diagnoses": part.select(F.concat(F.lit("P"), "p_partkey").alias("ICD_10"), chapter.alias("Chapter_Desc")),
+        "procedures": part.select(F.col("p_partkey").alias("Codigo"), group.alias("Nome_Grupo_1")),
+        "beds": supplier.select(F.col("s_suppkey").alias("CO_LEITO"), (F.col("s_suppkey") % 3).alias("TP_LEITO")),
+        "occupations": supplier.select(F.col("s_suppkey").alias("cod_cbo"), F.col("s_name").alias("Nome_Cbo")),
+    }
+    for name, df in sources.items():
+        df.write.option("header", True).option("encoding", fv.CSV_ENCODING).csv(f"{folder}/{tables.LOOKUP_FILES[name][0]}")
+    read = tables.read_lookups(v.spark, folder)
+    values = {"diagnoses": "disease", "procedures": "treatment", "beds": "bed_group", "occupations": "name"}
+    rows = (
+        read[n].select(F.lit(n).alias("lookup"), F.col("code").cast("string").alias("code"), F.col(c).alias("value"))
+        for n, c in values.items()
+    )
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def write_table(v: Views) -> DataFrame:
+    """Flow counts written by type and read again."""
+    path = _folder(v, "flows")
+    tables.write_table(dem.flow_counts(v.classified()), path, "parquet", ["patient_type"])
+    return v.spark.read.parquet(path).select("patient_type", "area_id", "date", "qty")
+
+
+@query
+def save_params(v: Views) -> DataFrame:
+    """Beds and staff hours saved as a run and loaded again."""
+    base, made = _folder(v, "store"), {"beds": _beds(v), "hours": res.staff_hours(_staff_days(v))}
+    run = param_store.run_id(START, DAYS, {"seed": CONFIG.seed}, made)
+    param_store.save_params(made, base, run)
+    found = param_store.load_params(v.spark, base, run)
+    hours = found["hours"].select("facility_id", F.lit(None).cast("string").alias("patient_type"), "date", F.col("hours").alias("amount"))
+    return found["beds"].select("facility_id", "patient_type", "date", F.col("beds").alias("amount")).unionByName(hours)
+
+
 # --- B: classification -----------------------------------------------------------------------------
 
 

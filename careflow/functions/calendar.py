@@ -27,11 +27,9 @@ def date_key(col: Column | str) -> Column:
 
 
 def from_date_key(col: Column | str) -> Column:
-    """Integer ``YYYYMMDD`` to date."""
+    """Integer ``YYYYMMDD`` to date; null for a key that is no date, such as 0 or 20200232."""
     k = (F.col(col) if isinstance(col, str) else col).cast("int")
-    return F.make_date(
-        F.floor(k / 10000).cast("int"), F.floor(k / 100).cast("int") % 100, k % 100
-    )
+    return F.try_to_date(F.lpad(k.cast("string"), 8, "0"), "yyyyMMdd")
 
 
 def shift_date_key(col: Column | str, days: Column | int) -> Column:

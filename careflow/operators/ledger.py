@@ -128,9 +128,11 @@ def fill_series(
     Each sparse row holds until the next row of its series, so it is stretched over those days in place.
     ``carry`` columns keep their value over the stretch, ``exact`` columns only on the row's own day; the
     dict values are the defaults before the first row and on other days. ``skeleton`` lists series that
-    may have no row at all. ``days`` keeps only those days (a calendar-sized table).
+    may have no row at all.
 
-    One shuffle by series; no join of the dense rows except the filter on ``days``.
+    With ``days``, the distinct days to fill, a stretch is a slice of their sorted list: a single day far away adds one
+    day and not all that lie between. Without it every calendar day from ``first`` to ``last`` is filled. One shuffle by
+    series; no join of the dense rows.
     """
     own = F.lit(1)
     measures = [*carry, *exact]
@@ -144,13 +146,25 @@ def fill_series(
         *(F.lit(v).cast(types[c]).alias(c) for c, v in carry.items()),
         *(F.lit(v).cast(types[c]).alias(c) for c, v in exact.items()),
     )
+    stretched = rows.unionByName(opening)
+    if days is None:
+        # places are day numbers from ``first``
+        n = F.datediff(last, first) + 1
+        at = F.least(F.greatest(F.datediff("date", first), F.lit(0)), n)
+    else:
+        listed = days.where(F.col("date").between(first, last)).agg(F.array_sort(F.collect_set("date"))).scalar()
+        n = F.coalesce(F.size(listed), F.lit(0))
+        places = sparse.sparkSession.range(1).select(F.posexplode(listed).alias("_place", "_date"))
+        # one row per day that occurs at all
+        stretched = stretched.join(F.broadcast(places), F.col("date") == F.col("_date"), "left")
+        at = F.when((F.col("_own") == 0) | (F.col("date") < first), 0).otherwise(F.coalesce("_place", n))
     # An opening row sorts before a real row of the same day and then covers no day. A real row before
     # ``first`` sorts before the opening row, so the opening row takes over its carried values.
     w = W.partitionBy(*keys).orderBy("date", "_own")
     held = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    stretched = rows.unionByName(opening).withColumns(
+    stretched = stretched.withColumn("_at", at).withColumns(
         {
-            "_until": F.coalesce(F.date_sub(F.lead("date").over(w), 1), last),
+            "_next": F.coalesce(F.lead("_at").over(w), n),
             **{
                 c: F.coalesce(
                     F.last(F.when(F.col("_own") == 1, F.col(c)), ignorenulls=True).over(held), F.col(c)
@@ -159,15 +173,14 @@ def fill_series(
             },
         }
     )
-    stretched = (
-        stretched.withColumns(
-            {"_from": F.greatest("date", first), "_until": F.least("_until", last)}
-        )
-        .where("_from <= _until")
-        .withColumn("_day", F.explode(F.sequence("_from", "_until")))
-    )
+    stretched = stretched.where("_at < _next")
+    if days is None:
+        covered = F.sequence(F.date_add(first, F.col("_at")), F.date_add(first, F.col("_next") - 1))
+    else:
+        covered = F.slice(listed, F.col("_at") + 1, F.col("_next") - F.col("_at"))
+    stretched = stretched.withColumn("_day", F.explode(covered))
     is_own = (F.col("_own") == 1) & (F.col("_day") == F.col("date"))
-    filled = stretched.select(
+    return stretched.select(
         *keys,
         F.col("_day").alias("date"),
         *carry,
@@ -176,9 +189,6 @@ def fill_series(
             for c, v in exact.items()
         ),
     )
-    if days is not None:
-        filled = filled.join(F.broadcast(days), "date", "left_semi")
-    return filled
 
 
 def series_skeleton(df: DataFrame, type_col: str = "patient_type") -> DataFrame:

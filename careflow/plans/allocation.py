@@ -17,7 +17,6 @@ from pyspark.sql import Window as W
 from careflow import fixed_values as fv
 from careflow.functions.calendar import DateLike, as_date
 from careflow.operators.capacity import hours_needed
-from careflow.operators.geography import add_overflow_distance
 from careflow.operators.ledger import fill_series
 from careflow.operators.params import other_weight, weight_array
 from careflow.session import cut_lineage
@@ -32,9 +31,14 @@ BOUNDS = ("best_distance", "worst_distance", "best_infection", "worst_infection"
 # --- unit costs -----------------------------------------------------------------------------------
 
 
-def reach_all(od: DataFrame, areas: DataFrame, overflow: int = fv.OVERFLOW_FACILITY) -> DataFrame:
-    """``od`` with a way to the overflow facility for every area that occurs in ``areas``."""
-    return add_overflow_distance(od, overflow, areas=areas)
+def reach_all(
+    od: DataFrame, areas: DataFrame, overflow: int = fv.OVERFLOW_FACILITY, km: float = fv.OVERFLOW_KM
+) -> DataFrame:
+    """``od`` with the way to the overflow facility for every area in ``areas`` that has no distance at all."""
+    there = od.select("area_id", "facility_id", "km")
+    lost = areas.select("area_id").distinct().join(there.select("area_id"), "area_id", "left_anti")
+    facility = F.lit(overflow).cast(od.schema["facility_id"].dataType).alias("facility_id")
+    return there.unionByName(lost.select("area_id", facility, F.lit(float(km)).alias("km")))
 
 
 def located_exposure(od: DataFrame, exposure: DataFrame, area_days: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,31 @@ LOOKUP_FILES = {
 }
 
 
+class RejectedRows(ValueError):
+    """Some rows of a source cannot be read as their schema says."""
+
+
+REJECTED = "_rejected"
+
+
+def settle(df: DataFrame, source: str, rejects: str | None) -> DataFrame:
+    """Rows whose ``_rejected`` column is null, without that column.
+
+    The others are written to ``rejects`` as Parquet, or, without such a path, are an error that tells their number.
+    Nothing is dropped in silence. The rows are counted or written before the result is used.
+    """
+    wanted = [c for c in df.columns if c != REJECTED]
+    # the other columns too: a reader doesn't let the raw text stand alone
+    bad = df.withColumn("values", F.to_json(F.struct(*wanted))).where(F.col(REJECTED).isNotNull())
+    if rejects is not None:
+        bad.select(F.lit(source).alias("source"), F.col(REJECTED).alias("row"), "values").write.mode("append").parquet(rejects)
+    else:
+        n = bad.agg(F.count(REJECTED).alias("n"), F.max("values")).first()["n"]
+        if n:
+            raise RejectedRows(f"{source}: {n} rows don't fit the schema; give a path for rejects to go on without them")
+    return df.where(F.col(REJECTED).isNull()).select(*wanted)
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -64,42 +91,61 @@ def read_table(
     fmt: str = "csv",
     columns: Iterable[str] | None = None,
     encoding: str = fv.CSV_ENCODING,
+    rejects: str | None = None,
 ) -> DataFrame:
     """Read a table and keep ``columns`` (default: those of ``schema``).
 
     Types come from ``schema``, never from the data. For CSV the header line is read once to place the
-    schema's columns; all others are skipped by the parser (column pruning). Other formats carry their own
-    names and are cast to the schema.
+    schema's columns; all others are read as text and left out. Every file's own header is checked
+    against it, so files whose columns come in another order are an error and never read into the wrong columns. Other
+    formats carry their own names and are cast to the schema. A value that doesn't fit its type rejects its row, see
+    ``settle``.
     """
     wanted = list(columns) if columns is not None else ([f.name for f in schema.fields] if schema else None)
     if fmt != "csv":
         df = spark.read.format(fmt).load(path)
         if schema is not None:
-            df = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
+            fits = [F.col(f.name).isNull() | F.col(f.name).try_cast(f.dataType).isNotNull() for f in schema.fields]
+            rejected = F.when(~reduce(and_, fits), F.to_json(F.struct(*(f.name for f in schema.fields))))
+            df = df.select(
+                *(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields), rejected.alias(REJECTED)
+            )
+            df = settle(df, path, rejects)
         return df.select(*wanted) if wanted else df
     reader = spark.read.option("header", True).option("sep", ",").option("encoding", encoding)
-    if schema is not None:
-        known = {f.name: f for f in schema.fields}
-        header = reader.csv(path).columns
-        missing = [n for n in known if n not in header]
-        if missing:
-            raise ValueError(f"{path}: columns not found: {missing}")
-        schema = T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in header])
-        reader = reader.schema(schema)
-    df = reader.csv(path)
-    return df.select(*wanted) if wanted else df
-
-
-def read_source(spark: SparkSession, path: str, kind: str, fmt: str = "csv") -> DataFrame:
-    """One of the source tables (``episodes``, ``staff``, ``beds``, ``geo``) in this library's vocabulary."""
+    if schema is None:
+        df = reader.csv(path)
+        return df.select(*wanted) if wanted else df
+    known = {f.name: f for f in schema.fields}
+    header = reader.csv(path).columns
+    missing = [n for n in known if n not in header]
+    if missing:
+        raise ValueError(f"{path}: columns not found: {missing}")
+    placed = [known.get(n, T.StructField(n, T.StringType())) for n in header]
+    # whether a row is rejected must not depend on the columns that somebody reads
+    reader = reader.option("enforceSchema", False).option("columnPruning", False)
+    reader = reader.option("columnNameOfCorruptRecord", REJECTED)
+    df = reader.schema(T.StructType([*placed, T.StructField(REJECTED, T.StringType())])).csv(path)
+    return settle(df.select(*wanted, REJECTED), path, rejects)
+
+
+def read_source(
+    spark: SparkSession, path: str, kind: str, fmt: str = "csv", rejects: str | None = None
+) -> DataFrame:
+    """One of the source tables (``episodes``, ``staff``, ``beds``, ``geo``) in this library's vocabulary.
+
+    Date keys that are no dates reject their rows like other bad values.
+    """
     from careflow.functions.calendar import from_date_key
 
-    raw = read_table(spark, path, SOURCE_SCHEMAS[kind], fmt)
+    raw = read_table(spark, path, SOURCE_SCHEMAS[kind], fmt, rejects=rejects)
     df = raw.select(*(F.col(old).alias(new) for old, new in SOURCE_NAMES[kind].items()))
-    for col in ("admit_date", "discharge_date"):
-        if col in df.columns:
-            df = df.withColumn(col, from_date_key(col))
-    return df
+    dates = [c for c in ("admit_date", "discharge_date") if c in df.columns]
+    if not dates:
+        return df
+    bad = reduce(or_, (F.col(c).isNotNull() & from_date_key(c).isNull() for c in dates))
+    df = df.withColumn(REJECTED, F.when(bad, F.to_json(F.struct(*df.columns))))
+    return settle(df.withColumns({c: from_date_key(c) for c in dates}), path, rejects)
 
 
 def read_lookups(spark: SparkSession, folder: str, fmt: str = "csv") -> dict[str, DataFrame]:

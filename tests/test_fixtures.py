@@ -238,3 +238,70 @@ def test_param_store_is_keyed_by_run(spark, tmp_path):
     assert rows(par.param_to_table(t, "qty", F.array(F.lit("A")))) == [(0, 1, 2, 20200101, 3)]
     tables.write_table(t, str(tmp_path / "out"), "csv", ["area_id"])
     assert (tmp_path / "out" / "area_id=1").exists()
+
+
+def test_one_date_far_away_adds_one_day(spark):
+    near = [(k, "A", 1 + k % 2, 10, D(2020, 1, 1 + k % 5), D(2020, 1, 3 + k % 7), 2) for k in range(12)]
+    far = [*near, (99, "B", 2, 10, D(9999, 12, 30), None, 1)]
+
+    def dense(some):
+        mov = led.running_census(led.movements(episodes(spark, some)))
+        return led.forward_fill(led.densify(mov, ("census",)), ("census",))
+
+    want = {tuple(r) for r in dense(near).collect()}
+    found = dense(far).collect()
+    got, days = [tuple(r) for r in found], {r.date for r in found}
+    assert days == {r.date for r in dense(near).collect()} | {D(9999, 12, 30)}
+    assert len(got) == len(days) * 2 * 2  # two types, two facilities
+    assert want <= set(got)
+    ledger = led.ledger_from_movements(led.movements(episodes(spark, far), "patient_type", "2020-01-01", "2020-01-09"))
+    assert ledger.where("date > '2020-02-01'").count() == 4
+
+
+def test_hot_facility_has_one_row_per_day(spark):
+    """A facility with most of the episodes is counted before its series is ordered."""
+    many = spark.range(30_000).select(
+        F.col("id").alias("episode_id"), F.lit("A").alias("patient_type"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 50).alias("facility_id"),
+        F.lit(10).alias("area_id"), F.date_add(F.lit(D(2020, 1, 1)), (F.col("id") % 30).cast("int")).alias("admit_date"),
+        F.date_add(F.lit(D(2020, 1, 1)), (F.col("id") % 30 + 2).cast("int")).alias("discharge_date"), F.lit(2).alias("stay_days"),
+    )
+    mov = led.movements(many)
+    assert mov.where("facility_id = 7").count() <= 32
+    assert led.running_census(mov).where("facility_id = 7").agg(F.max("census")).first()[0] > 1000
+
+
+def test_exchanged_columns_bad_values_and_bad_dates(spark, tmp_path):
+    geo_dir = tmp_path / "geo"
+    geo_dir.mkdir()
+    (geo_dir / "a.csv").write_text("codigo_ibge,latitude,longitude\n1100015,-11.9,-61.9\n")
+    (geo_dir / "b.csv").write_text("codigo_ibge,longitude,latitude\n1100023,-62.9,-9.9\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_source(spark, str(geo_dir), "geo").collect()
+    bad = tmp_path / "bad.csv"
+    bad.write_text("codigo_ibge,latitude,longitude\n1100015,-11.9,x\n1100023,-9.9,-62.9\n")
+    with pytest.raises(tables.RejectedRows, match="1 rows"):
+        tables.read_source(spark, str(bad), "geo")
+    rejects = str(tmp_path / "rejects")
+    assert rows(tables.read_source(spark, str(bad), "geo", rejects=rejects)) == [(1100023, -9.9, -62.9)]
+    assert "-11.9" in spark.read.parquet(rejects).first()["row"]
+    sih = tmp_path / "sih.csv"
+    head = "N_AIH,MUNIC_RES,MUNIC_MOV,CNES,DT_INTER,DT_SAIDA,DIAS_PERM,DIAG_PRINC,PROC_REA\n"
+    sih.write_text(head + "1,11,11,5,20200101,20200103,2,C50,1\n2,11,11,5,20200232,20200303,2,C50,1\n3,11,11,5,20200101,0,2,C50,1\n")
+    with pytest.raises(tables.RejectedRows, match="2 rows"):
+        tables.read_source(spark, str(sih), "episodes")
+    kept = tables.read_source(spark, str(sih), "episodes", rejects=str(tmp_path / "rejects2"))
+    assert rows(kept, "episode_id", "admit_date", "discharge_date") == [(1, D(2020, 1, 1), D(2020, 1, 3))]
+    assert spark.read.parquet(str(tmp_path / "rejects2")).count() == 2
+
+
+def test_a_save_that_fails_leaves_no_run(spark, tmp_path):
+    t = spark.createDataFrame([(1, 2)], "area_id long, qty long")
+    param_store.save_params({"demand": t}, str(tmp_path), "r")
+    broken = t.select(F.raise_error(F.lit("lost")).alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        param_store.save_params({"demand": t, "extra": broken}, str(tmp_path), "r")
+    assert param_store.load_params(spark, str(tmp_path), "r") is None
+    t.write.parquet(str(tmp_path / "one"))
+    t.write.parquet(str(tmp_path / "two"))
+    one, two = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "two"))
+    assert param_store.run_id("2021-03-01", 9, {}, {"e": one}) != param_store.run_id("2021-03-01", 9, {}, {"e": two})

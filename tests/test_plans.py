@@ -151,3 +151,118 @@ def test_horizon_places_all_and_respects_beds(spark, region, partitions):
         test_horizon_places_all_and_respects_beds.kept = kept
     else:
         assert kept == test_horizon_places_all_and_respects_beds.kept
+
+
+def test_unlocated_demand_goes_to_the_overflow_facility(spark, region):
+    """Area 9 has no coordinates, so no distance at all; none of its patients is lost."""
+    extra = [("CANCER_SURGERY", 9, DAYS[0], 5), ("CANCER_CLINICAL", 9, DAYS[2], 1)]
+    demand = region["demand"].unionByName(spark.createDataFrame(extra, region["demand"].schema))
+    od, exposure = region["distance"].where("facility_id <> 0"), region["exposure"]
+    bounds = alloc.objective_bounds(demand, od, exposure)
+    wide = alloc.objective_bounds(demand, alloc.reach_all(od, demand), exposure)
+    assert bounds.first() == wide.first()
+    costs = alloc.pair_costs(od, exposure, WEIGHTS, bounds, demand)
+    free = weighted(region["capacity"].select("patient_type", "facility_id", "date", F.lit(2).cast("long").alias("room")))
+    plans = {
+        "lowest": alloc.assign_lowest_cost(demand, costs),
+        "cheapest": alloc.assign_cheapest(demand, od, exposure, WEIGHTS, bounds),
+        "capacity": alloc.assign_with_capacity(weighted(demand), costs, free),
+        "factored": alloc.assign_with_capacity(weighted(demand), alloc.offers_by_distance(od, exposure, bounds), free),
+    }
+    wanted = total(weighted(demand))
+    for plan in plans.values():
+        assert total(plan) == wanted
+        assert {r.facility_id for r in plan.where("area_id = 9").collect()} == {0}
+    assert sorted(map(tuple, plans["capacity"].collect())) == sorted(map(tuple, plans["factored"].collect()))
+    score = {r.weight: r for r in alloc.score_plan(plans["lowest"], od, exposure, bounds).collect()}
+    near = sum(r.qty * KM[(r.area_id, r.facility_id)] for r in plans["lowest"].where("weight = 1.0 and area_id <> 9").collect())
+    assert score[1.0].distance_cost == pytest.approx(near + 6 * 99999.9)
+
+
+def test_bounds_by_parts_are_those_of_all_pairs(spark, region):
+    demand, od, exposure = region["demand"], region["distance"], region["exposure"]
+    got = alloc.objective_bounds(demand, od, exposure).first()
+    pairs = alloc.located_exposure(od, exposure, demand).collect()
+    want = dict.fromkeys(got.asDict(), 0.0)
+    for r in demand.collect():
+        own = [x for x in pairs if (x.area_id, x.date) == (r.area_id, r.date)]
+        for suffix, some in (("", own), ("_real", [x for x in own if x.facility_id])):
+            for name, f in (("best", min), ("worst", max)):
+                want[f"{name}_distance{suffix}"] += r.qty * f(x.km for x in some)
+                want[f"{name}_infection{suffix}"] += 0.52 * r.qty * f(x.exposure for x in some)
+    assert got.asDict() == pytest.approx(want)
+
+
+def test_an_empty_plan_is_not_approved(spark, region):
+    plan = spark.createDataFrame(
+        [], "weight double, patient_type string, area_id long, facility_id long, date date, qty long"
+    )
+    census = alloc.plan_census(plan, region["initial"], region["releases"], region["los"], DAY, DAYS[2], WEIGHTS)
+    broken = checks.check_plan(plan, census, region["demand"], region["capacity"], region["staff_hours"], WEIGHTS)
+    assert broken.where("rule = 'demand'").count() == len(WEIGHTS) * region["demand"].count()
+    assert {r.weight for r in census.collect()} == set(WEIGHTS)
+
+
+def test_weight_pairs_sum_to_one(spark):
+    for step in (0.1, 0.25, 0.05, 0.5, 1.0):
+        pairs = par.weight_grid(spark.range(1), step).select("weight", "weight_infection").collect()
+        assert len(pairs) == round(1 / step) + 1
+        assert all(abs(a + b - 1) < 1e-12 for a, b in pairs)
+
+
+def test_run_writes_reports_by_segment_and_reads_the_store_again(spark, tmp_path, monkeypatch):
+    from careflow.plans import run as end_to_end
+    from careflow.plans.preparation import RunConfig
+
+    start, days = dt.date(2021, 3, 1), 14
+    past = [dt.date(2020, 3, 2) + dt.timedelta(days=k) for k in range(28)]
+    stays = [(k, 11, 1 + k % 3, 100 + k % 3, "CANCER_CLINICAL", d, d + dt.timedelta(days=3), 3) for k, d in enumerate(past)]
+    here = [dt.date(2021, 2, 26) + dt.timedelta(days=k) for k in range(17)]
+    types = ("CANCER_CLINICAL", "COVID_CLINICAL", "OTHER_CLINICAL")
+    stays += [
+        (1000 + k * 3 + n, 11, 1 + k % 3, 100 + k % 3, t, d, d + dt.timedelta(days=4), 4)
+        for k, d in enumerate(here)
+        for n, t in enumerate(types)
+    ]
+    schema = ("episode_id long, area_id long, facility_id long, facility_area_id long, patient_type string, admit_date date, "
+              "discharge_date date, stay_days int")
+    episodes = spark.createDataFrame(stays, schema).withColumn("patient_type_coarse", F.col("patient_type"))
+    folder = str(tmp_path)
+    episodes.write.parquet(f"{folder}/episodes")
+    episodes = spark.read.parquet(f"{folder}/episodes")
+    months = [(h, 202103, b, 2) for h in (1, 2, 3) for b in ("CANCER_CLINICAL", "OTHER_CLINICAL")]
+    sources = {
+        "episodes": episodes,
+        "places": episodes.select("facility_id", "facility_area_id"),
+        "beds": spark.createDataFrame(months, "facility_id long, month_key int, bed_group string, qty long"),
+        "staff": spark.createDataFrame(
+            [(h, "Physician", 202103, 30, 2) for h in (1, 2, 3)],
+            "facility_id long, occupation string, month_key int, hours long, headcount long",
+        ),
+        "coordinates": spark.createDataFrame([(11, 1.0, 1.0), (100, 1.0, 2.0), (101, 2.0, 2.0)], "area_id long, lat double, lon double"),
+    }
+    config = RunConfig(start, days, "2020-03-02", "2020-03-30", area_prefix=None)
+    args = (spark, sources, config, f"{folder}/store", f"{folder}/out", [1.0, 0.5], 2)
+    end_to_end.run(*args)
+    detail = spark.read.parquet(f"{folder}/out/plan_detail")
+    first = sorted(map(str, detail.collect()))
+    assert {(r.w_distance, r.segment) for r in detail.select("w_distance", "segment").distinct().collect()} == {
+        (w, s) for w in (1.0, 0.5) for s in (0, 1)
+    }
+    edges = spark.read.parquet(f"{folder}/out/plan_edges")
+    assert edges.count() == detail.count()
+    demand = spark.read.parquet(f"{folder}/store/*/demand").where(F.col("date") < F.lit(start + dt.timedelta(days=days)))
+    assert detail.agg(F.sum("x")).first()[0] == 2 * demand.agg(F.sum("qty")).first()[0]
+    # the second segment starts with the patients of the first
+    eve = detail.where((F.col("segment") == 0) & (F.col("t") == F.lit(start + dt.timedelta(days=6))))
+    key = lambda df, col: {(r.w_distance, r.p, r.h): r[col] for r in df.select("w_distance", "p", "h", col).distinct().collect()}
+    last, starts = key(eve, "y"), key(detail.where("segment = 1"), "initial")
+    assert any(starts.values())
+    assert all(starts[k] == n for k, n in last.items() if k in starts)
+
+    def fail(*_):
+        raise AssertionError("built again")
+
+    monkeypatch.setattr(end_to_end, "build_params", fail)
+    end_to_end.run(*args)
+    assert sorted(map(str, spark.read.parquet(f"{folder}/out/plan_detail").collect())) == first
