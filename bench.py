@@ -9,6 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 from careflow.bindings.queries import QUERIES
+from careflow.session import written_tables
 
 HEADLINE = (
     "movements",
@@ -28,6 +29,9 @@ HEADLINE = (
     "assign_cheapest",
     "plan_census",
     "plan_detail",
+    "assign_with_capacity",
+    "check_plan",
+    "plan_horizon",
 )
 
 
@@ -46,11 +50,12 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
-    times = {}
+    times, written = {}, {}
     for name in HEADLINE:
-        started = time.perf_counter()
+        started, before = time.perf_counter(), written_tables()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
+        written[name] = written_tables() - before
     print(
         json.dumps(
             {
@@ -58,6 +63,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "written_tables": written,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )
