@@ -415,10 +415,8 @@ SELECT weight, patient_type, area_id, facility_id, date, CAST(SUM(n) AS BIGINT)
 def _table(name: str, source: str, value: str, *keys: str) -> str:
     """Rows, sum of the values and number of different keys of a parameter table."""
     distinct = "+".join(f"COUNT(DISTINCT {k})" for k in keys)
-    return (
-        f"SELECT '{name}' AS table_name, COUNT(*) AS n_rows, "
-        f"round(CAST(COALESCE(SUM(round(CAST({value} AS DOUBLE),6)),0) AS DOUBLE),3) AS total, {distinct} AS n_keys FROM {source}"
-    )
+    total = "round(COALESCE(SUM(round(km,6)),0),3)" if value == "km" else f"CAST(COALESCE(SUM({value}),0) AS DOUBLE)"
+    return f"SELECT '{name}' AS table_name, COUNT(*) AS n_rows, {total} AS total, {distinct} AS n_keys FROM {source}"
 
 
 FINAL: dict[str, str] = {

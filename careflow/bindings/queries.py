@@ -574,11 +574,16 @@ def index_sets(v: Views) -> DataFrame:
 def _sums(name: str, df: DataFrame) -> DataFrame:
     """Rows and, per number column, the sum of a table; text columns count their distinct values."""
     columns = [c for c in ("qty", "beds", "releases", "census", "los", "km", "exposure", "hours", "type_id") if c in df.columns]
-    value = F.sum(F.round(F.col(columns[0]).cast("double"), 6)) if columns else F.count_distinct("member").cast("double")
+    if not columns:
+        value = F.count_distinct("member")
+    elif columns[0] == "km":
+        value = F.round(F.sum(F.round("km", 6)), 3)
+    else:  # whole numbers are summed exactly
+        value = F.sum(columns[0])
     keys = [F.count_distinct(c) for c in df.columns if c not in columns]
     return df.agg(
         F.count("*").alias("n_rows"),
-        F.round(F.coalesce(value, F.lit(0.0)), 3).alias("total"),
+        F.coalesce(value.cast("double"), F.lit(0.0)).alias("total"),
         sum(keys, F.lit(0)).cast("long").alias("n_keys"),
     ).select(F.lit(name).alias("table_name"), "n_rows", "total", "n_keys")
 
