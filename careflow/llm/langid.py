@@ -26,7 +26,6 @@ LETTERS = re.compile(r"[^\W\d_]+")
 FOLDS, FOLD = 4, 2
 START = "▁"  # the vocabulary's mark of a word's beginning
 GOES_ON = "\0"
-LONGEST_PIECE = 6
 LONGEST_WORD = 40  # longer runs of letters are cut into words of this length, so that no product underflows
 _WORDS_KEPT, _WORDS_STAY = 300_000, 100_000  # most words in memory; those met first stay when it is full
 
@@ -60,7 +59,7 @@ class Pieces:
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = (model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_byte(k)))
-        usable = (p for p in names if 0 < len(p) <= LONGEST_PIECE and p == p.lower() and re.fullmatch(rf"{START}?[^\W\d_]*", p))
+        usable = (p for p in names if p and p == p.lower() and re.fullmatch(rf"{START}?[^\W\d_]*", p))
         self.number = {p: k for k, p in enumerate(dict.fromkeys(usable), 1)}
         self.size = len(self.number) + 1
         # every beginning of a piece, -1 where it is none itself: a search ends where no piece goes on

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import public_tokenizers
+import sentencepiece
 from pyspark.sql import functions as F
 
 from careflow.llm.langid import START, VOCABULARY, Pieces, expected_counts, held_out, language_of, log_probabilities, marked, words
@@ -37,6 +38,22 @@ def test_forward_and_expected_counts_are_sums_over_all_segmentations():
     assert np.allclose(counts, want)
 
 
+def test_all_letter_pieces_of_the_vocabulary_take_part():
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    every = {model.id_to_piece(k) for k in range(model.get_piece_size())}
+    letters = {p for p in every if p.removeprefix(START).isalpha() and p == p.lower()}
+    assert max(map(len, letters)) == 16
+    assert letters <= set(PIECES.number)
+    p = np.full((PIECES.size, 1), 0.01)
+    for word in (START + "people", START + "because", "formation"):
+        total = 0.0
+        for cut in itertools.product((False, True), repeat=len(word) - 1):
+            ends = [k + 1 for k, c in enumerate(cut) if c] + [len(word)]
+            parts = [word[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            total += 0.01 ** len(parts) if all(x in every for x in parts) else 0.0
+        assert np.isclose(np.exp(log_probabilities(PIECES, [word], p))[0, 0], total)
+
+
 def test_words():
     assert words("The 1st, ÉTÉ!_x the") == {"the": 2, "st": 1, "été": 1, "x": 1}
     assert not words(None) and not words("") and not words("12 ½ ² !")
