@@ -134,21 +134,31 @@ def expected_counts(pieces: Pieces, found: list[str], n: np.ndarray, language: n
     return flat.reshape(p.shape)
 
 
+def drawn(known: DataFrame, max_docs: int) -> tuple[DataFrame, list[str]]:
+    """(about ``max_docs`` rows of each language, languages in order), by a hash of id, language and text.
+
+    The row with the smallest hash of a language is always drawn; exact copies of a row are drawn with it.
+    """
+    place = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1 << 20))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("low")).collect()
+    if not counts:
+        return known, []
+    ends = {r["lang"]: max(min(1.0, max_docs / r["n"]) * (1 << 20), r["low"] + 1.0) for r in counts}
+    return known.where(place < F.coalesce(*(F.when(F.col("lang") == x, F.lit(end)) for x, end in ends.items()))), sorted(ends)
+
+
 def learn(docs: DataFrame, path: str, max_docs: int, rounds: int, smooth: float) -> tuple[list[str], np.ndarray]:
     """(languages in order, log-free probabilities piece x language), by expectation maximization on Spark.
 
-    Fitted on about ``max_docs`` documents of each language outside the held-out fold, chosen by a hash of text and
-    id; their words and counts stay distributed, and each round brings at most one number per piece and language.
+    Fitted on about ``max_docs`` documents of each language outside the held-out fold, chosen by a hash of id, language
+    and text; their words and counts stay distributed, and each round brings at most one number per piece and language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(counts)
+    sample, languages = drawn(known, max_docs)
     if not languages:
         return [], np.empty((0, 0))
     number = {x: k for k, x in enumerate(languages)}
-    share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, max_docs / n))) for x, n in counts.items()))
     code = F.coalesce(*(F.when(F.col("lang") == x, F.lit(k)) for x, k in number.items()))
-    drawn = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 20)) < share * (1 << 20)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -159,7 +169,7 @@ def learn(docs: DataFrame, path: str, max_docs: int, rounds: int, smooth: float)
                 found = pd.Series(list(total), dtype="object")
                 yield pd.DataFrame({"language": language, "word": found, "n": pd.Series(total.values(), dtype="int64")})
 
-    found = known.where(drawn).select(code.alias("language"), "text").mapInPandas(count, "language int, word string, n long")
+    found = sample.select(code.alias("language"), "text").mapInPandas(count, "language int, word string, n long")
     table = cut_lineage(found.groupBy("language", "word").agg(F.sum("n").alias("n")))
     spark, size = docs.sparkSession, Pieces(path).size
     p = np.full((size, len(languages)), 1.0 / size)

@@ -5,7 +5,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
 
-from careflow.llm.langid import START, VOCABULARY, Pieces, expected_counts, held_out, language_of, log_probabilities, marked, words
+from careflow.llm.langid import START, VOCABULARY, Pieces, drawn, expected_counts, held_out, language_of, log_probabilities, marked, words
 
 PATH = public_tokenizers.path(VOCABULARY)
 PIECES = Pieces(PATH)
@@ -85,3 +85,17 @@ def test_messy_rows(documents):
     language = language_of(nothing)
     assert {r["p"]["lang"] for r in docs.select(language("text").alias("p")).collect()} == {"und"}
     assert language_of(docs.limit(0)) and docs.limit(0).select(language("text")).count() == 0
+
+
+def test_rows_without_ids_are_drawn_one_by_one(documents):
+    some = {"en": "the and of this", "de": "der und die nicht", "es": "el los una por", "fr": "le les une dans"}
+    docs = documents([(None, f"{text} {'ab' * k}", "s", lang) for lang, text in some.items() for k in range(400)])
+    sample, languages = drawn(docs, 40)
+    counts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert languages == sorted(some) == sorted(counts)
+    assert all(15 < n < 80 for n in counts.values())
+    copies = docs.limit(1).crossJoin(docs.limit(300).select())
+    assert drawn(copies, 1)[0].count() == 300  # never a language without words
+    language = language_of(docs, max_docs=40)
+    asked = documents([(k, text, "s", lang) for k, (lang, text) in enumerate(some.items())])
+    assert all(r["lang"] == r["p"]["lang"] for r in asked.select("lang", language("text").alias("p")).collect())
