@@ -153,13 +153,16 @@ NOTICES: list[tuple[str, str, str]] = [
 ]
 
 
+#: Other words that stand for a keyword: a version may follow it without a space.
+JOINED = {"gpl": ("gpl2", "gpl3"), "agpl": ("agpl3",), "lgpl": ("lgpl2", "lgpl3"), "mpl": ("mpl2",)}
 _OPTIONAL = re.compile(r"\(\?:[^()]*\)\?")
 
 
 def rules() -> list[dict]:
-    """All rules in order: keyword, licen, label, regex, priority, confidence. A rule matches whole words only.
+    """All rules in order: keyword, keywords, licen, label, regex, priority, confidence. A rule matches whole words only.
 
-    ``keyword`` is a word of every match (for identifiers, their first word). ``licen`` is true where no match is
+    Every match has one of ``keywords`` as a word: ``keyword`` (for identifiers, their first word) or, for names, one of
+    its ``JOINED`` spellings. ``licen`` is true where no match is
     possible without these letters, which most texts don't hold.
     """
     out = [
@@ -179,6 +182,8 @@ def rules() -> list[dict]:
                     }
                 )
     for rule in out:
+        joined = JOINED.get(rule["keyword"], ()) if re.search(r" \?[0-9]", rule["regex"]) else ()
+        rule["keywords"] = (rule["keyword"], *joined)
         rule["licen"] = bool(re.search(r"licen(?:\[cs\]|s)e", _OPTIONAL.sub("", rule["regex"])))
         rule["regex"] = f"(?<![^ ])(?:{rule['regex']})(?![^ ])"
     return out

@@ -33,13 +33,13 @@ def _rule(regex: str, label: str, priority: int, confidence: float) -> str:
 
 
 def rule_groups() -> Column:
-    """array<struct<keyword, licen, rules: array<struct<regex, label, priority, confidence>>>>, a constant of the plan."""
-    groups: dict[tuple[str, bool], list[str]] = {}
+    """array<struct<keywords, licen, rules: array<struct<regex, label, priority, confidence>>>>, a constant of the plan."""
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = {}
     for r in rules():
         rule = _rule(r["regex"], r["label"], r["priority"], r["confidence"])
-        groups.setdefault((r["keyword"], r["licen"]), []).append(rule)
+        groups.setdefault((r["keywords"], r["licen"]), []).append(rule)
     parts = [
-        f"named_struct('keyword', {_sql(k)}, 'licen', {str(licen).lower()}, 'rules', array({', '.join(v)}))"
+        f"named_struct('keywords', array({', '.join(map(_sql, k))}), 'licen', {str(licen).lower()}, 'rules', array({', '.join(v)}))"
         for (k, licen), v in groups.items()
     ]
     return F.expr(f"array({', '.join(parts)})")
@@ -110,17 +110,17 @@ def license_scan(docs: DataFrame) -> DataFrame:
     ``detections`` are the intervals that are left; ``labels`` their labels and the base ones, distinct, sorted and
     joined by commas; ``score`` is the highest confidence, 1 for any base phrase, 0 without a detection. A null or empty
     text has no words; first_word and last_word are null without a base phrase. Ids, repeated rows and other columns
-    are not looked at. Whole texts are scanned; rules run only where their keyword occurs.
+    are not looked at. Whole texts are scanned; rules run only where one of their keywords occurs.
     """
     groups, base = rule_groups(), base_rules()
-    keywords = F.array(*(F.lit(k) for k in dict.fromkeys(r["keyword"] for r in rules())))
+    keywords = F.array(*(F.lit(k) for k in dict.fromkeys(k for r in rules() for k in r["keywords"])))
     # generators keep what follows one column each, so that no rule computes it again
     normal = F.explode(F.array(normal_words(F.coalesce(F.col("text"), F.lit(""))))).alias("normal")
     scanned = docs.select("doc_id", normal)
     hits = F.array_intersect(F.split("normal", " ", -1), keywords)
     scanned = scanned.select("doc_id", "normal", F.explode(F.array(hits)).alias("hits"))
     scanned = scanned.withColumn("licen", (F.size("hits") > 0) & F.contains("normal", F.lit("licen")))
-    chosen = F.filter(groups, lambda g: (F.col("licen") | ~g["licen"]) & F.array_contains(F.col("hits"), g["keyword"]))
+    chosen = F.filter(groups, lambda g: (F.col("licen") | ~g["licen"]) & F.arrays_overlap(F.col("hits"), g["keywords"]))
     rules_in = F.flatten(F.transform(F.when(F.size("hits") > 0, chosen).otherwise(F.array()), lambda g: g["rules"]))
     found = F.flatten(F.transform(rules_in, lambda r: places(F.col("normal"), r)))
     base_in = F.filter(base, lambda b: (F.size("hits") > 0) & F.contains(F.col("normal"), b["phrase"]))

@@ -1,5 +1,6 @@
+import itertools
 import re
-
+from re import _parser
 
 from careflow.llm.license_rules import rules
 from careflow.llm.licenses import BASE, license_scan
@@ -48,6 +49,37 @@ TEXTS = [
 ]
 
 
+#: A version that follows its keyword without a space.
+JOINED = ["Released under GPL2", "GPL3 or later", "LGPL2.1", "LGPL3", "AGPL3", "Licensed under the MPL2.0", "GNU GPL2 only", "gpl23"]
+
+
+def spellings(parsed):
+    """All strings of a regex, with one letter for what [^ ] stands for."""
+    ways = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            new = [chr(arg)]
+        elif op in ("NOT_LITERAL", "ANY"):
+            new = ["x"]
+        elif op == "IN":
+            chars = ["x" if str(o) == "NEGATE" else chr(a) if str(o) == "LITERAL" else chr(a[0]) for o, a in arg]
+            new = ["x"] if "x" in chars[:1] else chars
+        elif op == "SUBPATTERN":
+            new = spellings(arg[-1])
+        elif op == "BRANCH":
+            new = [w for way in arg[1] for w in spellings(way)]
+        elif op == "MAX_REPEAT":
+            low, high, inner = arg
+            inner = spellings(inner)
+            new = [w * n for w in inner for n in {low, min(high, low + 1)}]
+        else:
+            assert op == "ASSERT_NOT", op
+            new = [""]
+        ways = list(dict.fromkeys(a + b for a, b in itertools.product(ways, new)))
+    return ways
+
+
 def rows_of(df):
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     return [(r["doc_id"], tuple(r[n] for n in names)) for r in license_scan(df).collect()]
@@ -59,6 +91,20 @@ def test_hundreds_of_rules_with_sound_keywords():
         assert not re.search(r["regex"], "")
 
 
+def test_every_spelling_has_a_keyword():
+    for r in rules():
+        for text in spellings(_parser.parse(r["regex"])):
+            assert re.fullmatch(r["regex"], text)
+            assert set(text.split(" ")) & set(r["keywords"]), (r["regex"], text)
+            assert "licen" in text or not r["licen"]
+
+
+def test_joined_versions(documents):
+    found = dict(rows_of(documents(list(enumerate(JOINED)))))
+    assert [found[k] for k in range(len(JOINED))] == [brute(t) for t in JOINED]
+    assert [found[k][5] for k in (0, 2, 4, 5)] == ["gpl-2", "lgpl-2.1", "agpl-3", "mpl-2"]
+
+
 def test_same_as_every_rule_on_every_text(documents):
     docs = documents(list(enumerate(TEXTS)) + [(None, TEXTS[0]), (0, TEXTS[0])])
     found = rows_of(docs)
