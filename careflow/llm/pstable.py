@@ -172,6 +172,7 @@ def nearest(
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by ``every``.
 
     All rows are indexed and are candidates; only the number of probes is fitted, on at most ``sample_rows`` vectors.
+    A query that meets fewer than k rows is ranked against all rows, so it gets k of them, or all if there are fewer.
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id,
     nor vectors of another length than most have (the longer of two equally frequent ones). Rows of one vec_id count
     as one, with the largest of their inner products. Score ties go to the smaller vec_id. Extra columns are ignored; no
@@ -217,27 +218,6 @@ def nearest(
     schema = f"cell long, id long, v {kind}"
     base = cut_lineage(rows.mapInArrow(keyed(False), schema))
     visits = cut_lineage(rows.where(F.col("vec_id") % every == 0).mapInArrow(keyed(True), schema))
-    met = base.groupBy("cell").agg(F.count("*").alias("n")).join(
-        visits.groupBy("cell").agg(F.count("*").alias("m")), "cell"
-    )
-    blocks = cut_lineage(
-        met.select(
-            F.col("cell").alias("c"),
-            F.ceil(F.col("n") / BASE_ROWS).cast("int").alias("base_blocks"),
-            F.ceil(F.col("m") / PROBE_ROWS).cast("int").alias("visit_blocks"),
-        )
-    )
-
-    def units(side: DataFrame, own: str, other: str, visit: bool) -> DataFrame:
-        placed = side.join(blocks, F.col("cell") == F.col("c"))
-        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
-        theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        placed = placed.select("cell", "id", "v", mine.alias("mine"), theirs.alias("theirs"))
-        i, j = ("theirs", "mine") if visit else ("mine", "theirs")
-        return placed.select("cell", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(visit).alias("visit"), "id", "v")
-
-    both = units(base, "base_blocks", "visit_blocks", False).union(units(visits, "visit_blocks", "base_blocks", True))
-    both = both.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "visit")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(k)
@@ -264,8 +244,41 @@ def nearest(
             names=["query_id", "vec_id", "score"],
         )
 
-    found = both.mapInArrow(rank, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    def ranked(base: DataFrame, visits: DataFrame) -> DataFrame:
+        """query_id, vec_id, score, rank: the k best of each query among the rows of the cells it visits."""
+        met = base.groupBy("cell").agg(F.count("*").alias("n")).join(
+            visits.groupBy("cell").agg(F.count("*").alias("m")), "cell"
+        )
+        blocks = cut_lineage(
+            met.select(
+                F.col("cell").alias("c"),
+                F.ceil(F.col("n") / BASE_ROWS).cast("int").alias("base_blocks"),
+                F.ceil(F.col("m") / PROBE_ROWS).cast("int").alias("visit_blocks"),
+            )
+        )
+
+        def units(side: DataFrame, own: str, other: str, visit: bool) -> DataFrame:
+            placed = side.join(blocks, F.col("cell") == F.col("c"))
+            mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+            theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+            placed = placed.select("cell", "id", "v", mine.alias("mine"), theirs.alias("theirs"))
+            i, j = ("theirs", "mine") if visit else ("mine", "theirs")
+            return placed.select("cell", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(visit).alias("visit"), "id", "v")
+
+        both = units(base, "base_blocks", "visit_blocks", False).union(units(visits, "visit_blocks", "base_blocks", True))
+        both = both.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "visit")
+        found = both.mapInArrow(rank, "query_id long, vec_id long, score double")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    found = cut_lineage(ranked(base, visits))
+    wanted = min(k, rows.select("vec_id").distinct().limit(k + 1).count() - 1)
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= wanted).select("query_id")
+    asked = rows.where(F.col("vec_id") % every == 0)
+    short = cut_lineage(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"))
+    if wanted and not short.isEmpty():
+        one_cell = [F.lit(0).cast("long").alias("cell"), F.col("vec_id").alias("id"), "v"]
+        exact = ranked(rows.select(*one_cell), short.select(*one_cell))
+        found = found.join(full, "query_id", "left_semi").unionByName(exact)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -76,3 +76,24 @@ def test_long_vectors_are_found_by_inner_product(spark, scale):
     for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5).collect():
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert sum(len(found[q] & {v for v, _ in top}) for q, top in want.items()) / (5 * len(want)) >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["few", "one long"])
+def test_queries_that_meet_too_few_rows_are_ranked_exactly(spark, kind):
+    rng = np.random.default_rng(5)
+    if kind == "few":
+        x, k, every = rng.normal(size=(20, 16)), 20, 1
+    else:
+        x, k, every = rng.normal(size=(600, 64)) * 0.01, 20, 5
+        x[0] *= 10_000
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    got = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for r in nearest(df, k=k, every=every).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    want = brute(rows, k=k, every=every)
+    assert set(got) == set(want)
+    for q, top in want.items():
+        assert sorted(got[q]) == list(range(1, len(top) + 1))
+        if kind == "few":
+            assert [got[q][n] for n in sorted(got[q])] == top
