@@ -70,7 +70,7 @@ def quoted_passages(parsed: DataFrame) -> DataFrame:
 
 def links(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to, n_quotes, n_linked, max_level: one row per message that quotes."""
-    quoting = parsed.where("quotes")
+    quoting = parsed.where("quotes").select(*KEY, "row_hash", "lines").distinct()  # a repeated row quotes once
     passages = cut_lineage(quoted_passages(quoting))
     units = passages.withColumn("passage_hash", F.xxhash64("row_hash", "level", "passage"))
     units = units.select(*KEY, "level", "passage_hash", F.inline(_units(F.array("passage")))).distinct()

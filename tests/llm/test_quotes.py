@@ -69,6 +69,14 @@ def test_messy_rows(spark):
     assert link_quotes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_repeated_row_quotes_as_a_single_one(spark):
+    said, quote = (1, 0, "a", "one two three four"), (1, 1, "b", "> one two\n> three four\nyes")
+    names = ("turn", "reply_to", "root", "depth", "n_quotes", "n_linked", "max_level", "body")
+    single, many = ([tuple(r[n] for n in names) for r in linked(spark, [said, *[quote] * n])] for n in (1, 5))
+    assert single[1][:4] == (1, 0, 0, 1)
+    assert many == [single[0], *[single[1]] * 5]
+
+
 def test_whole_table_without_quotes(table):
     rows = link_quotes(table("conversations")).collect()
     assert len(rows) == table("conversations").count()
