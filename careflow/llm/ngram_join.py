@@ -232,6 +232,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def class_texts(docs: DataFrame, signed: DataFrame, met: DataFrame) -> DataFrame:
+    """set_key, n_docs, met, text: one row per class of ``met``, also where its id and text are in many rows."""
+    texts = docs.select("doc_id", text_hash().alias("text_hash"), "text")
+    texts = texts.join(met, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    texts = texts.select("set_key", "n_docs", "met", "text")
+    repeated = signed.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    # two texts of one id and hash both stay: the one that is not the class's is dropped when it is verified
+    return texts if repeated.isEmpty() else texts.distinct()
+
+
 def ngram_links(
     docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, most_hashes: int = 64
 ) -> tuple[DataFrame, DataFrame]:
@@ -271,9 +281,7 @@ def ngram_links(
         .join(met, "set_key")
         .select("set_key", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"), "n_docs", "met")
     )
-    texts = docs.select("doc_id", text_hash().alias("text_hash"), "text")
-    texts = texts.join(met, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-    units = texts.select("set_key", "n_docs", "text", F.col("met.bucket").alias("buckets"), F.explode("met").alias("m"))
+    units = class_texts(docs, signed, met).select("set_key", "n_docs", "text", F.col("met.bucket").alias("buckets"), F.explode("met").alias("m"))
     block = F.pmod(F.xxhash64("set_key", "m.bucket"), F.col("m.blocks")).cast("int")
     units = units.select("set_key", "n_docs", "text", "buckets", "m.bucket", "m.blocks", block.alias("block"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(

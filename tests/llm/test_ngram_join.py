@@ -3,7 +3,9 @@ import re
 
 import pytest
 
-from careflow.llm.ngram_join import banding, ngram_jaccard_join, one_of_each, similar
+from pyspark.sql import functions as F
+
+from careflow.llm.ngram_join import banding, class_texts, ngram_jaccard_join, one_of_each, signatures, similar
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -112,3 +114,17 @@ def test_similar_is_exact(m):
         for b in range(m):
             x, y = set(sets[a].tolist()), set(sets[b].tolist())
             assert found[a, b] == (a != b and len(x & y) >= 0.6 * len(x | y))
+
+
+def test_repeated_rows_bring_one_text_per_class(documents):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(None, a)] * 50 + [(3, b)] * 20 + [(4, b), (5, a + " more")]
+    docs = documents(rows)
+    signed = signatures(docs, 5, 15, 4)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    met = signed.groupBy("set_key").agg(first, F.count("*").alias("n_docs"))
+    met = met.select("set_key", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"), "n_docs")
+    met = met.withColumn("met", F.array(F.struct(F.lit(1).alias("bucket"), F.lit(1).alias("blocks"))))
+    found = sorted((r["text"], r["n_docs"]) for r in class_texts(docs, signed, met).collect())
+    assert found == sorted([(a, 50), (b, 21), (a + " more", 1)])
+    check(docs, rows)
