@@ -11,10 +11,13 @@ from careflow.llm.langid import held_out as language_held_out
 from careflow.llm.langid import language_of
 from careflow.llm.licenses import license_scan
 from careflow.llm.maincontent import extract_main_text
+from careflow.llm.merkle import document_proofs
 from careflow.llm.mixing import systematic_copies
 from careflow.llm.ngram_join import ngram_jaccard_join
+from careflow.llm.periodic import periodic_runs, run_digests
 from careflow.llm.pstable import nearest
 from careflow.llm.quotes import link_quotes
+from careflow.llm.shards import balanced_shards
 from careflow.llm.toxicity import held_out, toxicity
 
 
@@ -83,6 +86,26 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op11_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document: copies of a text together, sizes even, by balanced label propagation."""
+    placed = balanced_shards(table(spark, sf_dir, "documents"))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, and what is left without the repetitions, as digests."""
+    docs = table(spark, sf_dir, "documents")
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = docs.select("doc_id", periodic_runs(F.col("text"), number).alias("found"))
+    return found.select("doc_id", *(c.alias(name) for name, c in run_digests(F.col("found")).items()))
+
+
+def op13_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in a tree of digests by language, checked with every third text tampered with."""
+    return document_proofs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,6 +119,9 @@ QUERIES = {
         op8_decontaminate,
         op9_huffman_ids,
         op10_licenses,
+        op11_balanced_shards,
+        op12_periodic_runs,
+        op13_merkle_proofs,
     )
 }
 
@@ -155,4 +181,64 @@ ids AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words USING (r) LEFT JOIN ids USING (r)""",
+    "op13_merkle_proofs": r"""
+WITH RECURSIVE
+crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(doc_id::VARCHAR) + 1),
+      lambda k: ascii((doc_id::VARCHAR)[k])::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 3 = 0 AS tampered
+  FROM documents, crc),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM (
+    SELECT r, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+      sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS changed, coalesce(tampered, false) AS tampered
+    FROM texts)),
+nodes AS (
+  SELECT 0 AS lvl, lang, rank, n AS width, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT lvl + 1, lang, rank // 8, (any_value(width) + 7) // 8, sha256(string_agg(digest, '' ORDER BY rank))
+  FROM nodes WHERE width > 1 GROUP BY lvl, lang, rank // 8),
+roots AS (
+  SELECT lang, lvl AS height, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank, count(*) OVER () AS n
+  FROM nodes WHERE width = 1),
+tops AS (
+  SELECT 0 AS lvl, rank, n AS width, digest FROM roots
+  UNION ALL
+  SELECT lvl + 1, rank // 8, (any_value(width) + 7) // 8, sha256(string_agg(digest, '' ORDER BY rank))
+  FROM tops WHERE width > 1 GROUP BY lvl, rank // 8),
+beside AS (
+  SELECT r, s.lvl, s.rank, s.rank < k.rank AS before, s.rank > k.rank AS after, s.digest
+  FROM (SELECT r, lang, lvl, rank // (8 ** lvl)::BIGINT AS rank
+        FROM leaves, (SELECT DISTINCT lvl FROM nodes WHERE width > 1)) k
+  JOIN nodes s ON s.lang IS NOT DISTINCT FROM k.lang AND s.lvl = k.lvl AND s.width > 1 AND s.rank // 8 = k.rank // 8
+  UNION ALL
+  SELECT r, height + s.lvl, s.rank, s.rank < k.rank, s.rank > k.rank, s.digest
+  FROM (SELECT r, height, lvl, t.rank // (8 ** lvl)::BIGINT AS rank
+        FROM leaves l JOIN roots t ON l.lang IS NOT DISTINCT FROM t.lang, (SELECT DISTINCT lvl FROM tops WHERE width > 1)) k
+  JOIN tops s ON s.lvl = k.lvl AND s.width > 1 AND s.rank // 8 = k.rank // 8),
+levels AS (
+  SELECT r, lvl, coalesce(string_agg(digest, '' ORDER BY rank) FILTER (before), '') AS lower,
+    coalesce(string_agg(digest, '' ORDER BY rank) FILTER (after), '') AS upper
+  FROM beside GROUP BY r, lvl),
+proof AS (SELECT r, count(*) AS steps, sha256(string_agg(lower || upper, '' ORDER BY lvl)) AS proof FROM levels GROUP BY r),
+fold AS (
+  SELECT r, 0 AS lvl, CASE WHEN tampered THEN changed ELSE leaf END AS digest FROM leaves
+  UNION ALL
+  SELECT f.r, f.lvl + 1, sha256(lower || f.digest || upper) FROM fold f JOIN levels s ON f.r = s.r AND f.lvl = s.lvl)
+SELECT l.doc_id, l.leaf, t.digest AS subroot, a.digest AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+  f.digest AS folded_root, f.digest = a.digest AS verified
+FROM leaves l JOIN roots t ON l.lang IS NOT DISTINCT FROM t.lang
+JOIN (SELECT digest FROM tops WHERE width = 1) a ON true
+LEFT JOIN proof p ON l.r = p.r
+JOIN fold f ON f.r = l.r AND f.lvl = coalesce(p.steps, 0)""",
 }

@@ -73,5 +73,5 @@ def test_entry_lists_the_queries_and_works_without_them():
     import __spark_entry__ as entry
 
     names = {n.split("_")[0] for n in entry.queries() if re.match(r"op\d+_", n)}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
