@@ -278,6 +278,18 @@ SELECT patient_type, facility_id, census FROM loose WHERE date=(SELECT MIN(date)
 SELECT patient_type, facility_id, CAST(SUM(releases) AS BIGINT) AS released FROM loose WHERE releases > 0 GROUP BY ALL""",
     "loose_balance": _balance("loose"),
     "mdemand": f"SELECT * FROM demand WHERE date < {E}",
+    "shut_days": """
+SELECT *, SUM(shut) OVER (PARTITION BY patient_type, facility_id ORDER BY date) AS upto FROM (
+  SELECT k.patient_type, k.facility_id, d.date, CASE WHEN least(COALESCE(beds,0),
+    floor(COALESCE(hours,0)/CASE k.patient_type WHEN 'CANCER_CLINICAL' THEN 1 ELSE 2 END)) > 0 THEN 0 ELSE 1 END AS shut
+  FROM (SELECT DISTINCT patient_type, facility_id FROM beds WHERE patient_type LIKE 'CANCER%') k CROSS JOIN model_days d
+  LEFT JOIN beds b ON b.patient_type=k.patient_type AND b.facility_id=k.facility_id AND b.date=d.date
+  LEFT JOIN hours h ON h.facility_id=k.facility_id AND h.date=d.date)""",
+    "open_stays": f"""
+SELECT s.patient_type, s.facility_id, s.date, true AS is_open FROM shut_days s JOIN los USING (patient_type)
+JOIN shut_days e ON e.patient_type=s.patient_type AND e.facility_id=s.facility_id
+  AND e.date=least(s.date+CAST(los AS INT), {E})-1
+WHERE e.upto-s.upto+s.shut=0""",
     "od": """
 SELECT * FROM od_all WHERE area_id IN (SELECT area_id FROM mdemand)""",
     "units": """
@@ -530,6 +542,12 @@ FROM (SELECT weight, SUM(qty*km) AS dc, SUM(qty*COALESCE(exposure,0))*CAST(0.52
     "plan_horizon_demand": "SELECT weight, patient_type, area_id, date, qty FROM mdemand CROSS JOIN weights",
     "plan_horizon_violations": """SELECT 'demand' AS rule, weight, patient_type, area_id AS place, date, qty AS amount FROM plan WHERE false""",
     "plan_horizon_slack": "SELECT * FROM plan",
+    "exchanged_violations": """SELECT 'demand' AS rule, weight, patient_type, area_id AS place, date, qty AS amount FROM plan WHERE false""",
+    "capacity_bounds_outside": "SELECT '' AS name, best_distance AS inner, best_distance AS outer FROM bounds WHERE false",
+    "cheapest_open_ways": """SELECT weight, patient_type, area_id, date, any_value(qty) AS qty,
+ arg_min(facility_id, (cost, facility_id)) AS facility_id, round(MIN(cost),9) AS cost
+FROM mdemand JOIN costs USING (area_id, date) LEFT JOIN open_stays USING (patient_type, facility_id, date)
+WHERE facility_id=0 OR is_open GROUP BY ALL""",
     "check_initial_beds": f"""SELECT patient_type, facility_id, beds, COALESCE(i.census,0) AS initial, COALESCE(released,0) AS released
  FROM loose l LEFT JOIN loose_initial i USING (patient_type, facility_id) LEFT JOIN loose_releases USING (patient_type, facility_id)
  WHERE date={S} AND beds > 0 AND COALESCE(i.census,0)+COALESCE(released,0) > beds""",

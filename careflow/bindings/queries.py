@@ -16,6 +16,7 @@ from careflow import fixed_values as fv
 from careflow.bindings.views import CONFIG, EXCLUDED_AREAS, SURGICAL, Views
 from careflow.functions import labels
 from careflow.functions.calendar import (
+    as_date,
     date_key,
     end_of,
     from_date_key,
@@ -35,7 +36,9 @@ from careflow.operators import params as par
 from careflow.operators import reports as rep
 from careflow.operators import resources as res
 from careflow.plans import allocation as alloc
+from careflow.plans import dual
 from careflow.plans import preparation as prep
+from careflow.plans.exchange import exchange
 from careflow.plans.horizon import plan_segments as run_segments
 from careflow.session import cut_lineage, scratch_folder
 from careflow.sources import param_store, tables
@@ -678,6 +681,90 @@ def plan_horizon_violations(v: Views) -> DataFrame:
     return checks.check_plan(plan, census, demand, h.beds, h.hours, WEIGHTS)
 
 
+def _planned(v: Views):
+    """The rolling plan, what it started from, and its program."""
+    params = _params(v, *PLANNING)
+    h = run_segments(params, WEIGHTS, START, DAYS, SEGMENTS)
+    first = params["demand"].where(cal.in_horizon("date", START, END) & (F.col("date") <= F.lit(FIRST_SEGMENT_LAST)))
+    bounds = cut_lineage(alloc.objective_bounds(first, params["distance"], params["exposure"]))
+    beds, hours = cut_lineage(h.beds.drop("segment")), cut_lineage(h.hours.drop("segment"))
+    program = dual.horizon_program(params, beds, hours, WEIGHTS, bounds, START, DAYS)
+    return params, h, cut_lineage(h.plan.drop("segment")), program
+
+
+@query
+def plan_horizon_gap(v: Views) -> DataFrame:
+    """Cost of the rolling plan by weight, a lower bound under its beds and staff, and the gap between them."""
+    params, _, plan, program = _planned(v)
+    return dual.plan_gap(program, plan, params["distance"], params["exposure"])
+
+
+@query
+def plan_horizon_exchanged(v: Views) -> DataFrame:
+    """The rolling plan after exchanges."""
+    _, _, plan, program = _planned(v)
+    return exchange(program, plan, START)
+
+
+@query
+def exchanged_violations(v: Views) -> DataFrame:
+    """Rules that the plan breaks after exchanges, and weights that got dearer; no row means none."""
+    params, h, plan, program = _planned(v)
+    better = cut_lineage(exchange(program, plan, START))
+    census = alloc.plan_census(better, params["initial"], params["releases"], params["los"], START, END, WEIGHTS)
+    demand = params["demand"].where(cal.in_horizon("date", START, END))
+    broken = checks.check_plan(better, cut_lineage(census), demand, h.beds, h.hours, WEIGHTS)
+    cost = lambda x, name: dual.plan_cost(program.goals, x, params["distance"], params["exposure"]).withColumnRenamed("cost", name)
+    dearer = cost(plan, "before").join(cost(better, "after"), "goal", "full").where("after is null or before is null or after > before * (1 + 1e-9)")
+    none = F.lit(None)
+    dearer = dearer.select(F.lit("cost").alias("rule"), F.col("goal").alias("weight"), none.cast("string").alias("patient_type"),
+                           none.cast("long").alias("place"), none.cast("date").alias("date"), F.lit(1).cast("long").alias("amount"))
+    return broken.unionByName(dearer)
+
+
+def _cells(v: Views) -> DataFrame:
+    """Room of every real facility's day beside nobody: beds, or what staff can serve."""
+    rooms = alloc.effective_beds(
+        _beds(v).where(F.col("patient_type").isin(*fv.CANCER_TYPES)), res.staff_hours(_staff_days(v))
+    )
+    real = rooms.where(F.col("facility_id") != fv.OVERFLOW_FACILITY)
+    return cut_lineage(real.withColumn("free", F.greatest("room", F.lit(0))).drop("room"))
+
+
+@query
+def cheapest_open_ways(v: Views) -> DataFrame:
+    """Every demand row's cheapest facility that has room on all days of the stay: the bound at prices of 0."""
+    p = _Plan(v)
+    goals = dual.weight_goals(WEIGHTS, p.bounds)
+    room = _cells(v).select(F.explode(par.weight_array(WEIGHTS)).alias("goal"), "*")
+    program = dual.program(goals, p.demand, p.od, p.exposure, room, _los(v), START, DAYS)
+    date = F.date_add(F.lit(START).cast("date"), F.col("day")).alias("date")
+    ways = dual.cheapest_ways(program, program.series)
+    return ways.select(F.col("goal").alias("weight"), "patient_type", "area_id", date, "qty", "facility_id", F.round("cost", 9).alias("cost"))
+
+
+@query
+def capacity_bounds(v: Views) -> DataFrame:
+    """Range of distance and infection of the first segment that beds and staff allow."""
+    p = _Plan(v)
+    days = (as_date(FIRST_SEGMENT_LAST) - as_date(START)).days + 1
+    found = dual.capacity_bounds(p.demand, p.od, p.exposure, _cells(v), _los(v), START, days)
+    return _rounded(found, *dual.RANGE, places=3)
+
+
+@query
+def capacity_bounds_outside(v: Views) -> DataFrame:
+    """Bounds under capacity that lie outside those that ignore it; no row means none."""
+    p = _Plan(v)
+    days = (as_date(FIRST_SEGMENT_LAST) - as_date(START)).days + 1
+    inner = dual.capacity_bounds(p.demand, p.od, p.exposure, _cells(v), _los(v), START, days, rounds=4)
+    names = F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"i.{n}").alias("inner"), F.col(f"o.{n}").alias("outer")) for n in dual.RANGE))
+    both = inner.alias("i").crossJoin(p.bounds.alias("o")).select(F.inline(names))
+    slip = 1e-9 * F.abs("outer")
+    low = F.col("name").startswith("best") & (F.col("inner") < F.col("outer") - slip)
+    return both.where(low | (F.col("name").startswith("worst") & (F.col("inner") > F.col("outer") + slip)))
+
+
 def _slack(v: Views) -> DataFrame:
     """The rolling plan when neither beds nor staff bind."""
     params = _params(v, *PLANNING)

@@ -25,6 +25,7 @@ log = logging.getLogger(__name__)
 
 DEMAND_KEY = ["weight", "patient_type", "area_id", "date"]
 CELL_KEY = ["weight", "patient_type", "facility_id", "date"]
+DEPTH = 32  # options of a row that are looked at together
 BOUNDS = ("best_distance", "worst_distance", "best_infection", "worst_infection")
 
 
@@ -257,14 +258,22 @@ def _allot(bids: DataFrame) -> DataFrame:
     )
 
 
-Offers = Callable[[DataFrame, DataFrame], DataFrame]
+#: (open rows, room, depth) -> rows with facility_id, cost and room; at least the ``depth`` cheapest offers of each row
+Offers = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
+def distance_classes(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facility_id, class_id) and (area_id, class_id, km): facilities that are equally far from every area share a class."""
+    seen = F.array_sort(F.collect_list(F.struct("area_id", "km")))  # at most one entry per area
+    members = cut_lineage(ways.groupBy("facility_id").agg(F.md5(F.to_json(seen)).alias("class_id")))
+    return members, cut_lineage(ways.join(members, "facility_id").groupBy("area_id", "class_id").agg(F.min("km").alias("km")))
 
 
 def offers_by_cost(costs: DataFrame, overflow: int = fv.OVERFLOW_FACILITY) -> Offers:
     """Real facilities with room for open rows, priced by a cost table."""
     priced = costs.where(F.col("facility_id") != overflow)
 
-    def offers(rows: DataFrame, room: DataFrame) -> DataFrame:
+    def offers(rows: DataFrame, room: DataFrame, depth: int) -> DataFrame:
         free = room.where((F.col("room") > 0) & (F.col("facility_id") != overflow)).select(*CELL_KEY, "room")
         return rows.join(priced, ["weight", "area_id", "date"]).join(free, CELL_KEY)
 
@@ -280,16 +289,36 @@ def offers_by_distance(
 ) -> Offers:
     """The same from distance per (area, facility) and exposure per (day, facility), which stay apart.
 
-    Only rows that are still open meet facilities that still have room; no table of all costs is built.
+    Only rows that are still open meet facilities that still have room; no table of all costs is built. Facilities at the
+    same distances form classes, and in each the ``depth`` with the least exposure come first, whatever the area. A row
+    goes through classes as branch and bound does: ``depth`` offers of near classes give a bound, and a class whose best
+    offer is above it is not opened.
     """
     b = _one_row(bounds)
     real = od.where(F.col("facility_id") != overflow).select("area_id", "facility_id", "km")
+    members, ways = distance_classes(real)
+    group = ["weight", "patient_type", "date", "class_id"]
+    nothing = F.lit(0).cast("long")
 
-    def offers(rows: DataFrame, room: DataFrame) -> DataFrame:
+    def offers(rows: DataFrame, room: DataFrame, depth: int) -> DataFrame:
         free = room.where((F.col("room") > 0) & (F.col("facility_id") != overflow)).select(*CELL_KEY, "room")
-        free = free.join(exposure, ["date", "facility_id"], "left")
-        cost = unit_cost(F.col("weight"), F.col("km"), F.coalesce("exposure", F.lit(0)), b, attack)
-        met = rows.join(real, "area_id").join(free, CELL_KEY).withColumn("cost", cost)
+        free = free.join(exposure, ["date", "facility_id"], "left").join(members, "facility_id")
+        unit = unit_cost(F.col("weight"), F.lit(0.0), F.coalesce("exposure", nothing), b, attack)
+        free = free.select(*group, "facility_id", "room", unit.alias("unit"))
+        way = unit_cost(F.col("weight"), F.col("km"), nothing, b, attack)
+        met = rows.join(ways, "area_id").withColumn("way", way)
+        if depth == 1:
+            near = free.groupBy(*group).agg(F.min(F.struct("unit", "facility_id", "room")).alias("n")).select(*group, "n.*")
+        else:
+            order = W.partitionBy(*group).orderBy("unit", "facility_id")
+            near = free.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= depth).drop("_n")
+            ends = near.groupBy(*group).agg(F.count("*").alias("_n"), F.min("unit").alias("_low"), F.max("unit").alias("_high"))
+            own = W.partitionBy(*DEMAND_KEY)
+            so_far = own.orderBy(F.col("way") + F.col("_high"), "class_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+            met = met.join(ends, group).withColumn("_sum", F.sum("_n").over(so_far))
+            bound = F.min(F.when(F.col("_sum") >= depth, F.col("way") + F.col("_high"))).over(own)
+            met = met.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("way") + F.col("_low") <= F.col("_bound")))
+        met = met.join(near, group).withColumn("cost", F.col("way") + F.col("unit"))
         return met.select(*DEMAND_KEY, "qty", "facility_id", "cost", "room")
 
     return offers
@@ -311,7 +340,7 @@ def _one_round(unplaced: DataFrame, offers: DataFrame, accept: Callable[[DataFra
 
 
 def _spread_round(
-    unplaced: DataFrame, offers: DataFrame, accept: Callable[[DataFrame], DataFrame], block: Column
+    unplaced: DataFrame, offers: DataFrame, accept: Callable[[DataFrame], DataFrame], block: Column, depth: int = DEPTH
 ) -> DataFrame:
     """A round in which rows with the same first choice ask along their lists instead of all at its top.
 
@@ -320,10 +349,14 @@ def _spread_round(
     So a crowded facility does not cost one round per refused row. Facilities still decide in cost order up
     to their room. The queue of a first choice is one window partition; it holds the open rows of one weight, type and
     block, so it is bounded by areas x days of a stay, not by episodes.
+
+    A list has a row's ``depth`` cheapest options. Only these are sorted and shuffled, and they are written once; a row that
+    finds no place on it stays open, and gets a new list of what has room in the next round.
     """
     own = W.partitionBy(*DEMAND_KEY).orderBy("cost", "facility_id")
-    so_far = own.rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = offers.withColumns({"_rank": F.row_number().over(own), "_upto": F.sum("room").over(so_far)})
+    listed = offers.withColumn("_rank", F.row_number().over(own)).where(F.col("_rank") <= depth)
+    so_far = W.partitionBy(*DEMAND_KEY).orderBy("_rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = cut_lineage(listed.withColumn("_upto", F.sum("room").over(so_far)))
     first = ranked.where("_rank = 1").withColumn("_block", block)
     queue = (
         W.partitionBy("weight", "patient_type", "facility_id", "_block")
@@ -339,6 +372,7 @@ def _spread_round(
         )
         .where("qty > 0")
     )
+    asks = asks.select(*DEMAND_KEY, "facility_id", "cost", "qty")
     totals = asks.groupBy(*CELL_KEY).agg(F.sum("qty").alias("asked"))
     columns = [*DEMAND_KEY, "facility_id", "got"]
     # a row behind so many competitors that its list has no place for it asks nobody this time, and stays open
@@ -355,6 +389,7 @@ def place_in_rounds(
     accept_by: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     overflow: int = fv.OVERFLOW_FACILITY,
     block: Column | None = None,
+    scope: tuple[str, ...] = ("weight", "patient_type"),
 ) -> DataFrame:
     """Rounds of proposals until every row is placed.
 
@@ -366,11 +401,12 @@ def place_in_rounds(
     ``state`` is what is left of the facilities. It is carried from round to round: ``taken_from(state, got)`` takes
     off what the round placed, ``room_of(state)`` gives the room of each cell and ``accept_by(state, asked)`` what each
     cell accepts. Placed rows, open rows and the state are written in each round; the driver sees one boolean per round.
+    Rows only compete inside a ``scope``, so the state keeps no more than the scopes that still have open rows.
     """
     unplaced = demand.select(*DEMAND_KEY, F.col("qty").cast("long").alias("qty")).where("qty > 0")
     placed, rounds = None, 0
     while True:
-        met = offers(unplaced, room_of(state))
+        met = offers(unplaced, room_of(state), 1 if block is None else DEPTH)
         accept = (lambda asked, now=state: accept_by(now, asked)) if accept_by else None
         round_ = _one_round(unplaced, met, accept) if block is None else _spread_round(unplaced, met, accept, block)
         result = cut_lineage(round_.select(*DEMAND_KEY, "facility_id", "got"))
@@ -390,7 +426,8 @@ def place_in_rounds(
             return placed.groupBy(*DEMAND_KEY, "facility_id").agg(F.sum("qty").alias("qty")).select(
                 "weight", "patient_type", "area_id", "facility_id", "date", "qty"
             )
-        state = cut_lineage(taken_from(state, got))
+        still = unplaced.select(*scope).distinct()
+        state = cut_lineage(taken_from(state.join(still, list(scope), "left_semi"), got))
 
 
 def assign_with_capacity(
@@ -405,14 +442,13 @@ def assign_with_capacity(
     """
 
     def taken_from(room: DataFrame, got: DataFrame) -> DataFrame:
-        return (
-            room.unionByName(got.select(*CELL_KEY, (-F.col("qty")).alias("room")))
-            .groupBy(*CELL_KEY)
-            .agg(F.sum("room").alias("room"))
-        )
+        taken = got.groupBy(*CELL_KEY).agg(F.sum("qty").alias("taken"))
+        left = F.col("room") - F.coalesce("taken", F.lit(0).cast("long"))
+        return room.join(taken, CELL_KEY, "left").select(*CELL_KEY, left.alias("room")).where("room > 0")
 
     offers = offers_by_cost(costs, overflow) if isinstance(costs, DataFrame) else costs
-    return place_in_rounds(demand, offers, free.select(*CELL_KEY, "room"), lambda room: room, taken_from, None, overflow)
+    free, day = free.select(*CELL_KEY, "room"), ("weight", "patient_type", "date")
+    return place_in_rounds(demand, offers, free, lambda room: room, taken_from, None, overflow, scope=day)
 
 
 # --- evaluation -----------------------------------------------------------------------------------
