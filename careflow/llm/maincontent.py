@@ -18,8 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Comments (``<!-->`` is a whole one), declarations, tags, text. A quote counts only behind the ``=`` of an attribute, and
+#: only if it is closed, so an apostrophe in a tag hides nothing.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z)|[^<]+|<",
     re.S,
 )
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -44,8 +47,6 @@ CLOSES = {  # an opening tag ends these, if they are open, up to the nearest of
 }
 ENDS_P = BLOCK - {"body", "html", "caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr"}
 
-ABOVE_P = BLOCK - {"p"}
-
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_TAGS = frozenset("nav aside footer form menu dialog".split())
 CONTENT_NAMES = re.compile(r"article|content|entry|post(?!er)|story|main|body(?:$|-)|text", re.I)
@@ -64,7 +65,6 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dia
 class Node:
     tag: str
     parent: Node | None
-    depth: int
     boiler: bool = False  # whether it, or what it lies in, looks like boilerplate
     comments: bool = False  # and that is a section of comments
     content: int = 0  # how many of the elements from the root down to this one look like content
@@ -76,10 +76,54 @@ class Block:
     text: str
     node: Node
     link_chars: int = 0
+    near: float = 0.0  # to the block before: 1 for children of one element, less with every level to the common ancestor
+
+
+class Open:
+    """The open elements, from the root down, with the places of each tag and of the block elements among them.
+
+    ``before`` is the place that the last written block's element had; of the elements there are now, the first ``least``
+    have been open since.
+    """
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, [0]
+        self.before, self.least = 0, 1
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost element of this tag, 0 if there is none."""
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    def cut(self, place: int) -> list[Node]:
+        """Close everything from ``place`` on."""
+        gone = self.nodes[place:]
+        del self.nodes[place:]
+        for node in reversed(gone):
+            self.places[node.tag].pop()
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+        self.least = min(self.least, place)
+        return gone
+
+    def take_out(self, place: int) -> None:
+        """Close one element; what was inside goes on without it."""
+        least = self.least
+        for node in self.cut(place)[1:]:
+            node.parent = self.nodes[-1]
+            self.push(node)
+        if least > place:  # it was above the last block, which is now one level higher
+            self.least, self.before = least - 1, self.before - (self.before > place)
 
 
 def _element(tag: str, attributes: str, parent: Node | None) -> Node:
-    node = Node(tag, parent, parent.depth + 1 if parent else 0)
+    node = Node(tag, parent)
     if parent:
         node.boiler, node.comments = parent.boiler, parent.comments
         node.content, node.hidden = parent.content, parent.hidden
@@ -119,30 +163,25 @@ def blocks(page: str | None) -> list[Block]:
     without an opening one is ignored, and the end of the page closes everything.
     """
     out: list[Block] = []
-    root = Node("#page", None, 0)
-    stack, pieces, links = [root], [], [0, 0]  # links: open anchors, characters in anchors
+    root = Node("#page", None)
+    stack, pieces, links = Open(root), [], [0, 0]  # links: open anchors, characters in anchors
 
     def flush() -> None:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                node = stack[-1]
-                while node.tag not in BLOCK and node.parent:
-                    node = node.parent
-                out.append(Block(text, node, min(links[1], len(text))))
+                at = stack.blocks[-1]
+                # what has been open since the last block is above both
+                common = min(at, stack.before, stack.least - 1)
+                near = 1 / (1 + max(0, max(at, stack.before) - common - 1)) if out else 0.0
+                out.append(Block(text, stack.nodes[at], min(links[1], len(text)), near))
+                stack.before, stack.least = at, len(stack.nodes)
             pieces.clear()
         links[1] = 0
 
-    def close(tags: set[str] | frozenset, bounds: set[str] | frozenset) -> None:
-        """End the nearest of ``tags`` that is open above any of ``bounds``."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                flush()
-                links[0] -= sum(n.tag == "a" for n in stack[k:])
-                del stack[k:]
-                return
-            if stack[k].tag in bounds:
-                return
+    def close(place: int) -> None:
+        flush()
+        links[0] -= sum(n.tag == "a" for n in stack.cut(place))
 
     page, at = page or "", 0
     while at < len(page):
@@ -152,44 +191,43 @@ def blocks(page: str | None) -> list[Block]:
         if tag is None:
             text = m.group()
             if text[0] != "<" or text == "<":
-                if not stack[-1].hidden:
+                if not stack.nodes[-1].hidden:
                     pieces.append(text)
                     if links[0] > 0:
                         links[1] += len(" ".join(text.split()))
             continue
         tag, closing = tag.lower(), m.group(1)
         if closing:
+            place = stack.last(tag)
             if tag in BLOCK:
-                if any(n.tag == tag for n in stack):
-                    close({tag}, frozenset())
+                if place:
+                    close(place)
             elif tag not in VOID:
                 if tag in HIDDEN:
                     flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        if tag == "a":
-                            links[0] -= 1
-                        del stack[k]
-                        for lower in stack[k:]:  # what was inside goes on without it
-                            lower.parent = stack[stack.index(lower) - 1]
-                        break
-                    if stack[k].tag in BLOCK:
-                        break
+                if place > stack.blocks[-1]:
+                    if tag == "a":
+                        links[0] -= 1
+                    stack.take_out(place)
             continue
         if tag in BLOCK:
             flush()
-            close({"head"}, frozenset())
-            if tag in ENDS_P:
-                close({"p"}, ABOVE_P)
+            if stack.last("head"):
+                close(stack.last("head"))
+            if tag in ENDS_P and stack.last("p") and stack.last("p") == stack.blocks[-1]:
+                close(stack.last("p"))
             if tag in CLOSES:
-                close(*CLOSES[tag])
+                ends, bounds = CLOSES[tag]
+                place = max(map(stack.last, ends))
+                if place > max(map(stack.last, bounds)):
+                    close(place)
         elif tag == "br":
             pieces.append(" ")
         if tag in VOID or m.group(3).endswith("/") and tag not in BLOCK:
             continue
-        if tag in HIDDEN and not stack[-1].hidden:
+        if tag in HIDDEN and not stack.nodes[-1].hidden:
             pieces.append(" ")
-        stack.append(_element(tag, m.group(3), stack[-1]))
+        stack.push(_element(tag, m.group(3), stack.nodes[-1]))
         if tag == "a":
             links[0] += 1
         if tag in RAW:
@@ -214,23 +252,6 @@ def content_cost(block: Block, first_heading: bool) -> float:
     return z
 
 
-def _ancestors(node: Node) -> list[int]:
-    out = []
-    while node:
-        out.append(id(node))
-        node = node.parent
-    return out
-
-
-def proximity(a: Block, b: Block) -> float:
-    """1 for blocks of the same element's children, less with every level to the nearest common ancestor."""
-    up = {x: k for k, x in enumerate(_ancestors(a.node))}
-    for k, x in enumerate(_ancestors(b.node)):
-        if x in up:
-            return 1 / (1 + max(0, max(k, up[x]) - 1))
-    return 0.0
-
-
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stay with the source: the labelling of least cost, by augmenting along shortest paths (Dinic).
 
@@ -311,7 +332,7 @@ def main_text(page: str | None, smoothness: float = 0.6) -> str:
     edges, last = [], {}
     for k, b in enumerate(found):
         if k:
-            edges.append((k - 1, k, smoothness * proximity(found[k - 1], b)))
+            edges.append((k - 1, k, smoothness * b.near))
         parent = id(b.node.parent)
         if parent in last and last[parent] != k - 1:  # the sibling before, past what lies between
             edges.append((last[parent], k, smoothness / math.sqrt(k - last[parent])))
@@ -324,7 +345,8 @@ def extract_main_text(pages: DataFrame, smoothness: float = 0.6) -> DataFrame:
     """page_id, url, text, n_chars (code points); one row per page, from the whole html.
 
     A null or empty page, or one without visible text, has an empty text. Blocks that the cut keeps are whole. Null ids
-    and urls stay null, repeated rows are extracted each, other columns are not looked at.
+    and urls stay null, repeated rows are extracted each, other columns are not looked at, an empty table gives an empty
+    result. Reading a page takes time in proportion to its length, however deep its elements lie in each other.
     """
 
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from careflow.llm.maincontent import extract_main_text, main_text, min_cut
+from careflow.llm.maincontent import blocks, content_cost, extract_main_text, main_text, min_cut
 
 LONG = "This is a long line of text that speaks about many things. " * 6
 
@@ -72,3 +72,88 @@ def test_table_and_messy_rows(spark, table):
     assert found[4, "u"]["text"] == "deep"
     assert found[5, "u"]["text"] == " ".join(["word word."] * 5000)
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+def ancestors(node):
+    out = []
+    while node:
+        out.append(id(node))
+        node = node.parent
+    return out
+
+
+def nearness(a, b):
+    up = {x: k for k, x in enumerate(ancestors(a))}
+    return next(1 / (1 + max(0, max(k, up[x]) - 1)) for k, x in enumerate(ancestors(b)) if x in up)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>One one.</p><img alt=John's src=a.jpg><p>Two two.</p><p>It's three.</p>", "One one. Two two. It's three."),
+        ('<p>One.</p><img alt=5" src=a.jpg><p>Two.</p><p>A "third" one.</p>', 'One. Two. A "third" one.'),
+        ("<p>One.</p><!--><p>Two.</p><!-- no > --><p>Three.</p><!---><p>Four.</p><!--no--!><p>Five.</p>", "One. Two. Three. Four. Five."),
+        ('<p>One.</p><p title="never closed>Two.</p><p>Three.</p>', "One. Two. Three."),
+        ("<p>One.</p><p title = 'a > b'>Two.</p><p data-x='<p>'>Three.</p>", "One. Two. Three."),
+        ("<p>One.</p><p a==b c='d'e=\"f\">Two.</p>", "One. Two."),
+    ],
+)
+def test_quotes_and_comments_hide_no_text(page, text):
+    assert main_text(page) == text
+
+
+def test_deep_and_wide_pages_take_time_in_proportion():
+    import time
+
+    n = 20_000
+    pages = {
+        "divs": "<div>A sentence of some length. " * n,
+        "inline": "<b>" * n + "<hr>Some words here. " * n,
+        "crossed": "<i><b></i>A word or two. " * n,
+        "closers": "<div><i><div>" + "<b>" * n + "</i></p>words. " * n,
+        "flat": "<p>A sentence of some length. " * n,
+    }
+    for name, page in pages.items():
+        started = time.perf_counter()
+        text = main_text(page)
+        assert time.perf_counter() - started < 5, name
+        assert len(text) > 6 * n, name
+
+
+def test_nearness_is_that_of_a_walk_up_the_tree(table):
+    rng = random.Random(3)
+    tags = ["div", "p", "li", "ul", "section", "td", "tr", "table"]
+    pages = [r["html"] for r in table("pages").select("html").collect()]
+    pages += ["".join(rng.choice([f"<{t}>", f"</{t}>", "word one. "]) for t in rng.choices(tags, k=60)) for _ in range(300)]
+    for page in pages:
+        found = blocks(page)
+        assert [b.near for b in found[1:]] == [nearness(a.node, b.node) for a, b in itertools.pairwise(found)]
+    # an inline element that ends between two blocks does not part them
+    one, two = blocks("<div><i><b><p>One.</p></i><p>Two.</p></b></div>")
+    assert two.near == nearness(one.node, two.node) == 1
+
+
+def test_whole_pages_are_labelled_at_the_least_cost(table):
+    """Every labelling of pages of a few blocks, with costs and edges written down anew."""
+    seen = 0
+    for page in [r["html"] for r in table("pages").select("html").collect()]:
+        found = blocks(page)
+        if not 1 < len(found) <= 13:
+            continue
+        seen += 1
+        gain, headed = [], False
+        for b in found:
+            gain.append(content_cost(b, b.node.tag == "h1" and not headed))
+            headed |= b.node.tag == "h1"
+        edges = [(k - 1, k, 0.6 * nearness(found[k - 1].node, found[k].node)) for k in range(1, len(found))]
+        for k, b in enumerate(found):
+            same = [j for j in range(k) if found[j].node.parent is b.node.parent]
+            if same and same[-1] != k - 1:
+                edges.append((same[-1], k, 0.6 / (k - same[-1]) ** 0.5))
+        best = min(
+            itertools.product((True, False), repeat=len(found)),
+            key=lambda kept: sum(max(-z, 0) if k else max(z, 0) for z, k in zip(gain, kept, strict=True))
+            + sum(c for a, b, c in edges if kept[a] != kept[b]),
+        )
+        assert main_text(page) == " ".join(b.text for b, k in zip(found, best, strict=True) if k)
+    assert seen > 5
