@@ -258,7 +258,8 @@ def _allot(bids: DataFrame) -> DataFrame:
     )
 
 
-#: (open rows, room, depth) -> rows with facility_id, cost and room; at least the ``depth`` cheapest offers of each row
+#: (open rows, room, depth) -> rows with facility_id, cost and room; at least the ``depth`` cheapest offers of each row.
+#: If ``room`` has a toll, it is part of the cost and is returned too.
 Offers = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
@@ -274,8 +275,9 @@ def offers_by_cost(costs: DataFrame, overflow: int = fv.OVERFLOW_FACILITY) -> Of
     priced = costs.where(F.col("facility_id") != overflow)
 
     def offers(rows: DataFrame, room: DataFrame, depth: int) -> DataFrame:
-        free = room.where((F.col("room") > 0) & (F.col("facility_id") != overflow)).select(*CELL_KEY, "room")
-        return rows.join(priced, ["weight", "area_id", "date"]).join(free, CELL_KEY)
+        free = room.where((F.col("room") > 0) & (F.col("facility_id") != overflow))
+        met = rows.join(priced, ["weight", "area_id", "date"]).join(free, CELL_KEY)
+        return met.withColumn("cost", F.col("cost") + F.col("toll")) if "toll" in room.columns else met
 
     return offers
 
@@ -301,14 +303,16 @@ def offers_by_distance(
     nothing = F.lit(0).cast("long")
 
     def offers(rows: DataFrame, room: DataFrame, depth: int) -> DataFrame:
-        free = room.where((F.col("room") > 0) & (F.col("facility_id") != overflow)).select(*CELL_KEY, "room")
+        tolls = ["toll"] if "toll" in room.columns else []
+        free = room.where((F.col("room") > 0) & (F.col("facility_id") != overflow)).select(*CELL_KEY, "room", *tolls)
         free = free.join(exposure, ["date", "facility_id"], "left").join(members, "facility_id")
         unit = unit_cost(F.col("weight"), F.lit(0.0), F.coalesce("exposure", nothing), b, attack)
-        free = free.select(*group, "facility_id", "room", unit.alias("unit"))
+        unit = unit + F.col("toll") if tolls else unit
+        free = free.select(*group, "facility_id", "room", unit.alias("unit"), *tolls)
         way = unit_cost(F.col("weight"), F.col("km"), nothing, b, attack)
         met = rows.join(ways, "area_id").withColumn("way", way)
         if depth == 1:
-            near = free.groupBy(*group).agg(F.min(F.struct("unit", "facility_id", "room")).alias("n")).select(*group, "n.*")
+            near = free.groupBy(*group).agg(F.min(F.struct("unit", "facility_id", "room", *tolls)).alias("n")).select(*group, "n.*")
         else:
             order = W.partitionBy(*group).orderBy("unit", "facility_id")
             near = free.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= depth).drop("_n")
@@ -319,7 +323,7 @@ def offers_by_distance(
             bound = F.min(F.when(F.col("_sum") >= depth, F.col("way") + F.col("_high"))).over(own)
             met = met.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("way") + F.col("_low") <= F.col("_bound")))
         met = met.join(near, group).withColumn("cost", F.col("way") + F.col("unit"))
-        return met.select(*DEMAND_KEY, "qty", "facility_id", "cost", "room")
+        return met.select(*DEMAND_KEY, "qty", "facility_id", "cost", "room", *tolls)
 
     return offers
 
