@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careflow.llm.decontaminate import overlap
+from careflow.llm.decontaminate import with_overlap
 from careflow.llm.huffman import encoded_digests
 from careflow.llm.langid import held_out as language_held_out
 from careflow.llm.langid import language_of
@@ -70,8 +70,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of ten words of a benchmark item."""
-    measure = overlap(table(spark, sf_dir, "benchmark"))
-    measured = table(spark, sf_dir, "documents").select("doc_id", measure(F.col("text")).alias("m"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    measured = with_overlap(docs, table(spark, sf_dir, "benchmark"), "m")
     names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     return measured.select("doc_id", *(F.col(f"m.{c}") for c in names))
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from careflow.llm.decontaminate import overlap
+from careflow.llm.decontaminate import with_overlap
 from careflow.llm.huffman import encoded_digests
 from careflow.llm.mixing import systematic_mix
 from careflow.llm.ngram_join import one_of_each
@@ -26,8 +25,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of ten words of a benchmark item."""
-    measure = overlap(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.where(~measure(F.col("text"))["contaminated"])
+    found = with_overlap(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "overlap_")
+    return found.where("not overlap_.contaminated").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
