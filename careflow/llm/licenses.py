@@ -3,14 +3,19 @@
 A text is normalised to words. Its keywords choose which rules are tried at all, each rule's places become intervals of
 words, and an interval that lies inside one of a stronger rule, or inside a longer one of an equally strong rule, is
 suppressed. Base phrases are counted apart and are never suppressed.
+
+A text may hold any number of matches: places are read off the words of the text, where marks stand around the matches,
+and suppression is a running maximum over the sorted intervals, made in log2(n) passes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careflow.llm.license_rules import rules
+from careflow.llm.license_rules import PROPRIETARY, rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases whose places are counted, with their labels.
@@ -19,6 +24,9 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
+OPEN, CLOSE = "\x01", "\x02"  # marks around a match; no normalised text holds them
+LEVELS = range(5)  # priorities: 0 is a base phrase
+_SHIFT = 1 << 32
 
 
 def _sql(text: str) -> str:
@@ -65,52 +73,104 @@ def spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def places(normal: Column, rule: Column) -> Column:
     """Where a rule matches: array<struct<first, last, label, priority, confidence>>, in words from 0."""
-    matches = F.regexp_extract_all(normal, rule["regex"], F.lit(0))
-    # the text around the matches; no rule matches the empty string
-    between = F.when(F.size(matches) > 0, F.split(normal, rule["regex"], -1)).otherwise(F.array())
-    widths = F.zip_with(
-        F.slice(between, 1, F.size(matches)),
-        matches,
-        lambda gap, match: F.struct(spaces(gap).alias("gap"), spaces(match).alias("match")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("found"))
-
-    def walk(state: Column, width: Column) -> Column:
-        first = state["at"] + width["gap"]
-        last = first + width["match"]
-        return F.struct(
-            last.alias("at"),
-            F.array_append(state["found"], F.struct(first.alias("first"), last.alias("last"))).alias("found"),
+
+    def where(words: Column, marked: Callable[[Column], Column]) -> Column:
+        return F.filter(F.transform(words, lambda w, i: F.when(marked(w), i)), lambda i: i.isNotNull())
+
+    def spans(words: Column) -> Column:
+        return F.zip_with(
+            where(words, lambda w: F.startswith(w, F.lit(OPEN))),
+            where(words, lambda w: F.endswith(w, F.lit(CLOSE))),
+            lambda first, last: F.struct(
+                first.alias("first"),
+                last.alias("last"),
+                rule["label"].alias("label"),
+                rule["priority"].alias("priority"),
+                rule["confidence"].alias("confidence"),
+            ),
         )
 
-    return F.transform(
-        F.aggregate(widths, start, walk)["found"],
-        lambda p: F.struct(
-            p["first"].alias("first"),
-            p["last"].alias("last"),
-            rule["label"].alias("label"),
-            rule["priority"].alias("priority"),
-            rule["confidence"].alias("confidence"),
-        ),
-    )
+    marked = F.regexp_replace(normal, rule["regex"], F.lit(f"{OPEN}$0{CLOSE}"))
+    # without a match there is nothing to split
+    words = lambda m: F.when(F.contains(m, F.lit(OPEN)), F.split(m, " ", -1)).otherwise(F.array().cast("array<string>"))
+    return let(marked, lambda m: let(words(m), spans))
+
 
+def unsuppressed(found: Column) -> Column:
+    """The distinct detections of ``found`` that no other suppresses, without the base phrases.
 
-def inside(a: Column, b: Column) -> Column:
-    """Whether detection a is suppressed by b: it lies in b, and b is stronger, or as strong and longer."""
-    within = (b["first"] <= a["first"]) & (a["last"] <= b["last"])
-    longer = (b["last"] - b["first"]) > (a["last"] - a["first"])
-    return within & ((b["priority"] < a["priority"]) | ((b["priority"] == a["priority"]) & longer))
+    Suppressed is what lies in a detection that is stronger, or as strong and longer. Sorted by start, longer first, then
+    stronger, such a detection stands before it, so the farthest end so far (and its earliest start) by priority decides.
+    """
+
+    def key(d: Column) -> Column:  # larger: ends later, or starts earlier and ends at the same word
+        return d["last"].cast("long") * _SHIFT - d["first"]
+
+    def farthest(sorted_: Column) -> Column:
+        own = F.transform(
+            sorted_, lambda d: F.struct(*(F.when(d["priority"] <= p, key(d)).alias(f"p{p}") for p in LEVELS))
+        )
+        passes = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.size(sorted_), F.lit(2)))).cast("int"))
+        steps = F.transform(F.sequence(F.lit(0), passes - 1), lambda k: F.pow(F.lit(2), k).cast("int"))
+
+        def joined(state: Column, step: Column) -> Column:
+            return F.transform(
+                state,
+                lambda x, i: let(
+                    F.get(state, i - step),
+                    lambda y: F.struct(*(F.greatest(x[f"p{p}"], y[f"p{p}"]).alias(f"p{p}") for p in LEVELS)),
+                ),
+            )
+
+        return F.aggregate(steps, own, joined)
+
+    def suppressed(d: Column, far: Column) -> Column:
+        at = F.array(*(far[f"p{p}"] for p in LEVELS))
+        stronger = F.get(at, d["priority"] - 1) > (d["last"].cast("long") - 1) * _SHIFT
+        return F.coalesce(stronger, F.lit(False)) | (F.get(at, d["priority"]) > key(d))
+
+    def survivors(sorted_: Column) -> Column:
+        marked = F.zip_with(
+            sorted_, farthest(sorted_), lambda d, far: F.struct(d.alias("d"), suppressed(d, far).alias("gone"))
+        )
+        kept = F.filter(marked, lambda m: ~m["gone"] & (m["d"]["priority"] > 0))
+        return F.transform(kept, lambda m: m["d"].dropFields("back"))
+
+    ordered = F.array_sort(
+        F.transform(
+            found,
+            lambda d: F.struct(
+                d["first"].alias("first"),
+                (-d["last"]).alias("back"),
+                d["priority"].alias("priority"),
+                d["label"].alias("label"),
+                d["last"].alias("last"),
+                d["confidence"].alias("confidence"),
+            ),
+        )
+    )
+    distinct = lambda o: F.filter(o, lambda d, i: (i == 0) | (d != F.get(o, i - 1)))
+    return F.when(F.size(found) > 0, let(ordered, lambda o: let(distinct(o), survivors)))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections; one row per document.
 
     ``detections`` are the intervals that are left; ``labels`` their labels and the base ones, distinct, sorted and
-    joined by commas; ``score`` is the highest confidence, 1 for any base phrase, 0 without a detection. A null or empty
-    text has no words; first_word and last_word are null without a base phrase. Ids, repeated rows and other columns
-    are not looked at. Whole texts are scanned; rules run only where one of their keywords occurs.
+    joined by commas; ``score`` is the highest confidence, 1 for any base phrase, 0 without a detection. "All rights
+    reserved" counts only in a text without any other detection, since license headers say it too.
+
+    A null or empty text has no words; first_word and last_word are null without a base phrase. Equal intervals of equal
+    priority (ties) are all kept, and one that two rules of a label find counts once. Ids, repeated rows and other columns
+    are not looked at; an empty table gives an empty result. Whole texts are scanned; rules run only where one of their
+    keywords occurs.
     """
     groups, base = rule_groups(), base_rules()
     keywords = F.array(*(F.lit(k) for k in dict.fromkeys(k for r in rules() for k in r["keywords"])))
@@ -130,11 +190,21 @@ def license_scan(docs: DataFrame) -> DataFrame:
         F.when(F.col("normal") == "", 0).otherwise(spaces(F.col("normal")) + 1).cast("long").alias("n_words"),
         F.explode(F.array(F.struct(found.alias("found"), base_found.alias("base")))).alias("d"),
     )
-    kept = F.filter(
-        F.array_distinct(F.col("d.found")),
-        lambda a: ~F.exists(F.concat(F.col("d.found"), F.col("d.base")), lambda b: inside(a, b)),
+    kept = F.coalesce(unsuppressed(F.concat("d.found", "d.base")), F.array())
+    fields = ["first", "last", "label", "priority", "confidence"]
+    same = lambda found: F.transform(found, lambda p: F.struct(*(p[f].alias(f) for f in fields)))
+    scanned = scanned.select(
+        "doc_id",
+        "n_words",
+        F.explode(F.array(F.struct(same(F.col("d.base")).alias("base"), same(kept).alias("kept")))).alias("d"),
+    )
+    other = (F.size("d.base") > 0) | F.exists("d.kept", lambda p: p["label"] != PROPRIETARY)
+    scanned = scanned.select(
+        "doc_id",
+        "n_words",
+        F.col("d.base").alias("base"),
+        F.filter("d.kept", lambda p: (p["label"] != PROPRIETARY) | ~other).alias("kept"),
     )
-    scanned = scanned.select("doc_id", "n_words", F.col("d.base").alias("base"), kept.alias("kept"))
     labels = lambda found: F.array_sort(F.array_distinct(F.transform(found, lambda p: p["label"])))
     every = F.concat("base", "kept")
     return scanned.select(
