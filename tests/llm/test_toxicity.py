@@ -1,9 +1,10 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from careflow.llm.toxicity import Machine, fit, hashed_terms, held_out, toxicity
+from careflow.llm.toxicity import Machine, fit, hashed_terms, held_out, toxicity, training_rows
 from careflow.llm.words import NgramHasher
 
 
@@ -17,8 +18,42 @@ def test_score_is_the_sum_over_pairs():
     assert np.isclose(m.score(own), 1 / (1 + np.exp(-z)))
 
 
-def test_learns_a_pair_that_single_words_do_not_show():
-    """Either word alone is as often in clean texts as in toxic ones; only both together are toxic."""
+def exclusive(n, words, seed):
+    """Toxic is a text with exactly one of two words, among random others: each of them is in half of either kind."""
+    rng, hasher, rows = np.random.default_rng(seed), NgramHasher(1), []
+    for _ in range(n):
+        a, b = rng.integers(0, 2, 2)
+        text = ["insult"] * a + ["group"] * b + [f"w{k}" for k in np.flatnonzero(rng.random(words) < 0.3)]
+        rows.append((int(a != b), hashed_terms(hasher, " ".join(text)).astype("<i4").tobytes()))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "words"), [(2000, 40), (6000, 200)])
+def test_learns_a_pair_of_words_that_tell_nothing_alone(n, words):
+    machine, fresh = fit(exclusive(n, words, 1)), exclusive(1000, words, 2)
+    right = [(machine.score(np.frombuffer(t, "<i4")) >= 0.5) == y for y, t in fresh]
+    assert np.mean(right) > 0.95
+
+
+def test_no_cap_on_terms():
+    hasher = NgramHasher(1)
+    terms = lambda text: hashed_terms(hasher, text).astype("<i4").tobytes()
+    rows = [(1, terms(f"bad{k} n{c % 9} day")) for k in range(1200) for c in range(20)]
+    machine = fit(rows + [(0, terms(f"n{k % 9} day")) for k in range(len(rows))], epochs=6)
+    assert (machine.weights > 0).sum() > 1024
+
+
+def test_the_sample_is_bounded_in_rows_and_terms(spark, documents):
+    docs = documents([(k, f"a{k} b{k} c{k}") for k in range(50)] + [(60, "same text"), (61, "same text"), (61, "same text")])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(62)], "doc_id long, toxic int")
+    every = training_rows(docs, labels, 1000, 1000)
+    assert len(every) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in [*range(50), 60, 61])
+    assert len(training_rows(docs, labels, 1000, 10)) in (3, 4)  # three terms each, two in the repeated text
+    assert len(training_rows(docs, labels.where("doc_id < 50"), 7, 1000)) == 7
+
+
+def test_learns_words_that_are_toxic_together():
+    """Each word is in half clean and half toxic texts or clean ones; only both together are always toxic."""
     hasher, rows = NgramHasher(1), []
     for k in range(600):
         text = ["insult group", "insult fine", "group fine", "fine day"][k % 4]
@@ -41,7 +76,7 @@ def test_held_out_accuracy(spark):
     scored = docs.select("doc_id", score("text").alias("s")).join(labels, "doc_id").where(held_out(F.col("doc_id")))
     rows = scored.select(F.expr("s >= 0.5").cast("int").alias("p"), "toxic").collect()
     hit = sum(r["p"] and r["toxic"] for r in rows)
-    assert hit / sum(r["toxic"] for r in rows) > 0.6  # some labels are noise
+    assert hit / sum(r["toxic"] for r in rows) > 0.75  # some labels are noise
     assert hit / sum(r["p"] for r in rows) > 0.95
 
 
