@@ -1,6 +1,7 @@
 """The auction against the exact optimum of the transport problem."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -74,6 +75,17 @@ def solved(spark, problems, epsilon, **kw):
     return out
 
 
+LONG = pytest.mark.skipif("CAREFLOW_ALL" not in os.environ, reason="many rounds of small jobs: several minutes")
+
+
+def test_rivals_for_the_same_facility(spark):
+    cost = {(1, 1): 1.0, (1, 2): 2.0, (2, 1): 1.5, (2, 2): 5.0}
+    problem = ({1: 2, 2: 2}, {1: 2, 2: 3}, cost, {1: 50.0, 2: 50.0})
+    got = solved(spark, {0.5: problem}, 0.1, phases=(1,))
+    assert optimum(*problem) - 1e-9 <= got[0.5] <= optimum(*problem) + 0.1 * 4
+
+
+@LONG
 @pytest.mark.parametrize("depth", [4])
 def test_within_epsilon_of_the_optimum(spark, depth):
     rng, problems = random.Random(11), {}
@@ -89,6 +101,7 @@ def test_within_epsilon_of_the_optimum(spark, depth):
         assert best - 1e-9 <= got[w] <= best + 0.4 * sum(qty.values()) + 1e-9
 
 
+@LONG
 def test_rounds_do_not_grow_with_rivals_for_one_facility(spark, monkeypatch):
     """All areas want the same facility first; four times as many of them take about as many rounds."""
     from careflow.plans import auction
