@@ -19,10 +19,13 @@ from careflow.sources.tables import write_table
 
 
 def load_or_build(
-    spark: SparkSession, base: str, sources: dict[str, DataFrame], config: RunConfig
+    spark: SparkSession, base: str, sources: dict[str, DataFrame], config: RunConfig, version: str | None = None
 ) -> dict[str, DataFrame]:
-    """Parameter tables of a run from the store, or built from the classified sources and stored."""
-    run = run_id(config.start, config.days, asdict(config), sources)
+    """Parameter tables of a run from the store, or built from the classified sources and stored.
+
+    Without a ``version`` of the sources their content tells whether the store is up to date, at one pass over them.
+    """
+    run = run_id(config.start, config.days, asdict(config), sources, version)
     params = load_params(spark, base, run)
     if params is None:
         save_params(build_params(sources, config), base, run)
@@ -56,10 +59,11 @@ def run(
     weight_values: list[float] | None = None,
     parts: int = fv.SEGMENTS,
     fmt: str = "parquet",
+    version: str | None = None,
 ) -> Horizon:
     """Everything: ``sources`` as of ``load_sources``; detail and edges go to ``out`` by weight and segment."""
     weight_values = weights() if weight_values is None else weight_values
-    params = load_or_build(spark, store, sources, config)
+    params = load_or_build(spark, store, sources, config, version)
     horizon = plan_segments(params, weight_values, config.start, config.days, parts)
     detail, edges = reports(horizon, params, weight_values, config, parts)
     write_table(detail, f"{out}/plan_detail", fmt, ["w_distance", "segment"])

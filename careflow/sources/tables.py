@@ -6,12 +6,13 @@ from collections.abc import Iterable
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from careflow import fixed_values as fv
 from careflow.functions import labels
+from careflow.session import cut_lineage
 
 
 def _schema(**fields: T.DataType) -> T.StructType:
@@ -67,21 +68,53 @@ REJECTED = "_rejected"
 
 
 def settle(df: DataFrame, source: str, rejects: str | None) -> DataFrame:
-    """Rows whose ``_rejected`` column is null, without that column.
+    """Rows whose ``_rejected`` column is null, without that column, from one pass over the source.
 
-    The others are written to ``rejects`` as Parquet, or, without such a path, are an error that tells their number.
-    Nothing is dropped in silence. The rows are counted or written before the result is used.
+    The pass parses every row, counts the rejected ones and writes all of them to the checkpoint folder; whoever reads the
+    result, however often, reads that narrow table and not the source. Rejected rows are written to ``rejects`` as Parquet,
+    or, without such a path, are an error that tells their number. Nothing is dropped in silence.
     """
     wanted = [c for c in df.columns if c != REJECTED]
-    # the other columns too: a reader doesn't let the raw text stand alone
-    bad = df.withColumn("values", F.to_json(F.struct(*wanted))).where(F.col(REJECTED).isNotNull())
+    found = Observation()
+    written = cut_lineage(df.observe(found, F.count(REJECTED).alias("n")))
+    n = found.get["n"]
+    if n and rejects is None:
+        raise RejectedRows(f"{source}: {n} rows don't fit the schema; give a path for rejects to go on without them")
     if rejects is not None:
-        bad.select(F.lit(source).alias("source"), F.col(REJECTED).alias("row"), "values").write.mode("append").parquet(rejects)
-    else:
-        n = bad.agg(F.count(REJECTED).alias("n"), F.max("values")).first()["n"]
-        if n:
-            raise RejectedRows(f"{source}: {n} rows don't fit the schema; give a path for rejects to go on without them")
-    return df.where(F.col(REJECTED).isNull()).select(*wanted)
+        bad = written.where(F.col(REJECTED).isNotNull())
+        values = F.to_json(F.struct(*wanted)).alias("values")
+        bad.select(F.lit(source).alias("source"), F.col(REJECTED).alias("row"), values).write.mode("append").parquet(rejects)
+    return written.where(F.col(REJECTED).isNull()).select(*wanted)
+
+
+def _checked(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` cast to ``schema``, with ``_rejected`` if any column has another type than it should have."""
+    own = {f.name: f.dataType for f in df.schema.fields}
+    cast = [f for f in schema.fields if own.get(f.name) != f.dataType]
+    if not cast:
+        return df.select(*schema.names)
+    fits = [F.col(f.name).isNull() | F.col(f.name).try_cast(f.dataType).isNotNull() for f in cast]
+    rejected = F.when(~reduce(and_, fits), F.to_json(F.struct(*schema.names)))
+    return df.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields), rejected.alias(REJECTED))
+
+
+def _parsed(
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str, encoding: str, whole_lines: bool
+) -> DataFrame:
+    """The columns of ``schema``, and ``_rejected`` where a row can be rejected at all."""
+    if fmt != "csv":
+        return _checked(spark.read.format(fmt).load(path), schema)
+    reader = spark.read.option("header", True).option("sep", ",").option("encoding", encoding)
+    header = reader.csv(path).columns
+    known = {f.name: f for f in schema.fields}
+    missing = [n for n in known if n not in header]
+    if missing:
+        raise ValueError(f"{path}: columns not found: {missing}")
+    placed = [known.get(n, T.StructField(n, T.StringType())) for n in header]
+    reader = reader.option("enforceSchema", False).option("columnPruning", not whole_lines)
+    reader = reader.option("columnNameOfCorruptRecord", REJECTED)
+    df = reader.schema(T.StructType([*placed, T.StructField(REJECTED, T.StringType())])).csv(path)
+    return df.select(*schema.names, REJECTED)
 
 
 def read_table(
@@ -92,60 +125,56 @@ def read_table(
     columns: Iterable[str] | None = None,
     encoding: str = fv.CSV_ENCODING,
     rejects: str | None = None,
+    whole_lines: bool = True,
 ) -> DataFrame:
     """Read a table and keep ``columns`` (default: those of ``schema``).
 
     Types come from ``schema``, never from the data. For CSV the header line is read once to place the
     schema's columns; all others are read as text and left out. Every file's own header is checked
     against it, so files whose columns come in another order are an error and never read into the wrong columns. Other
-    formats carry their own names and are cast to the schema. A value that doesn't fit its type rejects its row, see
-    ``settle``.
+    formats carry their own names and are cast to the schema; if their types are those of the schema, nothing can be
+    rejected and the table stays a plain scan. A value that doesn't fit its type rejects its row, see ``settle``; values
+    of columns that are not kept reject nothing.
+
+    With ``whole_lines`` a CSV line with too few or too many values is rejected as well. Without it the parser takes only
+    the columns that are kept, which is faster on wide files, and cannot see such lines: what is missing is null.
     """
-    wanted = list(columns) if columns is not None else ([f.name for f in schema.fields] if schema else None)
-    if fmt != "csv":
-        df = spark.read.format(fmt).load(path)
-        if schema is not None:
-            fits = [F.col(f.name).isNull() | F.col(f.name).try_cast(f.dataType).isNotNull() for f in schema.fields]
-            rejected = F.when(~reduce(and_, fits), F.to_json(F.struct(*(f.name for f in schema.fields))))
-            df = df.select(
-                *(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields), rejected.alias(REJECTED)
-            )
-            df = settle(df, path, rejects)
-        return df.select(*wanted) if wanted else df
-    reader = spark.read.option("header", True).option("sep", ",").option("encoding", encoding)
+    wanted = list(columns) if columns is not None else None
     if schema is None:
-        df = reader.csv(path)
+        reader = spark.read.format(fmt)
+        if fmt == "csv":
+            reader = reader.option("header", True).option("sep", ",").option("encoding", encoding)
+        df = reader.load(path)
         return df.select(*wanted) if wanted else df
-    known = {f.name: f for f in schema.fields}
-    header = reader.csv(path).columns
-    missing = [n for n in known if n not in header]
-    if missing:
-        raise ValueError(f"{path}: columns not found: {missing}")
-    placed = [known.get(n, T.StructField(n, T.StringType())) for n in header]
-    # whether a row is rejected must not depend on the columns that somebody reads
-    reader = reader.option("enforceSchema", False).option("columnPruning", False)
-    reader = reader.option("columnNameOfCorruptRecord", REJECTED)
-    df = reader.schema(T.StructType([*placed, T.StructField(REJECTED, T.StringType())])).csv(path)
-    return settle(df.select(*wanted, REJECTED), path, rejects)
+    if wanted is not None:
+        unknown = [n for n in wanted if n not in schema.names]
+        if unknown:
+            raise ValueError(f"{path}: columns not in the schema: {unknown}")
+        schema = T.StructType([schema[n] for n in wanted])
+    df = _parsed(spark, path, schema, fmt, encoding, whole_lines)
+    return settle(df, path, rejects) if REJECTED in df.columns else df
 
 
 def read_source(
-    spark: SparkSession, path: str, kind: str, fmt: str = "csv", rejects: str | None = None
+    spark: SparkSession, path: str, kind: str, fmt: str = "csv", rejects: str | None = None, whole_lines: bool = True
 ) -> DataFrame:
     """One of the source tables (``episodes``, ``staff``, ``beds``, ``geo``) in this library's vocabulary.
 
-    Date keys that are no dates reject their rows like other bad values.
+    Date keys that are no dates reject their rows like other bad values, in the same pass.
     """
     from careflow.functions.calendar import from_date_key
 
-    raw = read_table(spark, path, SOURCE_SCHEMAS[kind], fmt, rejects=rejects)
-    df = raw.select(*(F.col(old).alias(new) for old, new in SOURCE_NAMES[kind].items()))
+    raw = _parsed(spark, path, SOURCE_SCHEMAS[kind], fmt, fv.CSV_ENCODING, whole_lines)
+    names = SOURCE_NAMES[kind]
+    rejected = [REJECTED] if REJECTED in raw.columns else []
+    df = raw.select(*(F.col(old).alias(new) for old, new in names.items()), *rejected)
     dates = [c for c in ("admit_date", "discharge_date") if c in df.columns]
-    if not dates:
-        return df
-    bad = reduce(or_, (F.col(c).isNotNull() & from_date_key(c).isNull() for c in dates))
-    df = df.withColumn(REJECTED, F.when(bad, F.to_json(F.struct(*df.columns))))
-    return settle(df.withColumns({c: from_date_key(c) for c in dates}), path, rejects)
+    if dates:
+        bad = reduce(or_, (F.col(c).isNotNull() & from_date_key(c).isNull() for c in dates))
+        row = F.when(bad, F.to_json(F.struct(*names.values())))
+        df = df.withColumn(REJECTED, F.coalesce(*rejected, row))
+        df = df.withColumns({c: from_date_key(c) for c in dates})
+    return settle(df, path, rejects) if REJECTED in df.columns else df
 
 
 def read_lookups(spark: SparkSession, folder: str, fmt: str = "csv") -> dict[str, DataFrame]:

@@ -301,7 +301,49 @@ def test_a_save_that_fails_leaves_no_run(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         param_store.save_params({"demand": t, "extra": broken}, str(tmp_path), "r")
     assert param_store.load_params(spark, str(tmp_path), "r") is None
-    t.write.parquet(str(tmp_path / "one"))
-    t.write.parquet(str(tmp_path / "two"))
-    one, two = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "two"))
-    assert param_store.run_id("2021-03-01", 9, {}, {"e": one}) != param_store.run_id("2021-03-01", 9, {}, {"e": two})
+
+
+def test_run_is_named_by_content(spark, tmp_path):
+    def name(df, **more):
+        df.write.mode("overwrite").parquet(str(tmp_path / "e"))
+        return param_store.run_id("2021-03-01", 9, {}, {"e": spark.read.parquet(str(tmp_path / "e"))}, **more)
+
+    t = spark.createDataFrame([(1, 2), (3, None)], "area_id long, qty long")
+    first = name(t)
+    assert name(t.repartition(3)) == name(t.orderBy(F.desc("area_id"))) == first
+    # replaced under the same name, a row more, a repeated row, none at all, other types
+    others = [t.withColumn("qty", F.lit(5).cast("long")), t.unionAll(t.limit(1)), t.unionAll(t), t.limit(0), t.withColumn("qty", F.col("qty").cast("int"))]
+    assert len({first, *map(name, others)}) == 6
+    assert name(t, version="a") == name(others[0], version="a") != name(t, version="b")
+
+
+def test_a_source_is_read_once(spark, tmp_path):
+    path, jobs = tmp_path / "sih.csv", spark.sparkContext.statusTracker()
+    head = "N_AIH,MUNIC_RES,MUNIC_MOV,CNES,DT_INTER,DT_SAIDA,DIAS_PERM,DIAG_PRINC,PROC_REA,NOTE\n"
+    path.write_text(head + "1,11,11,5,20200101,20200103,2,C50,1,a\n2,11,11,5,20200232,20200303,2,C50,1,a\n3,11\n4,x,11,5,,,2,C50,1,a\n")
+    rejects = str(tmp_path / "rejects")
+    spark.sparkContext.setJobGroup("one-scan", "reads")
+    with pytest.raises(tables.RejectedRows, match="3 rows"):
+        tables.read_source(spark, str(path), "episodes")
+    spark.sparkContext.setJobGroup("other", "reads")
+    assert len(jobs.getJobIdsForGroup("one-scan")) == 2  # the header line, and the pass that parses, counts and writes
+    kept = tables.read_source(spark, str(path), "episodes", rejects=rejects)
+    path.unlink()
+    assert rows(kept, "episode_id") == [(1,)]
+    assert rows(kept, "facility_id") == [(5,)]
+    assert sorted(r["row"][:2] for r in spark.read.parquet(rejects).collect()) == ["3,", "4,", '{"']
+
+
+def test_lines_of_a_wrong_length_and_plain_scans(spark, tmp_path):
+    path = tmp_path / "geo.csv"
+    path.write_text("codigo_ibge,latitude,longitude,name\n1,2.0,3.0,a\n2,2.0,3.0\n3,2.0,3.0,a,b\n")
+    with pytest.raises(tables.RejectedRows, match="2 rows"):
+        tables.read_source(spark, str(path), "geo")
+    assert rows(tables.read_source(spark, str(path), "geo", whole_lines=False), "code_full") == [(1,), (2,), (3,)]
+    assert rows(tables.read_table(spark, str(path), tables.GEO, columns=["latitude"], whole_lines=False)) == [(2.0,)] * 3
+    with pytest.raises(ValueError, match="name"):
+        tables.read_table(spark, str(path), tables.GEO, columns=["name"])
+    spark.createDataFrame([(1, 2.0, 3.0, "a")], "codigo_ibge long, latitude double, longitude double, name string").write.parquet(str(tmp_path / "geo"))
+    df = tables.read_source(spark, str(tmp_path / "geo"), "geo", "parquet")
+    assert df.inputFiles()[0].endswith(".parquet") and "geo" in df.inputFiles()[0]  # not a copy
+    assert rows(df) == [(1, 2.0, 3.0)]
