@@ -487,6 +487,7 @@ UNION ALL SELECT facility_id, NULL, date, h.hours FROM hours h""",
     "census_ledger": "SELECT * FROM fine_ledger",
     "census_ledger_coarse": "SELECT * FROM coarse_ledger",
     "census_ledger_history": "SELECT * FROM proc_dense",
+    "census_ledger_batches": "SELECT * FROM proc_dense",
     "peak_census": "SELECT * FROM peak",
     "census_by_group": "SELECT * FROM other",
     "occupancy_report": """SELECT facility_id, date, CAST(SUM(census) FILTER (patient_type LIKE 'CANCER%') AS BIGINT) AS cancer,

@@ -41,7 +41,7 @@ from careflow.plans import preparation as prep
 from careflow.plans.exchange import exchange
 from careflow.plans.horizon import plan_segments as run_segments
 from careflow.session import cut_lineage, scratch_folder
-from careflow.sources import param_store, tables
+from careflow.sources import ledger_store, param_store, tables
 
 START, END, DAYS = CONFIG.start, CONFIG.end, CONFIG.days
 SEGMENTS = 7
@@ -432,6 +432,21 @@ def census_ledger_history(v: Views) -> DataFrame:
     return led.ledger_from_movements(mov)
 
 
+@query
+def census_ledger_batches(v: Views) -> DataFrame:
+    """A stored ledger of the episodes of the early years, to which the other years are added one batch after another."""
+    path, episodes = _folder(v, "ledger"), v.episodes()
+    year = F.year("admit_date")
+
+    def mov(some: DataFrame) -> DataFrame:
+        return led.movements(some, "procedure_code", START, END)
+
+    ledger_store.start_ledger(mov(episodes.where(year.isNull() | (year < 1997))), path, buckets=16)
+    ledger_store.add_batch(mov(episodes.where(year == 1997)), path, "y1997")
+    ledger_store.add_batch(mov(episodes.where(year > 1997)), path, "later")
+    return led.ledger_from_running(ledger_store.running_rows(v.spark, path))
+
+
 @query
 def peak_census(v: Views) -> DataFrame:
     return led.peak_census(led.movements(v.classified(), "patient_type_coarse"))

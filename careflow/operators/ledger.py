@@ -100,14 +100,23 @@ def scheduled_releases(
     )
 
 
+def _running(keys: tuple[str, ...], date_col: str = "date") -> Column:
+    w = W.partitionBy(*keys).orderBy(date_col).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return F.sum("net").over(w)
+
+
 def running_census(mov: DataFrame, keys: tuple[str, ...] = SERIES, date_col: str = "date") -> DataFrame:
     """Add ``net`` and ``census`` (running sum of net). A patient leaves on the discharge day."""
-    w = W.partitionBy(*keys).orderBy(date_col).rowsBetween(W.unboundedPreceding, W.currentRow)
     return mov.withColumn("net", F.col("admits") - F.col("discharges")).withColumn(
-        "census", F.sum("net").over(w)
+        "census", _running(keys, date_col)
     )
 
 
+def census_of_nets(rows: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
+    """Add ``census`` to rows that carry their ``net``, rows without a date first."""
+    return rows.withColumn("census", _running(keys))
+
+
 def observed_days(df: DataFrame, date_col: str = "date") -> DataFrame:
     """Distinct dates of a table. At most one row per calendar day."""
     return df.select(F.col(date_col).alias("date")).where("date is not null").distinct()
@@ -245,7 +254,21 @@ def ledger_from_movements(
     The running census is computed on the sparse rows over the full history. Only the days of the window
     are then generated, so a short window over a long history stays small.
     """
-    sparse = running_census(mov)
+    return ledger_from_running(running_census(mov), start, end, calendar, mov)
+
+
+def ledger_from_running(
+    sparse: DataFrame,
+    start: DateLike | None = None,
+    end: DateLike | None = None,
+    calendar: bool = False,
+    mov: DataFrame | None = None,
+) -> DataFrame:
+    """Dense ledger of sparse rows that carry their running census already, such as those of a store.
+
+    ``mov``: a table with the same series and dates that is cheaper to read, by default the rows themselves.
+    """
+    mov = sparse if mov is None else mov
     if start is not None and end is not None:
         first = F.lit(as_date(start))
         last = F.lit(as_date(end) - dt.timedelta(days=1))

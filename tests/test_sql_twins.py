@@ -15,7 +15,7 @@ SF_DIR = os.environ.get("CAREFLOW_SF_DIR", "/root/testdata/sf0.001")
 CROSS_SECTION = (
     "classify_episodes classify_staff encode_types date_key shift_date_key date_spine monthly_to_daily slice_by_segment "
     "facility_distances weekday_profile integerize_demand length_of_stay movements densify forward_fill "
-    "census_ledger census_ledger_history occupancy_report staff_hours borrow_beds floor_beds_initial flow_edges "
+    "census_ledger census_ledger_history census_ledger_batches occupancy_report staff_hours borrow_beds floor_beds_initial flow_edges "
     "build_params score_plan check_plan assign_cheapest assign_with_capacity plan_census plan_edges plan_horizon_demand "
     "cheapest_open_ways exchanged_violations capacity_bounds_outside"
 ).split()
