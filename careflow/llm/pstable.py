@@ -5,6 +5,10 @@ inner product is the smallest distance. Each of a few tables hashes a vector to
 cut into steps of ``width``. A query visits its own cell and the cells around it in the order of the squared distance to
 their walls, nearest first, which is the order of estimated success. What it meets in any table is ranked by the inner
 product of the original vectors.
+
+Cells are sought with keys alone; a vector joins its keys only where a cell holds both rows and visits. How many planes
+cut the cells and how many of them a query visits is fitted on a sample: few large cells where vectors hardly cluster and
+most cells would be visited anyway, many small ones where neighbours share them.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from pyspark.sql.window import Window as W
 
 from careflow.session import cut_lineage
 
-BASE_ROWS, PROBE_ROWS = 512, 2048  # most rows of a cell, and most visits to it, that are compared in one unit of work
+BASE_ROWS, PROBE_ROWS = 1024, 2048  # rows of a cell, and visits to it, that are compared in one unit of work, on average
+VISIT_ROWS = 300  # sending a vector to a cell costs as much as comparing it with that many rows
 BUFFER = 400_000
 
 
@@ -82,30 +87,40 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(-1, dim)
 
 
-def fitted_probes(sample: np.ndarray, index: Index, k: int, recall: float) -> int:
-    """Fewest probes of a doubling ladder with which the sample's own neighbours are found at the wanted recall.
+def fitted_probes(sample: np.ndarray, index: Index, k: int, recall: float) -> tuple[int, float]:
+    """Fewest probes with which the sample's own neighbours are found at the wanted recall, and the cost of them.
 
-    In the whole table neighbours are nearer than in a sample, so the recall there is no lower.
+    In the whole table neighbours are nearer than in a sample, so the recall there is no lower. The cost is the number of
+    visits of a query and the share of all rows that it is compared with; a row met in two tables counts twice.
     """
     every = 3**index.planes
     if len(sample) < 2:
-        return 1
+        return 1, 0.0
     asked = np.linspace(0, len(sample) - 1, min(100, len(sample))).astype(int)
     scores = sample[asked] @ sample.T
     scores[np.arange(len(asked)), asked] = -np.inf
     best = np.argsort(-scores, axis=1)[:, : min(k, len(sample) - 1)]
     base, visits = index.base_keys(sample), index.probe_keys(sample[asked], every)
-    rank = np.full(best.shape, every)
-    for q in range(len(asked)):
-        for t in range(index.tables):
+    rank = np.full((index.tables, *scores.shape), every)  # the probe that meets a row, by table and query
+    for t in range(index.tables):
+        for q in range(len(asked)):
             order = np.argsort(visits[q, t])
-            at = np.minimum(np.searchsorted(visits[q, t], base[best[q], t], sorter=order), every - 1)
-            met = visits[q, t][order[at]] == base[best[q], t]
-            rank[q] = np.minimum(rank[q], np.where(met, order[at], every))
-    probes = 16
-    while probes < every and (rank < probes).mean() < recall:
-        probes *= 2
-    return min(probes, every)
+            at = np.minimum(np.searchsorted(visits[q, t], base[:, t], sorter=order), every - 1)
+            met = visits[q, t][order[at]] == base[:, t]
+            rank[t, q] = np.where(met, order[at], every)
+    first = np.take_along_axis(rank.min(axis=0), best, axis=1)
+    probes = min(int(np.quantile(first, recall, method="higher")) + 1, every)
+    return probes, float((rank < probes).sum() / scores.size)
+
+
+def fitted_index(sample: np.ndarray, rows: int, longest: float, planes: tuple[int, ...], k: int, recall: float, **shape) -> tuple[Index, int]:
+    """The index of the cheapest number of planes for a table of ``rows`` rows, and its probes."""
+    found = []
+    for p in planes:
+        index = Index(sample.shape[1], longest, planes=p, **shape)
+        probes, share = fitted_probes(sample, index, k, recall)
+        found.append((probes * index.tables * VISIT_ROWS + share * rows, p, index, probes))
+    return min(found, key=lambda f: f[:2])[2:]
 
 
 def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -166,19 +181,20 @@ def nearest(
     recall: float = 0.97,
     sample_rows: int = 4096,
     tables: int = 4,
-    planes: int = 8,
+    planes: tuple[int, ...] = (4, 5, 6, 8),
     width: float = 2.5,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by ``every``.
 
-    All rows are indexed and are candidates; only the number of probes is fitted, on at most ``sample_rows`` vectors.
+    All rows are indexed and are candidates; only the numbers of planes (one of ``planes``) and probes are fitted, on at
+    most ``sample_rows`` vectors.
     A query that meets fewer than k rows is ranked against all rows, so it gets k of them, or all if there are fewer.
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id,
     nor vectors of another length than most have (the longer of two equally frequent ones). Rows of one vec_id count
     as one, with the largest of their inner products. Score ties go to the smaller vec_id. Extra columns are ignored; no
     usable rows give an empty result.
 
-    A cell of any size is cut into blocks of at most ``BASE_ROWS`` rows and ``PROBE_ROWS`` visits, and each pair of
+    A cell of any size is cut into blocks of about ``BASE_ROWS`` rows and ``PROBE_ROWS`` visits, and each pair of
     blocks is one unit of work; a task keeps the k best of each query over all its units.
     """
     spark = embeddings.sparkSession
@@ -191,9 +207,9 @@ def nearest(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = common["dim"]
     rows = rows.where(F.size("v") == dim)
-    index = Index(dim, common["longest"], tables, planes, width)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").collect()
-    probes = fitted_probes(np.array([r["v"] for r in sample], dtype=np.float64), index, k, recall)
+    sample = np.array([r["v"] for r in sample], dtype=np.float64)
+    index, probes = fitted_index(sample, common["n"], common["longest"], planes, k, recall, tables=tables, width=width)
 
     def keyed(asked: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,22 +218,23 @@ def nearest(
                     batch = whole.slice(low, 128 if asked else 4096)
                     x = _matrix(batch.column("v"), dim)
                     keys = index.probe_keys(x, probes) if asked else index.base_keys(x)
-                    keys = keys.reshape(len(x), -1)
-                    row = np.repeat(np.arange(len(x)), keys.shape[1])
-                    if asked:  # two tables never share a cell's key, but a query's visits may
-                        row, flat = np.unique(np.stack((row, keys.ravel()), axis=1), axis=0).T
-                    else:
-                        flat = keys.ravel()
-                    columns = {"cell": pa.array(flat, pa.int64()), "id": batch.column("vec_id").take(pa.array(row))}
-                    columns["v"] = batch.column("v").take(pa.array(row))
-                    yield pa.RecordBatch.from_pydict(columns)
+                    keys = np.sort(keys.reshape(len(x), -1), axis=1)
+                    once = np.ones(keys.shape, dtype=bool)  # a cell that is visited twice counts once
+                    once[:, 1:] = keys[:, 1:] != keys[:, :-1]
+                    bounds = np.concatenate(([0], np.cumsum(once.sum(axis=1))))
+                    cells = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys[once], pa.int64()))
+                    yield pa.RecordBatch.from_pydict({"id": batch.column("vec_id"), "v": batch.column("v"), "cells": cells})
 
         return run
 
     kind = rows.schema["v"].dataType.simpleString()
-    schema = f"cell long, id long, v {kind}"
-    base = cut_lineage(rows.mapInArrow(keyed(False), schema))
-    visits = cut_lineage(rows.where(F.col("vec_id") % every == 0).mapInArrow(keyed(True), schema))
+
+    def indexed(side: DataFrame, asked: bool) -> DataFrame:
+        """id, v, cells, row: one written row per vector, with a number, since ids may repeat."""
+        found = side.mapInArrow(keyed(asked), f"id long, v {kind}, cells array<long>")
+        return cut_lineage(found.withColumn("row", F.monotonically_increasing_id()))
+
+    base, visits = indexed(rows, False), indexed(rows.where(F.col("vec_id") % every == 0), True)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(k)
@@ -246,8 +263,9 @@ def nearest(
 
     def ranked(base: DataFrame, visits: DataFrame) -> DataFrame:
         """query_id, vec_id, score, rank: the k best of each query among the rows of the cells it visits."""
-        met = base.groupBy("cell").agg(F.count("*").alias("n")).join(
-            visits.groupBy("cell").agg(F.count("*").alias("m")), "cell"
+        keys = {side: side.select("row", F.explode("cells").alias("cell")) for side in (base, visits)}
+        met = keys[base].groupBy("cell").agg(F.count("*").alias("n")).join(
+            keys[visits].groupBy("cell").agg(F.count("*").alias("m")), "cell"
         )
         blocks = cut_lineage(
             met.select(
@@ -258,10 +276,11 @@ def nearest(
         )
 
         def units(side: DataFrame, own: str, other: str, visit: bool) -> DataFrame:
-            placed = side.join(blocks, F.col("cell") == F.col("c"))
-            mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
-            theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-            placed = placed.select("cell", "id", "v", mine.alias("mine"), theirs.alias("theirs"))
+            mine = F.pmod(F.xxhash64("row"), F.col(own)).cast("int").alias("mine")
+            placed = keys[side].join(blocks, F.col("cell") == F.col("c")).select("row", "cell", mine, other)
+            placed = placed.join(side.select("row", "id", "v"), "row")
+            theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs")
+            placed = placed.select("cell", "id", "v", "mine", theirs)
             i, j = ("theirs", "mine") if visit else ("mine", "theirs")
             return placed.select("cell", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(visit).alias("visit"), "id", "v")
 
@@ -275,10 +294,9 @@ def nearest(
     found = cut_lineage(ranked(base, visits))
     wanted = min(k, rows.select("vec_id").distinct().limit(k + 1).count() - 1)
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= wanted).select("query_id")
-    asked = rows.where(F.col("vec_id") % every == 0)
-    short = cut_lineage(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"))
+    short = cut_lineage(visits.join(full, F.col("id") == F.col("query_id"), "left_anti"))
     if wanted and not short.isEmpty():
-        one_cell = [F.lit(0).cast("long").alias("cell"), F.col("vec_id").alias("id"), "v"]
-        exact = ranked(rows.select(*one_cell), short.select(*one_cell))
+        one_cell = F.array(F.lit(0).cast("long"))
+        exact = ranked(base.withColumn("cells", one_cell), short.withColumn("cells", one_cell))
         found = found.join(full, "query_id", "left_semi").unionByName(exact)
     return found.select("query_id", "rank", "vec_id", "score")
