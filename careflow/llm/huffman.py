@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from careflow.llm.tokens import encoder, tokenizer_path
-from careflow.session import cut_lineage, ensure_checkpoint_dir
+from careflow.session import cut_lineage, scratch_folder
 
 LIMIT = 16  # longest code in bits; a table of 2**LIMIT entries decodes
 BLOCK_IDS = 32_768
@@ -141,7 +141,9 @@ def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """shard, before, doc_id, n, width, ids: written once, in ascending doc_id order, nulls first.
 
     A shard is a range of ids; ``before`` counts the ids in front of a document in its shard, so that any later split of
-    the files still knows where it stands. ``ids`` are little endian, of ``width`` bytes each.
+    the files still knows where it stands. ``ids`` are little endian, of ``width`` bytes each. Rows of equal id and text
+    are told apart by the number of their row, so that any number of them is split over shards; ``docs`` must give its
+    rows in the same order when a lost part is read again, as files do.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -164,8 +166,9 @@ def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 done += len(ids)
                 yield pa.RecordBatch.from_pydict(columns)
 
-    order = ["doc_id", "text_hash"]
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    order = ["doc_id", "text_hash", "tie"]
+    tie = F.monotonically_increasing_id().alias("tie")
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), tie)
     ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     tokenized = ordered.mapInArrow(run, f"before long, doc_id {kind}, n long, width int, ids binary")
     return cut_lineage(tokenized.withColumn("shard", F.spark_partition_id()))
@@ -297,8 +300,8 @@ def id_digests(documents: DataFrame) -> DataFrame:
 
 
 def encoded_digests(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFrame:
-    """Write the documents' ids to a new folder below the shared checkpoint folder, read them back, and digest them."""
+    """Write the documents' ids to a new folder among the written tables of the run, read them back, and digest them."""
     spark = docs.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(docs, folder, path, end_id)
     return id_digests(read_ids(spark, folder, docs.schema["doc_id"].dataType.simpleString()))

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from careflow.llm.huffman import LIMIT, Codebook, code_lengths, encoded_digests, read_ids, write_ids
@@ -96,6 +97,21 @@ def test_round_trip_of_messy_rows(spark, documents, tmp_path):
     assert read_ids(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_equal_rows_are_encoded_over_many_shards(spark, tmp_path):
+    equal = spark.range(0, 20_000, 1, 4).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same words here").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows go to one task
+    try:
+        write_ids(equal, f"{tmp_path}/ids")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    blocks = spark.read.parquet(f"{tmp_path}/ids/blocks").groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n")).collect()
+    assert len(blocks) > 2 and max(r["n"] for r in blocks) < 10_000
+    want = [*direct("same words here"), 1]
+    found = read_ids(spark, f"{tmp_path}/ids").orderBy("start").collect()
+    assert [r["start"] for r in found] == list(range(0, 20_000 * len(want), len(want)))
+    assert {bytes(r["ids"]) for r in found} == {np.array(want, "<u4").tobytes()}
+
+
 def test_files_follow_ascending_ids(spark, table, tmp_path):
     write_ids(table("documents").repartition(6), f"{tmp_path}/ids")
     rows = spark.read.parquet(f"{tmp_path}/ids/blocks").orderBy("start").select("shard", "doc_ids").collect()
