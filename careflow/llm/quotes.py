@@ -1,8 +1,9 @@
 """Quotation linking in conversations, in DataFrame functions only.
 
 A message's lines are read into its own words and quoted passages of any level. Quoted passages, whole and line by line,
-are normalised, hashed and joined to the earliest message of the conversation that says the same in its own words. The
-links give each message the one it replies to, and the conversation is returned in reply order, without quotes.
+are normalised, hashed and joined to the earliest message of the conversation that says the same in its own words. What is
+still unlinked then, such as some lines of a paragraph wrapped anew or a part of one line, is hashed by windows of words.
+The links give each message the one it replies to, and the conversation is returned in reply order, without quotes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ QUOTE = r"^(?:[ \t]*>)+"
 ANY_QUOTE = r"(?m)^[ \t]*>"
 #: A line that only says who wrote what is quoted below it.
 ATTRIBUTION = r"(?i)^(?:on .* wrote|.* (?:wrote|writes|schrieb|escribió|a écrit))[^:]{0,60}:$"
+#: Its first line, where it is broken over two, and its second.
+OPENS = r"(?i)^(?:on|am|le|el) [^!?]{0,120}[^.!?:]$"
+CLOSES = r"(?i)^(?:[^!?]{0,120} )?(?:wrote|writes|schrieb|escribió|a écrit)[^:]{0,60}:$"
+WINDOW = 5  # words of a window; a shorter passage is one window, but a single word isn't sought
 KEY = ["conv_id", "turn"]
 
 
@@ -34,21 +39,45 @@ def quoted_lines(text: Column) -> Column:
     return F.transform(F.split(text, r"\r\n|\n|\r", -1), one)
 
 
+def with_attributions(lines: Column) -> Column:
+    """``lines`` with ``said_by``: whether a line, or two, of a lower level only say who wrote the quote right below."""
+
+    def one(x: Column, i: Column) -> Column:
+        level = lambda at: F.coalesce(F.get(lines, i + at)["level"], F.lit(0))
+        like = lambda at, form: F.coalesce(F.get(lines, i + at)["line"].rlike(form), F.lit(False))
+        first = like(0, OPENS) & like(1, CLOSES) & (level(1) == x["level"]) & (level(2) > x["level"])
+        quote_below = level(1) > x["level"]
+        before = F.when(i > 0, F.get(lines, i - 1))
+        second = F.coalesce(before["line"].rlike(OPENS) & (before["level"] == x["level"]), F.lit(False)) & like(0, CLOSES)
+        said_by = first | (quote_below & (like(0, ATTRIBUTION) | second))
+        return F.struct(x["level"].alias("level"), x["line"].alias("line"), said_by.alias("said_by"))
+
+    return F.transform(lines, one)
+
+
 def own_lines(lines: Column) -> Column:
     """The lines of level 0, without attributions of the quote below them."""
-    below = lambda i: F.coalesce(F.get(lines, i + 1)["level"], F.lit(0))
-    kept = F.filter(
-        lines, lambda x, i: (x["level"] == 0) & ~((below(i) > 0) & F.trim(x["line"]).rlike(ATTRIBUTION))
-    )
-    return F.transform(kept, lambda x: x["line"])
+    return F.transform(F.filter(lines, lambda x: (x["level"] == 0) & ~x["said_by"]), lambda x: x["line"])
+
+
+def normal_words(text: Column) -> Column:
+    """The words in lower case with one space between; signs and white space of any kind count as space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def passage_key(text: Column) -> Column:
-    """Hash of a passage's words: lower case, signs and white space of any kind are one space. Null without a word."""
-    normal = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    """Hash of a passage's words. Null without a word."""
+    normal = normal_words(text)
     return F.when(normal != "", F.md5(normal))
 
 
+def _windows(words: Column, size: Column) -> Column:
+    """Hashes of all runs of ``size`` words, each once; none if there are fewer words."""
+    last = F.size(words) - size + 1
+    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size))))
+
+
 def _units(passages: Column) -> Column:
     """Each passage, and each line of it, as array<struct<key, chars>>; without those that have no words."""
     units = F.array_distinct(F.concat(passages, F.flatten(F.transform(passages, lambda p: F.split(p, "\n", -1)))))
@@ -57,23 +86,57 @@ def _units(passages: Column) -> Column:
 
 
 def quoted_passages(parsed: DataFrame) -> DataFrame:
-    """conv_id, turn, row_hash, level, passage: maximal runs of lines of one quote level, in messages that quote."""
+    """conv_id, turn, row_hash, level, passage: maximal runs of lines of one quote level, in messages that quote.
+
+    Attributions of deeper quotes are no part of a passage.
+    """
     lines = parsed.select(*KEY, "row_hash", F.posexplode("lines").alias("pos", "x"))
-    lines = lines.select(*KEY, "row_hash", "pos", F.col("x.level").alias("level"), F.col("x.line").alias("line"))
+    lines = lines.select(*KEY, "row_hash", "pos", "x.level", "x.line", "x.said_by")
     message = W.partitionBy(*KEY, "row_hash").orderBy("pos")
     changed = (F.col("level") != F.lag("level", 1, -1).over(message)).cast("int")
     runs = lines.withColumn("changed", changed).withColumn("run", F.sum("changed").over(message))
-    runs = runs.where("level > 0").groupBy(*KEY, "row_hash", "run", "level")
+    runs = runs.where("level > 0 and not said_by").groupBy(*KEY, "row_hash", "run", "level")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
     return runs.agg(text.alias("passage")).drop("run")
 
 
+def linked_by_windows(parsed: DataFrame, passages: DataFrame) -> DataFrame:
+    """conv_id, turn, level, passage_hash, chars, o_turn: passages of which one message first said half of the windows or more.
+
+    Every window has one first speaker, which is found by an aggregation, so no pairs of messages and passages are formed.
+    Only windows that some passage has are kept of the messages.
+    """
+    words = F.split(normal_words(F.col("passage")), " ")
+    sought = passages.withColumn("words", words).where(F.size("words") >= 2)
+    sought = sought.withColumn("size", F.least(F.size("words"), F.lit(WINDOW)))
+    sought = sought.withColumn("hashes", _windows(F.col("words"), F.col("size"))).withColumn("n", F.size("hashes"))
+    name = [*KEY, "level", "passage_hash"]
+    sought = cut_lineage(sought.select(*name, F.length("passage").alias("chars"), "size", "n", F.explode("hashes").alias("hash")))
+    asked = sought.select(F.col("conv_id").alias("a_conv"), F.col("size").alias("a_size"), F.col("hash").alias("a_hash"))
+    sizes = asked.select("a_conv", "a_size").distinct()
+    own = parsed.join(sizes, F.col("conv_id").eqNullSafe(F.col("a_conv")))
+    own = own.withColumn("words", F.split(normal_words(F.array_join("own", "\n")), " "))
+    own = own.select(
+        F.col("conv_id").alias("o_conv"),
+        F.col("turn").alias("o_turn"),
+        F.col("a_size").alias("o_size"),
+        F.explode(_windows(F.col("words"), F.col("a_size"))).alias("o_hash"),
+    )
+    wanted = F.col("o_conv").eqNullSafe(F.col("a_conv")) & (F.col("o_size") == F.col("a_size")) & (F.col("o_hash") == F.col("a_hash"))
+    own = own.join(asked.distinct(), wanted, "left_semi")
+    first = own.groupBy("o_conv", "o_size", "o_hash").agg(F.min("o_turn").alias("o_turn"))
+    same = F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("size") == F.col("o_size")) & (F.col("hash") == F.col("o_hash"))
+    said = sought.join(first, same & (F.col("o_turn") < F.col("turn")))
+    said = said.groupBy(*name, "chars", "n", "o_turn").agg(F.count("*").alias("met")).where(F.col("met") * 2 >= F.col("n"))
+    return said.select(*name, F.floor(F.col("chars") * F.col("met") / F.col("n")).cast("int").alias("chars"), "o_turn")
+
+
 def links(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to, n_quotes, n_linked, max_level: one row per message that quotes."""
     quoting = parsed.where("quotes").select(*KEY, "row_hash", "lines").distinct()  # a repeated row quotes once
-    passages = cut_lineage(quoted_passages(quoting))
-    units = passages.withColumn("passage_hash", F.xxhash64("row_hash", "level", "passage"))
-    units = units.select(*KEY, "level", "passage_hash", F.inline(_units(F.array("passage")))).distinct()
+    passages = quoted_passages(quoting).withColumn("passage_hash", F.xxhash64("row_hash", "level", "passage"))
+    passages = cut_lineage(passages.select(*KEY, "level", "passage_hash", "passage").distinct())
+    units = passages.select(*KEY, "level", "passage_hash", F.inline(_units(F.array("passage")))).distinct()
     # only conversations in which somebody quotes; each passage's first speaker is one aggregated row
     asked = units.select(F.col("conv_id").alias("a_conv"), F.col("key").alias("a_key")).distinct()
     talks = asked.select("a_conv").distinct()
@@ -86,12 +149,16 @@ def links(parsed: DataFrame) -> DataFrame:
         F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("key") == F.col("o_key")) & (F.col("o_turn") < F.col("turn")),
         "left",
     )
+    name = [*KEY, "level", "passage_hash"]
+    said = cut_lineage(said.select(*name, "chars", "o_turn"))
+    missed = said.groupBy(*name).agg(F.count("o_turn").alias("n")).where("n = 0")
+    missed = missed.toDF(*(f"m_{c}" for c in name), "n")
+    same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in name]
+    said = cut_lineage(said.unionByName(linked_by_windows(parsed, passages.join(missed, same, "left_semi"))))
     # the nearest level that is linked at all, then the most text, then the later message
-    score = said.groupBy(*KEY, "level", "o_turn").agg(F.sum("chars").alias("chars"))
-    best = score.where("o_turn is not null").groupBy(*KEY).agg(
-        F.max(F.struct(-F.col("level"), "chars", "o_turn")).alias("best")
-    )
-    linked = said.groupBy(*KEY, "passage_hash", "level").agg(F.count("o_turn").alias("n"))
+    score = said.where("o_turn is not null").groupBy(*KEY, "level", "o_turn").agg(F.sum("chars").alias("chars"))
+    best = score.groupBy(*KEY).agg(F.max(F.struct(-F.col("level"), "chars", "o_turn")).alias("best"))
+    linked = said.groupBy(*name).agg(F.count("o_turn").alias("n"))
     counts = linked.groupBy(*KEY).agg(
         F.count("*").alias("n_quotes"), F.count_if(F.col("n") > 0).alias("n_linked"), F.max("level").alias("max_level")
     )
@@ -125,8 +192,10 @@ def threads(replies: DataFrame) -> DataFrame:
 def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, position, reply_to, root, depth, n_quotes, n_linked, max_level, body; a row per message.
 
-    ``body`` is the message without quotes and attributions, trimmed; ``reply_to`` the turn it quotes most at the lowest
-    linked level, null if it quotes nothing said before; ``root`` and ``depth`` its place in the tree of replies.
+    ``body`` is the message without quotes and attributions (of one line or two), trimmed; ``reply_to`` the turn it quotes
+    most at the lowest linked level, null if it quotes nothing said before. A passage is linked if it, or one of its lines,
+    is a whole message, paragraph or line said before, or else if one message first said at least half of its windows of
+    five words (all words, if there are only two to four). ``root`` and ``depth`` its place in the tree of replies.
     ``position`` (from 1) orders a conversation by root, depth and turn, so that every message follows the one it replies
     to. A null text has an empty body. Messages of the same conversation and turn share their links. Null conversation
     ids form a conversation; a message without a turn quotes nothing and is quoted by nobody, and comes last. Other
@@ -140,6 +209,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         F.xxhash64("role", "text").alias("row_hash"),
         F.explode(F.array(lines)).alias("lines"),  # one column, so that it is computed once
     )
+    parsed = parsed.withColumn("lines", F.explode(F.array(with_attributions(F.col("lines")))))
     parsed = parsed.withColumn("quotes", F.exists("lines", lambda x: x["level"] > 0) & F.col("turn").isNotNull())
     parsed = parsed.withColumn("own", own_lines(F.col("lines")))
     body = F.regexp_replace(F.array_join("own", "\n"), r"^\s+|\s+$", "")

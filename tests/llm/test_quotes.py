@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import quoted
 from careflow.llm.quotes import link_quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -53,6 +54,36 @@ def test_long_chains_and_random_trees_against_a_walk(spark):
     assert [r["turn"] for r in sorted(found.values(), key=lambda r: r["position"])] == order
 
 
+def test_quoted_conversations_against_a_walk(spark):
+    """With a small vocabulary windows and lines repeat; with a large one every link is the one that was meant."""
+    for vocabulary in (4, 5000):
+        rows, meant = quoted.conversations(25, seed=vocabulary, vocabulary=vocabulary)
+        want = quoted.walk(rows)
+        found = linked(spark, rows)
+        names = ("reply_to", "root", "depth", "n_quotes", "n_linked", "max_level", "body")
+        assert {(r["conv_id"], r["turn"]): tuple(r[n] for n in names) for r in found} == want
+        order = [(r["conv_id"], r["turn"]) for r in found]
+        assert order == sorted(want, key=lambda k: (k[0], want[k][1], want[k][2], k[1]))
+        if vocabulary == 5000:
+            assert {k: v[0] for k, v in want.items()} == meant
+            assert all("wrote" not in v[6] and "On Mon" not in v[6] for v in want.values())
+
+
+def test_broken_attributions_partial_lines_and_wrapped_lines(spark):
+    said = "the quick brown fox jumps over\nthe lazy dog and runs away from\nall the hunters in the wood"
+    rows = [
+        (1, 0, "a", said),
+        (1, 1, "b", "On Mon, Ann\nwrote:\n> brown fox\nyes"),
+        (1, 2, "a", "> and runs away\n> from all the hunters\nindeed"),
+        (1, 3, "a", "On the other hand it is late.\nAnn wrote:\n> brown\nno"),
+        (1, 4, "b", "> On Mon, Ann wrote:\n> > lazy dog\n> yes\nwell"),
+    ]
+    found = {r["turn"]: r for r in linked(spark, rows)}
+    assert {t: r["reply_to"] for t, r in found.items()} == {0: None, 1: 0, 2: 0, 3: None, 4: 1}
+    assert [found[t]["body"] for t in (1, 2, 3, 4)] == ["yes", "indeed", "On the other hand it is late.\nno", "well"]
+    assert (found[4]["n_quotes"], found[4]["n_linked"], found[4]["max_level"]) == (2, 2, 2)
+
+
 def test_messy_rows(spark):
     rows = [
         (1, 0, None, None), (1, 1, "u", ""), (1, 1, "u", ""), (None, 0, "u", "said here"), (None, 1, "u", "> said here\nyes"),
