@@ -16,7 +16,6 @@ from careflow.llm.ranks import placed
 from careflow.session import cut_lineage
 
 QUOTE = r"^(?:[ \t]*>)+"
-ANY_QUOTE = r"(?m)^[ \t]*>"
 #: A line that only says who wrote what is quoted below it.
 ATTRIBUTION = r"(?i)^(?:on .* wrote|.* (?:wrote|writes|schrieb|escribió|a écrit))[^:]{0,60}:$"
 #: Its first line, where it is broken over two, and its second.
@@ -115,7 +114,7 @@ def linked_by_windows(parsed: DataFrame, passages: DataFrame) -> DataFrame:
     asked = sought.select(F.col("conv_id").alias("a_conv"), F.col("size").alias("a_size"), F.col("hash").alias("a_hash"))
     sizes = asked.select("a_conv", "a_size").distinct()
     own = parsed.join(sizes, F.col("conv_id").eqNullSafe(F.col("a_conv")))
-    own = own.withColumn("words", F.split(normal_words(F.array_join("own", "\n")), " "))
+    own = own.withColumn("words", F.split(normal_words(F.col("own")), " "))
     own = own.select(
         F.col("conv_id").alias("o_conv"),
         F.col("turn").alias("o_turn"),
@@ -141,8 +140,7 @@ def links(parsed: DataFrame) -> DataFrame:
     asked = units.select(F.col("conv_id").alias("a_conv"), F.col("key").alias("a_key")).distinct()
     talks = asked.select("a_conv").distinct()
     own = parsed.join(talks, F.col("conv_id").eqNullSafe(F.col("a_conv")), "left_semi")
-    body = F.array_join("own", "\n")
-    own = own.select(*KEY, F.inline(_units(F.concat(F.array(body), F.split(body, r"\n\s*\n", -1)))))
+    own = own.select(*KEY, F.inline(_units(F.concat(F.array("own"), F.split("own", r"\n\s*\n", -1)))))
     first = own.groupBy(F.col("conv_id").alias("o_conv"), F.col("key").alias("o_key")).agg(F.min("turn").alias("o_turn"))
     said = units.join(
         first,
@@ -189,6 +187,18 @@ def threads(replies: DataFrame) -> DataFrame:
             return up
 
 
+def parsed_messages(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, row_hash, quotes, own, lines: a row per message, with its own words; lines only where it quotes."""
+    lines = quoted_lines(F.coalesce(F.col("text"), F.lit("")))
+    # one column each time, so that it is computed once
+    parsed = messages.select(*KEY, "role", F.xxhash64("role", "text").alias("row_hash"), F.explode(F.array(lines)).alias("lines"))
+    parsed = parsed.withColumn("lines", F.explode(F.array(with_attributions(F.col("lines")))))
+    quotes = F.exists("lines", lambda x: x["level"] > 0) & F.col("turn").isNotNull()
+    own = F.array_join(own_lines(F.col("lines")), "\n")
+    parsed = parsed.select(*KEY, "role", "row_hash", quotes.alias("quotes"), own.alias("own"), "lines")
+    return parsed.withColumn("lines", F.when(F.col("quotes"), F.col("lines")))
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, position, reply_to, root, depth, n_quotes, n_linked, max_level, body; a row per message.
 
@@ -201,20 +211,10 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     ids form a conversation; a message without a turn quotes nothing and is quoted by nobody, and comes last. Other
     columns are not looked at; an empty table gives an empty result.
     """
-    lines = quoted_lines(F.coalesce(F.col("text"), F.lit("")))
-    parsed = messages.select(
-        "conv_id",
-        "turn",
-        "role",
-        F.xxhash64("role", "text").alias("row_hash"),
-        F.explode(F.array(lines)).alias("lines"),  # one column, so that it is computed once
-    )
-    parsed = parsed.withColumn("lines", F.explode(F.array(with_attributions(F.col("lines")))))
-    parsed = parsed.withColumn("quotes", F.exists("lines", lambda x: x["level"] > 0) & F.col("turn").isNotNull())
-    parsed = parsed.withColumn("own", own_lines(F.col("lines")))
-    body = F.regexp_replace(F.array_join("own", "\n"), r"^\s+|\s+$", "")
+    parsed = cut_lineage(parsed_messages(messages))
+    body = F.regexp_replace("own", r"^\s+|\s+$", "")
     bodies = parsed.select(*KEY, "role", "row_hash", body.alias("body"))
-    if messages.where(F.col("text").rlike(ANY_QUOTE)).isEmpty():
+    if parsed.where("quotes").isEmpty():
         known = bodies.withColumns(
             {"reply_to": F.lit(None).cast(messages.schema["turn"].dataType), "root": F.col("turn"), "depth": F.lit(0).cast("long")}
             | {c: F.lit(0).cast("long") for c in ("n_quotes", "n_linked", "max_level")}
