@@ -206,7 +206,9 @@ def language_of(docs: DataFrame, max_docs: int = 1500, rounds: int = 4, smooth:
 
     Learned from text and lang of the documents outside the held-out fold; id, source and lang are no input of a
     prediction. The whole text counts. A null text, or one without a letter, is ``und`` with score 0, as is every text
-    if there is nothing to learn from. Between equal languages the first by name wins.
+    if there is nothing to learn from. Between equal languages the first by name wins. Repeated rows are predicted each and
+    learned from together, rows without an id are learned from like others, an empty table has no predictions, and other
+    columns are ignored.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     languages, p = learn(docs, path, max_docs, rounds, smooth)
