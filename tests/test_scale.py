@@ -1,0 +1,29 @@
+"""Plans that must not change with the size of the tables."""
+
+import datetime as dt
+
+from careflow.operators import capacity as cap
+from careflow.operators import resources as res
+
+DAY = dt.date(2021, 3, 1)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _beds(spark):
+    """Beds of two facilities on every day of March, spread from one monthly row each."""
+    monthly = spark.createDataFrame([(1, "CANCER_CLINICAL", 202103, 4), (2, "CANCER_CLINICAL", 202103, 0)], "facility_id long, bed_group string, month_key int, qty long")
+    return res.daily_beds(monthly, "2021-03-01", "2021-03-31")
+
+
+def test_daily_beds_are_not_broadcast(spark):
+    row = "date date, facility_id long, patient_type string, admits long, discharges long, net long, census long, releases long"
+    ledger = spark.createDataFrame([(DAY, f, "CANCER_CLINICAL", 0, 0, 0, 2, 0) for f in (1, 2, 3)], row)
+    peak = spark.createDataFrame([(2, "CANCER_CLINICAL", 5)], "facility_id long, patient_type string, peak long")
+    out = cap.attach_beds(ledger, _beds(spark), peak)
+    found = {r["facility_id"]: r["beds"] for r in out.collect()}
+    assert found == {1: 4, 2: 5}
+    joins = [line for line in _plan(cap.attach_beds(ledger, _beds(spark), peak)).splitlines() if "Join" in line and "date" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
