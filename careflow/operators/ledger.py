@@ -22,6 +22,7 @@ from careflow.operators.classify import type_array
 from careflow.session import cut_lineage
 
 SERIES = ("patient_type", "facility_id")
+DENSE_ROWS_A_TASK = 1_000_000
 
 
 def movements(
@@ -131,6 +132,7 @@ def fill_series(
     first: Column,
     last: Column,
     skeleton: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """One row per series and day between ``first`` and ``last`` (both included).
 
@@ -141,7 +143,7 @@ def fill_series(
 
     With ``days``, the distinct days to fill, a stretch is a slice of their sorted list: a single day far away adds one
     day and not all that lie between. Without it every calendar day from ``first`` to ``last`` is filled. One shuffle by
-    series; no join of the dense rows.
+    series; no join of the dense rows. ``tasks``: how many tasks share the series, otherwise that follows the sparse rows.
     """
     own = F.lit(1)
     measures = [*carry, *exact]
@@ -167,6 +169,8 @@ def fill_series(
         # one row per day that occurs at all
         stretched = stretched.join(F.broadcast(places), F.col("date") == F.col("_date"), "left")
         at = F.when((F.col("_own") == 0) | (F.col("date") < first), 0).otherwise(F.coalesce("_place", n))
+    if tasks is not None:
+        stretched = stretched.repartition(tasks, *keys)
     # An opening row sorts before a real row of the same day and then covers no day. A real row before
     # ``first`` sorts before the opening row, so the opening row takes over its carried values.
     w = W.partitionBy(*keys).orderBy("date", "_own")
@@ -212,20 +216,26 @@ def densify(df: DataFrame, measures: tuple[str, ...], calendar: bool = False) ->
     """Every type and facility on every observed date; measures are null where there was no row.
 
     ``calendar`` also adds the days without any movement.
+
+    The dense rows stay in the tasks of their series, where later windows may sort them, so the number of tasks goes by
+    dense rows.
     """
     first, last = (
         df.agg(F.min("date")).scalar(),
         df.agg(F.max("date")).scalar(),
     )
+    days, skeleton = observed_days(df), series_skeleton(df)
+    n_days = df.agg(F.datediff(F.max("date"), F.min("date")) + 1).first()[0] if calendar else days.count()
     return fill_series(
         df,
         SERIES,
         carry={},
         exact=dict.fromkeys(measures),
-        days=None if calendar else observed_days(df),
+        days=None if calendar else days,
         first=first,
         last=last,
-        skeleton=series_skeleton(df),
+        skeleton=skeleton,
+        tasks=max(1, -(-skeleton.count() * (n_days or 0) // DENSE_ROWS_A_TASK)),
     )
 
 

@@ -2,8 +2,15 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from careflow.bindings import views
 from careflow.operators import capacity as cap
+from careflow.operators import ledger as led
 from careflow.operators import resources as res
+from careflow.plans import allocation as alloc
+from careflow.plans import dual
+from careflow.sources import ledger_store
 
 DAY = dt.date(2021, 3, 1)
 
@@ -27,3 +34,81 @@ def test_daily_beds_are_not_broadcast(spark):
     assert found == {1: 4, 2: 5}
     joins = [line for line in _plan(cap.attach_beds(ledger, _beds(spark), peak)).splitlines() if "Join" in line and "date" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_hours_are_not_broadcast(spark):
+    beds = _beds(spark).select("patient_type", "facility_id", "date", "beds")
+    hours = beds.groupBy("facility_id", "date").agg(F.lit(10).cast("long").alias("hours"))
+    out = alloc.effective_beds(beds, hours, {"CANCER_CLINICAL": 4})
+    assert "SortMergeJoin" in _plan(out) and {r["room"] for r in out.collect()} == {2}
+
+
+def test_exposures_do_not_meet_ways_by_day(spark, monkeypatch):
+    monkeypatch.setattr(alloc, "SPREAD_ROWS_A_TASK", 2)
+    od = spark.createDataFrame([(1, 7, 2.0), (1, 8, 3.0), (2, 7, 1.0)], "area_id long, facility_id long, km double")
+    seen = [(DAY, 7, 5), (DAY, 7, None), (None, 8, 9), (DAY, None, 9)]  # rows may repeat and keys may be null
+    exposure = spark.createDataFrame(seen, "date date, facility_id long, exposure long")
+    days = spark.createDataFrame([(1, DAY), (1, DAY), (1, None), (3, DAY), (None, DAY)], "area_id long, date date")
+    out = alloc.located_exposure(od, exposure, days)
+    found = sorted((r["area_id"], str(r["date"]), r["facility_id"], r["km"], r["exposure"]) for r in out.collect())
+    day = str(DAY)
+    assert found == sorted([
+        (1, day, 7, 2.0, 5), (1, day, 7, 2.0, 0), (1, "None", 7, 2.0, 0), (1, day, 8, 3.0, 0), (1, "None", 8, 3.0, 0), (3, day, 0, 99999.9, 0)
+    ])
+    assert not [line for line in _plan(out).splitlines() if "Join" in line and "date" in line]
+    assert ", 6), REPARTITION_BY_NUM" in _plan(out)  # 5 ways, two of them to the overflow facility, on up to two days
+
+
+def test_cheapest_is_hashed_and_takes_ties_as_before(spark):
+    rows = [(0.5, 1, 7, 1.0), (0.5, 1, 6, 1.0), (0.5, 1, 0, 1.0), (0.5, 1, 5, 2.0), (0.5, 2, 0, 3.0), (0.5, 3, 4, None), (0.5, 3, 3, 1.0), (0.5, 4, None, 1.0), (0.5, 4, 9, 1.0), (None, 1, 2, 0.0)]
+    costs = spark.createDataFrame(rows, "weight double, area_id long, facility_id long, cost double").withColumn("date", F.lit(DAY))
+    demand = spark.createDataFrame([("A", a, DAY, 1) for a in (1, 2, 3, 4)], "patient_type string, area_id long, date date, qty long")
+    out = alloc.assign_lowest_cost(demand, costs)
+    assert {(r["weight"], r["area_id"]): r["facility_id"] for r in out.collect()} == {(0.5, 1): 6, (0.5, 2): 0, (0.5, 3): 4, (0.5, 4): None, (None, 1): 2}
+    assert "SortAggregate" not in _plan(out)
+
+
+def test_dense_rows_decide_the_tasks(spark, monkeypatch):
+    mov = spark.createDataFrame([("A", 1, DAY, 1), ("A", 2, dt.date(2021, 3, 4), 2)], "patient_type string, facility_id long, date date, census long")
+    for calendar, rows in ((False, 4), (True, 8)):
+        monkeypatch.setattr(led, "DENSE_ROWS_A_TASK", 1)
+        dense = led.densify(mov, ("census",), calendar)
+        filled = led.forward_fill(dense, ("census",))
+        assert filled.count() == rows
+        assert "hashpartitioning(patient_type#" in _plan(filled) and f", {rows}), REPARTITION_BY_NUM" in _plan(filled)
+
+
+def test_suppliers_are_spread_before_they_are_multiplied(spark, tmp_path, monkeypatch):
+    spark.range(5).withColumnRenamed("id", "s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    orders = spark.createDataFrame([(dt.datetime(1998, 1, 5),)], "o_orderdate timestamp")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    whole = {tuple(r) for r in views.Views(spark, str(tmp_path)).staff().collect()}
+    monkeypatch.setattr(views, "SUPPLIERS_A_TASK", 2)
+    v = views.Views(spark, str(tmp_path))
+    assert {tuple(r) for r in v.staff().collect()} == whole
+    assert all("REPARTITION_BY_NUM" in _plan(df) for df in (v.staff_rows(), v.bed_rows()))
+
+
+def test_rooms_of_all_goals_are_gathered_once(spark):
+    goals = spark.createDataFrame([(0, 1.0, 0.0), (1, 0.0, 1.0)], "goal int, by_km double, by_exposure double")
+    demand = spark.createDataFrame([("A", 1, DAY, 3)], "patient_type string, area_id long, date date, qty long")
+    od = spark.createDataFrame([(1, 7, 2.0), (1, 8, 3.0)], "area_id long, facility_id long, km double")
+    exposure = spark.createDataFrame([(DAY, 7, 5)], "date date, facility_id long, exposure long")
+    room = spark.createDataFrame([("A", f, DAY, 2) for f in (7, 8)], "patient_type string, facility_id long, date date, free long")
+    los = spark.createDataFrame([("A", 1)], "patient_type string, los long")
+    every = room.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("goal"), "*")
+    one, each = (dual.program(goals, demand, od, exposure, r, los, DAY, 2) for r in (room, every))
+    assert sorted(map(str, one.series.collect())) == sorted(map(str, each.series.select(one.series.columns).collect()))
+    assert sorted(map(str, dual.cheapest_ways(one, one.series).collect())) == sorted(map(str, dual.cheapest_ways(each, each.series).collect()))
+
+
+def test_units_move_in_without_another_shuffle(spark, tmp_path, monkeypatch):
+    row = "patient_type string, facility_id long, date date, admits long, discharges long, releases long"
+    path, shuffled = str(tmp_path / "store"), []
+    ledger_store.start_ledger(spark.createDataFrame([("A", 1, DAY, 1, 0, 0), ("A", 2, DAY, 4, 0, 0)], row), path, buckets=2)
+    frame = type(spark.range(0))
+    whole = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: shuffled.append(a) or whole(self, *a))
+    ledger_store.add_batch(spark.createDataFrame([("A", 1, dt.date(2021, 3, 3), 2, 0, 0)], row), path, "b")
+    assert len(shuffled) == 1  # of the changed units, not of the prepared ones
+    assert sorted((r["facility_id"], r["census"]) for r in ledger_store.running_rows(spark, path).collect()) == [(1, 1), (1, 3), (2, 4)]
