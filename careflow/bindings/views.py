@@ -27,6 +27,7 @@ CONFIG = RunConfig(
 )
 EXCLUDED_AREAS = (113, 117)
 SURGICAL = "SURGICAL"
+SUPPLIERS_A_TASK = 1000
 
 
 class Views:
@@ -114,6 +115,12 @@ class Views:
     def _months(self) -> Column:
         return self.month_keys().agg(F.collect_list("month_key")).scalar()
 
+    def _suppliers(self) -> DataFrame:
+        """Supplier keys spread over tasks: each has hundreds of bed and staff rows, made in the task that holds it."""
+        keys = self.table("supplier").select("s_suppkey")
+        tasks = -(-keys.count() // SUPPLIERS_A_TASK)
+        return keys.repartition(tasks) if tasks > 1 else keys
+
     def bed_lookup_rows(self) -> DataFrame:
         return self._literal(("bed_code", "bed_kind"), [(12, 1), (44, 2), (3, 1), (33, 2)])
 
@@ -130,7 +137,7 @@ class Views:
         )
         qty = (F.col("s_suppkey") * 13 + F.col("month_key") * 7 + F.col("bed_code") * 5) % 40
         return (
-            self.table("supplier")
+            self._suppliers()
             .select("s_suppkey", F.inline(codes))
             .select("*", F.explode(self._months()).alias("month_key"))
             .select(
@@ -142,7 +149,7 @@ class Views:
     def staff_rows(self) -> DataFrame:
         k = F.col("occupation_code")
         return (
-            self.table("supplier")
+            self._suppliers()
             .select("s_suppkey", F.explode(self._months()).alias("month_key"))
             .select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<bigint>")).alias("occupation_code"))
             .select(
