@@ -108,8 +108,12 @@ def _changed_units(stored: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def _move_in(spark: SparkSession, path: str, batch: str, schema: T.StructType) -> None:
-    """Prepared units take the place of the stored ones; other units are not touched. Can be repeated."""
-    units = _read_units(spark, f"{path}/prepared/{batch}", schema).repartition(*UNIT)
+    """Prepared units take the place of the stored ones; other units are not touched. Can be repeated.
+
+    A prepared unit is one file, so units are copied file by file without another shuffle; one too large for a task stays
+    in as many sorted files as it is read in.
+    """
+    units = _read_units(spark, f"{path}/prepared/{batch}", schema)
     units = units.sortWithinPartitions(*UNIT, *SERIES, "date")
     writer = units.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*UNIT)
     writer.parquet(f"{path}/rows")
