@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from careflow.bindings import views
 from careflow.operators import capacity as cap
+from careflow.operators import checks
 from careflow.operators import ledger as led
+from careflow.operators import reports as rep
 from careflow.operators import resources as res
 from careflow.plans import allocation as alloc
 from careflow.plans import dual
+from careflow.session import cut_lineage
 from careflow.sources import ledger_store
 
 DAY = dt.date(2021, 3, 1)
@@ -43,6 +46,46 @@ def test_hours_are_not_broadcast(spark):
     assert "SortMergeJoin" in _plan(out) and {r["room"] for r in out.collect()} == {2}
 
 
+def test_head_counts_are_not_broadcast(spark):
+    staff = spark.createDataFrame([(1, "Nurse", 202103, 8, 2), (2, "Nurse", 202103, 8, 0)], "facility_id long, occupation string, month_key int, hours long, headcount long")
+    covid = spark.createDataFrame([(DAY, f, 3) for f in (1, 2, 3)] + [(DAY, 1, 0), (None, 1, 3), (DAY, None, 3)], "date date, facility_id long, census long")
+    out = res.infection_exposure(covid, res.staff_headcount(res.daily_staff(cut_lineage(staff), "2021-03-01", "2021-03-31")))
+    assert "SortMergeJoin" in _plan(out) and "Broadcast" not in _plan(out)
+    assert [tuple(r) for r in out.collect()] == [(DAY, 1, 6)]
+
+
+def test_limits_of_a_plan_are_not_broadcast(spark):
+    plan = spark.createDataFrame([(1.0, "CANCER_CLINICAL", 5, 1, DAY, 9)], "weight double, patient_type string, area_id long, facility_id long, date date, qty long")
+    census = plan.select("weight", "patient_type", "facility_id", "date", F.col("qty").alias("census"))
+    demand = plan.select("patient_type", "area_id", "date", "qty")
+    beds = cut_lineage(_beds(spark).select("patient_type", "facility_id", "date", "beds"))  # its size is known, and small
+    hours = beds.groupBy("facility_id", "date").agg(F.lit(10).cast("long").alias("hours"))
+    for mode in ("per_type", "pooled"):
+        out = checks.check_plan(plan, census, demand, beds, hours, [1.0], {"CANCER_CLINICAL": 4}, mode)
+        assert "BroadcastHashJoin" not in _plan(out) and _plan(out).count("SortMergeJoin") == 2
+        assert sorted((r["rule"], r["amount"]) for r in out.collect()) == [("beds", 5), ("staff", 26)]
+
+
+def test_census_of_segments_is_not_broadcast(spark):
+    row = "weight double, patient_type string, facility_id long, date date"
+    cell = (1.0, "CANCER_CLINICAL", 7, DAY)
+    dated = lambda name: spark.createDataFrame([(7, DAY, 2)], f"facility_id long, date date, {name} long")
+    params = {
+        "demand": spark.createDataFrame([("CANCER_CLINICAL", 1, DAY, 3)], "patient_type string, area_id long, date date, qty long"),
+        "distance": spark.createDataFrame([(1, 7, 2.0)], "area_id long, facility_id long, km double"),
+        "los": spark.createDataFrame([("CANCER_CLINICAL", 2)], "patient_type string, los long"),
+        "releases": spark.createDataFrame([cell[1:] + (1,)], "patient_type string, facility_id long, date date, releases long"),
+        "exposure": dated("exposure"), "infected": dated("census"), "other": dated("census"), "staff_hours": dated("hours"),
+    }
+    plan = spark.createDataFrame([(1.0, "CANCER_CLINICAL", 1, 7, DAY, 3)], "weight double, patient_type string, area_id long, facility_id long, date date, qty long")
+    census, beds = spark.createDataFrame([(*cell, 4)], f"{row}, census long"), spark.createDataFrame([(*cell, 5)], f"{row}, beds long")
+    initial = spark.createDataFrame([(1.0, 0, "CANCER_CLINICAL", 7, 6)], "weight double, segment int, patient_type string, facility_id long, census long")
+    out = rep.plan_detail(plan, census, params, cut_lineage(initial), beds, [1.0], DAY, 2, 1)
+    joins = [line for line in _plan(out).splitlines() if "Join" in line and "segment" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert [(r["x"], r["initial"], r["beds"]) for r in out.collect()] == [(3, 6, 5)]
+
+
 def test_exposures_do_not_meet_ways_by_day(spark, monkeypatch):
     monkeypatch.setattr(alloc, "SPREAD_ROWS_A_TASK", 2)
     od = spark.createDataFrame([(1, 7, 2.0), (1, 8, 3.0), (2, 7, 1.0)], "area_id long, facility_id long, km double")
