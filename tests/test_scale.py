@@ -39,6 +39,35 @@ def test_daily_beds_are_not_broadcast(spark):
     assert joins and all("SortMergeJoin" in line for line in joins)
 
 
+def test_peaks_are_not_broadcast(spark):
+    row = "date date, facility_id long, patient_type string, admits long, discharges long, net long, census long, releases long"
+    ledger = spark.createDataFrame([(DAY, f, "CANCER_CLINICAL", 0, 0, 0, 2, 0) for f in (1, 2, 3)], row)
+    peak = cut_lineage(spark.createDataFrame([(2, "CANCER_CLINICAL", 5)], "facility_id long, patient_type string, peak long"))
+    assert "BroadcastHashJoin" not in _plan(cap.attach_beds(ledger, _beds(spark), peak))
+
+
+def test_tables_that_grow_are_not_broadcast_into_episodes(spark, tmp_path):
+    rows = {
+        "lineitem": ([(1, 1, 7, 5, 3.0, "R"), (1, 2, 8, 5, 2.0, "A"), (2, 1, None, 6, 1.0, "N"), (3, 1, 7, 5, 1.0, "R"), (None, 1, 7, 5, 1.0, "R")],
+                     "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"),
+        "orders": ([(1, 10, DAY), (2, 11, DAY), (2, 11, DAY), (3, 99, DAY), (4, None, DAY)], "o_orderkey long, o_custkey long, o_orderdate date"),
+        "customer": ([(10, 0), (11, 1), (None, 1)], "c_custkey long, c_nationkey int"),
+        "supplier": ([(5, 0), (6, 1)], "s_suppkey long, s_nationkey int"),
+        "nation": ([(0, 0), (1, 1)], "n_nationkey int, n_regionkey int"),
+        "part": ([(7, "PROMO", "Brand#1"), (8, "x", "Brand#2"), (None, "PROMO", "Brand#2")], "p_partkey long, p_type string, p_brand string"),
+    }
+    for name, (values, schema) in rows.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    v = views.Views(spark, str(tmp_path))
+    for df in (v.classified(), v.kept()):
+        found = sorted((r["episode_id"], r["facility_id"], r["area_id"], r["patient_type"]) for r in df.collect())
+        lost = (21, 7, 101, "OTHER_CLINICAL")  # the order that is there twice
+        assert found == [(11, 6, 100, "CANCER_SURGERY"), (12, 6, 100, "COVID_CLINICAL"), lost, lost]
+    joins = [line for line in _plan(v.classified()).splitlines() if "Join" in line]
+    for key in ("l_orderkey", "o_custkey", "diagnosis_code"):
+        assert [line for line in joins if key in line] and all("SortMergeJoin" in line for line in joins if key in line), key
+
+
 def test_hours_are_not_broadcast(spark):
     beds = _beds(spark).select("patient_type", "facility_id", "date", "beds")
     hours = beds.groupBy("facility_id", "date").agg(F.lit(10).cast("long").alias("hours"))
