@@ -83,6 +83,24 @@ def test_head_counts_are_not_broadcast(spark):
     assert [tuple(r) for r in out.collect()] == [(DAY, 1, 6)]
 
 
+def test_ways_are_not_broadcast(spark):
+    """Written ways of few areas look small; what is broadcast are areas or sets of facilities, so aggregates."""
+    ways = [(a, h, 5.0) for a in (1, 2) for h in range(1, 40)] + [(None, 1, 5.0), (1, 1, 5.0)]
+    od = cut_lineage(spark.createDataFrame(ways, "area_id long, facility_id long, km double"))
+    demand = cut_lineage(spark.createDataFrame([("A", a, DAY, 2) for a in (1, 2, 3, None)], "patient_type string, area_id long, date date, qty long"))
+    exposure = cut_lineage(spark.createDataFrame([(DAY, h, 10 * h) for h in range(1, 40)], "date date, facility_id long, exposure long"))
+    bounds = alloc.objective_bounds(demand, od, exposure)
+    for df in (alloc.reach_all(od, demand), bounds):
+        lines = [line for line in _plan(df).splitlines() if "Project [" not in line and "Filter " not in line]
+        sent = [lines[i + 1] for i, line in enumerate(lines) if "BroadcastExchange" in line]
+        assert sent and all("HashAggregate" in line for line in sent), sent
+    found = sorted((r["area_id"] or 0, r["facility_id"], r["km"]) for r in alloc.reach_all(od, demand).collect())
+    lost = [(0, 0, 99999.9), (3, 0, 99999.9)]  # no way at all, or a null area
+    assert found == sorted([(a or 0, h, km) for a, h, km in ways] + lost)
+    row = bounds.first()
+    assert (row["best_distance"], row["worst_distance_real"]) == (2 * (5.0 + 5.0 + 99999.9), 20.0)
+
+
 def test_limits_of_a_plan_are_not_broadcast(spark):
     plan = spark.createDataFrame([(1.0, "CANCER_CLINICAL", 5, 1, DAY, 9)], "weight double, patient_type string, area_id long, facility_id long, date date, qty long")
     census = plan.select("weight", "patient_type", "facility_id", "date", F.col("qty").alias("census"))
