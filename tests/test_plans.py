@@ -10,6 +10,7 @@ from careflow.operators import checks
 from careflow.operators import params as par
 from careflow.plans import allocation as alloc
 from careflow.plans.horizon import accept_in_day_order, free_after, plan_horizon
+from careflow.session import written_tables
 
 DAY = dt.date(2021, 3, 1)
 DAYS = [DAY + dt.timedelta(days=i) for i in range(4)]
@@ -100,6 +101,35 @@ def test_capacity_is_never_exceeded_and_matches_brute_force(spark, region, costs
     assert got == expected
 
 
+def test_rounds_under_capacity_write_no_tables(spark):
+    """Two areas fill forty facilities one after the other, which takes a round for each."""
+    row = "weight double, patient_type string, area_id long, date date, qty long"
+    demand = spark.createDataFrame([(0.5, "A", a, DAY, 25) for a in (1, 2)] + [(0.5, "A", None, DAY, 3), (0.5, "A", 3, DAY, 0)], row)
+    od = spark.createDataFrame([(a, h, float((h * 7 * a) % 5)) for a in (1, 2) for h in range(41)], "area_id long, facility_id long, km double")
+    exposure = spark.createDataFrame([(DAY, h, h * 3 % 8) for h in range(1, 41)], "date date, facility_id long, exposure long")
+    bounds = spark.createDataFrame([(0.0, 10.0, 0.0, 9.0)], ", ".join(f"{b} double" for b in alloc.BOUNDS))
+    room = {h: 1 + h % 2 for h in range(1, 40)}
+    free = spark.createDataFrame([(0.5, "A", h, DAY, n) for h, n in [*room.items(), (0, 99), (40, 0)]], "weight double, patient_type string, facility_id long, date date, room long")
+    cost = {(r.area_id, r.facility_id): r.cost for r in alloc.pair_costs(od, exposure, [0.5], bounds, demand.dropna()).collect()}
+    open_, expected = {1: 25, 2: 25}, {(None, 0): 3}
+    while open_:
+        bids = {}
+        for a in open_:
+            c, h = min((cost[a, h], h) for h in room if room[h])
+            bids.setdefault(h, []).append((c, a))
+        for h, asks in bids.items():
+            for _, a in sorted(asks):
+                got = min(open_[a], room[h])
+                room[h], open_[a] = room[h] - got, open_[a] - got
+                expected[a, h] = expected.get((a, h), 0) + got
+        open_ = {a: n for a, n in open_.items() if n}
+    for costs in (alloc.offers_by_distance(od, exposure, bounds), alloc.pair_costs(od, exposure, [0.5], bounds, demand.dropna())):
+        before = written_tables()
+        placed = {(r.area_id, r.facility_id): r.qty for r in alloc.assign_with_capacity(demand, costs, free).collect()}
+        assert placed == {k: n for k, n in expected.items() if n}
+        assert written_tables() - before < 5
+
+
 def test_zero_stay_never_occupies_and_flat_bounds(spark, region):
     plan = spark.createDataFrame([(1.0, "A", 1, 1, DAY, 3)], "weight double, patient_type string, area_id long, facility_id long, date date, qty long")
     los = spark.createDataFrame([("A", 0)], "patient_type string, los long")
