@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from careflow import fixed_values as fv
+from careflow.functions.calendar import daily_values
 from careflow.plans import allocation as alloc
+from careflow.plans import dual
 from careflow.plans.horizon import plan_segments
 from careflow.session import written_tables
 
@@ -115,3 +117,24 @@ def test_crowded_horizon_is_that_of_plain_rounds_and_writes_no_table_for_a_round
     assert {r.weight for r in h.initial.where("segment = 1").collect()} == set(WEIGHTS)
     assert h.beds.groupBy("weight", "patient_type", "facility_id", "date").count().where("count > 1").isEmpty()
     assert len(beds) == len(WEIGHTS) * (len(BEDS) + len(TYPES) * N) and len(hours) == len(WEIGHTS) * 61 * N
+
+
+def test_days_of_a_series_are_sorted_into_an_array(spark):
+    """Each day was looked up in a map of all days, 120 x 120 steps a series."""
+    rows = [(1, d, v) for d, v in zip(DAYS, (4, None, 6, 7, 8, 9), strict=True)] + [(2, DAYS[4], 5), (2, DAYS[1], 3)]
+    df = spark.createDataFrame(rows, "k int, date date, v int")
+    arrays = df.groupBy("k").agg(daily_values("date", "v", DAY, N).alias("x"))
+    assert {r.k: r.x for r in arrays.collect()} == {1: [4, 0, 6, 7, 8, 9], 2: [0, 3, 0, 0, 5, 0]}
+    assert "try_element_at" not in arrays._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="comes twice"):
+        df.unionByName(df).groupBy("k").agg(daily_values("date", "v", DAY, N)).collect()
+
+
+@pytest.mark.parametrize("free", [[1, 2, 3, 4], [1, 0, 3, -2], [0, 0, 0, 0], []])
+@pytest.mark.parametrize("los", [0, 1, 2, 9])
+def test_open_days_are_those_with_room_for_the_whole_stay(spark, free, los):
+    df = spark.createDataFrame([(free, los)], "free array<long>, los int")
+    tight = F.transform("free", lambda _, d: dual.fits(F.col("free"), d, F.col("los")))
+    got = df.select(dual.open_days(F.col("free"), F.col("los")), tight).first()
+    stays = [min(free[d : d + los], default=dual.UNLIMITED) for d in range(len(free))]
+    assert got[0] == [x > 0 for x in stays] and got[1] == stays
